@@ -28,10 +28,9 @@ def session(df: DataFrame) -> SparkSession:
     """The DataFrame's session, with Arrow batches bounded in rows and bytes."""
     spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    try:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    except Exception:  # a Spark without that setting keeps the row bound
-        pass
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    # A job's shuffle files go when it ends, not when the driver happens to collect garbage.
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark
 
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, quality_rules, token_count
+from . import bpe, chat_format, decontaminate, quality_rules, substring_dedup, suffix_dedup, token_count
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
+    "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_bpe": bpe.op5_bpe,
+    "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op10_token_count": token_count.op10_token_count,
 }
 ORACLE_SQL = {
     "op1_chat_format": chat_format.ORACLE_SQL,
+    "op2_decontaminate": decontaminate.ORACLE_SQL,
 }
