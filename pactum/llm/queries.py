@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, decontaminate, quality_rules, substring_dedup, suffix_dedup, token_count
+from . import bpe, chat_format, decontaminate, near_dedup, quality_model, quality_rules, substring_dedup, suffix_dedup, token_count, toxicity
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -11,6 +11,9 @@ QUERIES = {
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_bpe": bpe.op5_bpe,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
+    "op7_quality_model": quality_model.op7_quality_model,
+    "op8_near_dedup": near_dedup.op8_near_dedup,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_token_count": token_count.op10_token_count,
 }
 ORACLE_SQL = {
