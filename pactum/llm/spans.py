@@ -101,7 +101,8 @@ class Block:
     """The documents of one block: tokens, strips, and where they are."""
 
     def __init__(self, table: pa.Table, p: Plan):
-        table = table.combine_chunks()
+        # shuffled rows come in any order, and strips are numbered in the documents' order: each step has to see the same one
+        table = table.sort_by([("rank", "ascending"), ("text", "ascending")]).combine_chunks()
         self.plan = p
         self.ids = table.column("doc_id").combine_chunks() if table.num_rows else pa.array([], pa.int64())
         self.blk = table.column("blk")[0].as_py() if table.num_rows else None
