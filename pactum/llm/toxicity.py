@@ -252,7 +252,7 @@ def learn(labelled: DataFrame, grams: dict[int, int]) -> tuple[dict[int, float],
     return {int(k): float(w) for k, w in zip(keys, weights, strict=True) if w > 0}, intercept
 
 
-def logistic(hits: list[np.ndarray], label: np.ndarray, size: int, penalty: float = 1e-4, rounds: int = 400) -> tuple[np.ndarray, float]:
+def logistic(hits: list[np.ndarray], label: np.ndarray, size: int, penalty: float = 1e-5, rounds: int = 400) -> tuple[np.ndarray, float]:
     """Weights, none negative, and intercept of a regression on which features a document has.
 
     Together, strong features leave nothing for those that only keep company with them.
