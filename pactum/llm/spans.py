@@ -52,13 +52,14 @@ def plan_for(docs: DataFrame, words: bool, window: int, gram: int) -> Plan:
     return Plan(words, window, gram, max(LEAST_BLOCKS, -(-total // BLOCK_BYTES)), max(LEAST_BUCKETS, -(-total // BUCKET_BYTES)))
 
 
-def in_blocks(docs: DataFrame, p: Plan) -> DataFrame:
-    """blk, rank (doc_id; null last of all), doc_id, text."""
+def in_blocks(docs: DataFrame, p: Plan, more: list[str] | None = None) -> DataFrame:
+    """blk, rank (doc_id; null last of all), doc_id, text, and `more` columns that go along."""
     return docs.select(
         F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(NO_ID)), F.lit(p.window)), F.lit(p.blocks)).alias("blk"),
         F.coalesce("doc_id", F.lit(NO_ID)).alias("rank"),
         "doc_id",
         "text",
+        *(more or []),
     )
 
 
@@ -103,7 +104,7 @@ class Block:
     def __init__(self, table: pa.Table, p: Plan):
         # shuffled rows come in any order, and strips are numbered in the documents' order: each step has to see the same one
         table = table.sort_by([("rank", "ascending"), ("text", "ascending")]).combine_chunks()
-        self.plan = p
+        self.plan, self.table = p, table
         self.ids = table.column("doc_id").combine_chunks() if table.num_rows else pa.array([], pa.int64())
         self.blk = table.column("blk")[0].as_py() if table.num_rows else None
         self.rank = table.column("rank").to_numpy().astype(np.int64)

@@ -103,6 +103,21 @@ def shared_parts(strips: list[bytes], least: np.ndarray, times: np.ndarray) -> l
     return out
 
 
+def _cleaned(rows: DataFrame, window: int, make, schema: str) -> DataFrame:
+    """make(block, cov, carried columns) -> table, over blocks of (doc_id, text, more columns)."""
+    p = plan_for(rows, False, window, GRAM)
+    more = [c for c in rows.columns if c not in ("doc_id", "text")]
+    blocks = in_blocks(rows, p, more)
+    found = answer_anchors(send_anchors(blocks, p))
+    parts = answer_strips(send_strips(blocks, found, p), shared_parts)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        b = Block(left, p)
+        return make(b, covered(b, right))
+
+    return blocks.groupBy("blk").cogroup(found.unionByName(parts).groupBy("blk")).applyInArrow(run, schema)
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary): one row for each row of docs.
 
@@ -111,19 +126,29 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     each other. Null doc_ids come after all others and take nothing from each other either. Other columns are not read.
     """
     session(docs)
-    rows = id_text(docs, id_col, text_col)
-    p = plan_for(rows, False, window, GRAM)
-    blocks = in_blocks(rows, p)
-    found = answer_anchors(send_anchors(blocks, p))
-    parts = answer_strips(send_strips(blocks, found, p), shared_parts)
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        b = Block(left, p)
-        cov = covered(b, right)
+    def make(b: Block, cov: np.ndarray) -> pa.Table:
         n, removed, runs = per_document(b, cov)
         return pa.table([b.ids, pa.array(n), pa.array(removed), pa.array(runs), binary_array(b.data[~cov], n - removed)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return blocks.groupBy("blk").cogroup(found.unionByName(parts).groupBy("blk")).applyInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return _cleaned(id_text(docs, id_col, text_col), window, make, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """docs with its text cleaned, other columns as they are. Bytes of a character that lost others of its bytes go too; a null text becomes empty."""
+    session(docs)
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    rows = id_text(docs.withColumn("__rest", F.struct(*rest) if rest else F.lit(None).cast("int")), id_col, text_col, "__rest")
+
+    def make(b: Block, cov: np.ndarray) -> pa.Table:
+        n, removed, _ = per_document(b, cov)
+        raw, ends = b.data[~cov].tobytes(), np.concatenate([[0], np.cumsum(n - removed)]).tolist()
+        text = [raw[i:j].decode(errors="ignore") for i, j in zip(ends[:-1], ends[1:], strict=True)]
+        return pa.table([b.ids, pa.array(text, pa.string()), b.table.column("__rest")], names=["doc_id", "text", "__rest"])
+
+    out = _cleaned(rows, window, make, f"doc_id long, text string, __rest {rows.schema['__rest'].dataType.simpleString()}")
+    columns = {id_col: F.col("doc_id").alias(id_col), text_col: F.col("text").alias(text_col)} | {c: F.col(f"__rest.`{c}`").alias(c) for c in rest}
+    return out.select(*[columns[c] for c in docs.columns])
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
