@@ -283,3 +283,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op8_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE_SQL = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS k,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(list_slice(w, i, i + {SHINGLE - 1}), ' ') AS x FROM (SELECT r, w, unnest(range(1, greatest(2, len(w) - {SHINGLE - 2}))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+pairs AS (SELECT a.r AS ra, b.r AS rb, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.r < b.r GROUP BY ALL),
+links AS (SELECT da.k AS a, db.k AS b FROM pairs JOIN n na ON ra = na.r JOIN n nb ON rb = nb.r JOIN d da ON ra = da.r JOIN d db ON rb = db.r WHERE 100 * c >= {LINK_PERCENT} * (na.n + nb.n - c)),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(k, c) AS (SELECT DISTINCT k, k FROM d UNION SELECT b, c FROM reach JOIN both_ways ON k = a),
+comp AS (SELECT k, min(c) AS c FROM reach GROUP BY k)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, CASE WHEN c < 9223372036854775807 THEN c END AS component_id, c = k AS kept
+FROM d LEFT JOIN n USING (r) JOIN comp USING (k)
+"""

@@ -160,7 +160,7 @@ def quality(docs: DataFrame, labels: DataFrame, train_on, id_col: str = "doc_id"
     seen = sorted((r.label, bytes(r.x)) for r in map_text(labelled, passages, "label int, x binary").collect())  # bounded by `sample`
     label = np.array([y for y, _ in seen], float)
     model, rate = None, float(label.mean()) if len(label) else 0.5
-    if 0 < rate < 1:
+    if len(label) and 0 < rate < 1:
         bags = [np.frombuffer(x, "<f4").reshape(-1, FEATURES) for _, x in seen]
         model = fit(np.concatenate(bags).astype(float), np.concatenate([[0], np.cumsum([len(x) for x in bags])[:-1]]), label)
 

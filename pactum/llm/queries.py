@@ -19,4 +19,8 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_chat_format": chat_format.ORACLE_SQL,
     "op2_decontaminate": decontaminate.ORACLE_SQL,
+    "op3_quality_rules": quality_rules.ORACLE_SQL,
+    "op4_suffix_dedup": suffix_dedup.ORACLE_SQL,
+    "op6_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op8_near_dedup": near_dedup.ORACLE_SQL,
 }

@@ -203,3 +203,14 @@ def remove_seen(docs: DataFrame, batches: int = 2, id_col: str = "doc_id", text_
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
     digests = lambda df: df.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
     return remove_seen(spark.read.parquet(f"{sf_dir}/documents.parquet"), shape=digests)
+
+
+ORACLE_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS k, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, k, i, array_to_string(list_slice(w, i, i + {WINDOW - 1}), ' ') AS s FROM (SELECT r, k, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d WHERE len(w) >= {WINDOW})),
+low AS (SELECT s, min(k) AS m FROM win GROUP BY s HAVING min(k) < max(k)),
+cov AS (SELECT DISTINCT r, unnest(range(i, i + {WINDOW})) AS p FROM win JOIN low USING (s) WHERE m < k),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS t FROM (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d) ANTI JOIN cov USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN (SELECT r, count(*) AS n FROM cov GROUP BY r) USING (r) LEFT JOIN kept USING (r)
+"""

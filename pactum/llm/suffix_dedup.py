@@ -154,3 +154,16 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS k, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT r, k, i, substr(h, 2 * i - 1, {2 * WINDOW}) AS s FROM (SELECT r, k, h, unnest(range(1, length(h) // 2 - {WINDOW - 2})) AS i FROM d WHERE length(h) >= {2 * WINDOW})),
+low AS (SELECT s, min(k) AS m FROM win GROUP BY s HAVING min(k) < max(k)),
+cov AS (SELECT DISTINCT r, unnest(range(i, i + {WINDOW})) AS p FROM win JOIN low USING (s) WHERE m < k),
+n AS (SELECT r, count(*) AS n_removed, count(*) FILTER (before IS NULL OR before < p - 1) AS n_spans FROM (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS before FROM cov) GROUP BY r),
+part AS (SELECT r, string_agg(substr(h, 2 * p - 1, 2), '' ORDER BY p) AS t FROM (SELECT r, h, unnest(range(1, length(h) // 2 + 1)) AS p FROM d SEMI JOIN n USING (r)) ANTI JOIN cov USING (r, p) GROUP BY r)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN n_removed IS NULL THEN h ELSE coalesce(t, '') END)) AS kept_sha256
+FROM d LEFT JOIN n USING (r) LEFT JOIN part USING (r)
+"""
