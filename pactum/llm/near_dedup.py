@@ -241,7 +241,8 @@ def verify(docs: DataFrame, members: DataFrame, folder: str) -> DataFrame:
     """Edges that span the exact links. members: rank, component."""
     sizes = members.groupBy("component").agg(F.count("*").alias("size"))
     placed = in_cells(members, "component", sizes, CELL_DOCS)
-    rows = docs.join(placed, "rank").select("component", "cell", "part", "rank", "text")
+    # members grow with the documents, so they aren't broadcast at any size
+    rows = docs.join(placed.hint("merge"), "rank").select("component", "cell", "part", "rank", "text")
 
     def run(table: pa.Table) -> pa.Table:
         data, offs = flat(table.column("text"))
