@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import find_words, flat, hash_spans, id_text, lower_ascii, session, shared_folder, slices, window_hashes, written
+from .common import SPACE, byte_set, find_words, flat, hash_spans, id_text, lower_ascii, session, shared_folder, slices, window_hashes, written
 
 #: Labelled documents that the lexicon is learned from, at most.
 TRAIN_DOCS = 12_000
@@ -41,10 +41,12 @@ SAME, IMITATED, REPEATED, DROPPED = 0.0, -1.5, -0.5, -0.7
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = _LETTER[128:] = True
 _gap = ~_LETTER
-_tokens = re.compile(r"\S+")
-_spaced = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+(€])(?:[ .\-_][^\W\s]|[ .\-_][@$!|+(€0-9]){3,}(?!\S)")
+_SPECIAL = byte_set(b"0123456789@$!|+(*")
+_APART = byte_set(b".-_")
+_edges = ".,;:!?\"'#%&*$<>|()[]{}"
 _stretched = re.compile(r"([^\W\d_])\1\1")
 _mixed = re.compile(r"[^\W\d_].*[0-9@$!|+(€£¢*]|[0-9@$!|+(€£¢*].*[^\W\d_]")
+_dotted = re.compile(r"(?:[^\W_]|[@$!|+(])(?:[.\-_](?:[^\W_]|[@$!|+(])){3,}")
 
 
 # --- character model --------------------------------------------------------------------------------------------------
@@ -134,15 +136,34 @@ def readings(token: str, model: CharModel, n: int = READINGS) -> list[str]:
     return out[:n]
 
 
-def disguised(text: str) -> list[str]:
-    """Tokens, and runs of single characters set apart, that may hide a word."""
-    found = []
-    if _stretched.search(text) or _mixed.search(text):
-        for t in set(_tokens.findall(text)):
-            t = t.strip(".,;:!?\"'#%&*$<>|()[]{}")
-            if 3 < len(t) <= MAX_TOKEN and (_stretched.search(t) or _mixed.search(t)):
-                found.append(t)
-    found.extend(m.group(0) for m in _spaced.finditer(text) if len(m.group(0)) <= 2 * MAX_TOKEN)
+def disguised(data: np.ndarray, offs: np.ndarray) -> list[tuple[int, str]]:
+    """(row, token) of what may hide a word: tokens with imitating, stretched or separated characters, and four single characters or more in a row.
+
+    Bytes are searched first, and only tokens found so are looked at one by one.
+    """
+    a, b, r = find_words(data, offs)
+    if not len(a):
+        return []
+    x = data
+    ascii_run = np.flatnonzero((x[2:] == x[1:-1]) & (x[1:-1] == x[:-2]) & _LETTER[x[2:]] & (x[2:] < 128))
+    pair_run = np.flatnonzero((x[:-5] == x[2:-3]) & (x[2:-3] == x[4:-1]) & (x[1:-4] == x[3:-2]) & (x[3:-2] == x[5:]) & (x[:-5] >= 0xC0))
+    apart = np.flatnonzero(_APART[x[1:-1]] & ~SPACE[x[:-2]] & ~SPACE[x[2:]])
+    at = np.concatenate([np.flatnonzero(_SPECIAL[x]), ascii_run, pair_run, apart])
+    raw, found = data.tobytes(), []
+    for w in np.unique(np.searchsorted(a, at, "right") - 1).tolist():
+        if w >= 0 and 3 < b[w] - a[w] <= 4 * MAX_TOKEN:
+            t = raw[a[w] : b[w]].decode(errors="replace").strip(_edges)
+            if 3 < len(t) <= MAX_TOKEN and (_stretched.search(t) or _mixed.search(t) or _dotted.fullmatch(t)):
+                found.append((int(r[w]), t))
+    lead = x[a]
+    single = b - a == np.where(lead < 128, 1, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, 4)))
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
+    for i, j in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+        if j - i >= 4:
+            for k in range(i, j, MAX_TOKEN):  # a longer run is read in parts
+                e = min(k + MAX_TOKEN, j)
+                if r[k] == r[e - 1]:
+                    found.append((int(r[k]), " ".join(raw[a[w] : b[w]].decode(errors="replace") for w in range(k, e))))
     return found
 
 
@@ -160,26 +181,22 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(hashes), np.concatenate(rows)
 
 
-def with_readings(texts: list[bytes], model: CharModel, cache: dict[str, bytes]) -> list[bytes]:
-    """Lower-cased texts, followed by the readings of their disguised tokens."""
-    out = []
-    for t in texts:
-        extra = []
-        for token in disguised(t.decode(errors="replace")):
-            if (x := cache.get(token)) is None:
-                if len(cache) > 200_000:
-                    cache.clear()
-                x = cache[token] = " ".join(readings(token, model)).encode()
-            extra.append(x)
-        out.append(b" ".join([t, *extra]) if extra else t)
-    return out
-
-
-def _restored(batch_data: np.ndarray, offs: np.ndarray, model: CharModel, cache: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray]:
-    raw = batch_data.tobytes()
-    texts = with_readings([raw[a:b] for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], model, cache)
-    ends = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    return lower_ascii(np.frombuffer(b"".join(texts), np.uint8)), ends
+def restored(data: np.ndarray, offs: np.ndarray, model: CharModel, cache: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-cased texts, each followed by the readings of its disguised tokens, and their offsets."""
+    low = lower_ascii(data)
+    more: dict[int, list[bytes]] = {}
+    for row, token in disguised(low, offs):
+        if (x := cache.get(token)) is None:
+            if len(cache) > 200_000:
+                cache.clear()
+            x = cache[token] = " ".join(readings(token, model)).encode()
+        more.setdefault(row, []).append(x)
+    if not more:
+        return low, offs
+    raw, texts, at = low.tobytes(), [], offs.tolist()
+    for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
+        texts.append(b" ".join([raw[a:b], *more[i]]) if i in more else raw[a:b])
+    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
 
 
 def learn(labelled: DataFrame, grams: dict[int, int]) -> tuple[dict[int, float], float]:
@@ -202,7 +219,7 @@ def learn(labelled: DataFrame, grams: dict[int, int]) -> tuple[dict[int, float],
             label = batch.column(2)
             for a, b in slices(offs):
                 o = offs[a : b + 1]
-                low, ends = _restored(data[o[0] : o[-1]], o - o[0], model, cache)
+                low, ends = restored(data[o[0] : o[-1]], o - o[0], model, cache)
                 s, e, r = find_words(low, ends)
                 h = hash_spans(low, s, e)
                 first = np.searchsorted(r, np.arange(b - a + 1))
@@ -290,7 +307,7 @@ def score_texts(docs: DataFrame, grams: dict[int, int], lexicon: dict[int, float
             scores = []
             for a, b in slices(offs):
                 o = offs[a : b + 1]
-                low, ends = _restored(data[o[0] : o[-1]], o - o[0], model, cache)
+                low, ends = restored(data[o[0] : o[-1]], o - o[0], model, cache)
                 z = np.full(b - a, prior)
                 if len(keys):
                     f, row = features(low, ends)
