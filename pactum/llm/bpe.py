@@ -11,7 +11,7 @@ import base64
 import struct
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import batched, chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,8 @@ from .common import flat, hex_sha256, id_text, session
 CACHE = 400_000
 #: Longer pre-tokens are not cached.
 CACHED_CHARS = 64
+#: Characters from which a text is split in groups.
+LONG = 1 << 20
 
 
 def byte_chars() -> list[str]:
@@ -68,6 +70,15 @@ def sentencepiece_model(ranks: dict[bytes, int]) -> bytes:
     return b"".join(pieces) + _field(2, trainer) + _field(3, normaliser)
 
 
+def pretokens(pattern, text: str) -> Iterator[list[str]]:
+    """The pattern's matches: at once, or in groups where the text is long."""
+    if len(text) <= LONG:
+        yield pattern.findall(text)
+        return
+    for group in batched((m.group() for m in pattern.finditer(text)), LONG // 8):
+        yield list(group)
+
+
 class Codec:
     """encode(text) -> ids, decode(ids) -> bytes."""
 
@@ -76,7 +87,7 @@ class Codec:
         import sentencepiece
 
         self._ranks = ranks
-        self._split = regex.compile(pattern).findall
+        self._pattern = regex.compile(pattern)
         self._model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(ranks))
         self._id_of_piece = [-1, *sorted(ranks.values())]
         self._bytes = {rank: token for token, rank in ranks.items()}
@@ -98,11 +109,12 @@ class Codec:
         return (cache[w] if w in cache else self.encode_pretoken(w) for w in words) if any(len(w) > CACHED_CHARS for w in words) else map(cache.__getitem__, words)
 
     def encode(self, text: str) -> array:
-        """Ids as unsigned 32-bit integers, in pieces of bounded size so a very long text needs little beside its ids."""
-        if len(self._cache) > CACHE:
-            self._cache = {}
+        """Ids as unsigned 32-bit integers. A very long text is split in groups of pre-tokens, so it needs little beside its ids."""
         out = array("I")
-        out.extend(chain.from_iterable(self._ids(self._split(text))))
+        for words in pretokens(self._pattern, text):
+            if len(self._cache) > CACHE:
+                self._cache = {}
+            out.extend(chain.from_iterable(self._ids(words)))
         return out
 
     def decode(self, ids: Iterable[int]) -> bytes:

@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import byte_chars
+from .bpe import byte_chars, pretokens
 from .common import id_text, session
 
 #: Entries of a worker's cache of misses; it starts afresh when full.
@@ -42,7 +43,7 @@ class Counter:
         import regex
         from tokenizers import Tokenizer
 
-        self._split = regex.compile(BYTE_LEVEL_PATTERN).findall
+        self._pattern = regex.compile(BYTE_LEVEL_PATTERN)
         specials = read_specials(path)
         self._specials = regex.compile("|".join(map(regex.escape, sorted(specials, key=len, reverse=True)))) if specials else None
         self._encode = Tokenizer.from_file(path).encode_batch
@@ -56,8 +57,7 @@ class Counter:
         n, parts = 0, [text]
         if self._specials and (hits := self._specials.findall(text)):
             n, parts = len(hits), self._specials.split(text)
-        for part in parts:
-            words = self._split(part)
+        for words in chain.from_iterable(pretokens(self._pattern, part) for part in parts):
             known = self._cache
             if missing := [w for w in set(words) if w not in known]:
                 short = [w for w in missing if len(w) <= CACHED_CHARS]

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,26 +76,24 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
 
 
 class CharModel:
-    """Log-probabilities of the next byte after two, smoothed with shorter contexts."""
-
-    def __init__(self, grams: dict[int, int]):
-        self._three, self._two, self._one, self._two_context, self._all = dict(grams), Counter(), Counter(), Counter(), 0
-        for g, n in grams.items():
-            self._two[g & 0xFFFF] += n
-            self._two_context[g >> 8] += n
-            self._one[g & 0xFF] += n
-            self._all += n
-        self._one_context = Counter()
-        for g, n in self._two.items():
-            self._one_context[g >> 8] += n
+    """Log-probabilities of the next byte after two, smoothed with shorter contexts. grams: sorted; n: their counts."""
+
+    def __init__(self, grams: np.ndarray, n: np.ndarray):
+        self._grams, self._n = grams, n
+        two = np.bincount(grams & 0xFFFF, weights=n, minlength=1 << 16)
+        self._two, self._two_context = two, np.bincount(grams >> 8, weights=n, minlength=1 << 16)
+        self._one, self._one_context = two.reshape(256, 256).sum(0), two.reshape(256, 256).sum(1)
+        self._all = float(n.sum())
         self._cache: dict[int, float] = {}
 
     def log(self, a: int, b: int, c: int) -> float:
         key = a << 16 | b << 8 | c
         if (x := self._cache.get(key)) is None:
+            at = int(np.searchsorted(self._grams, key))
+            three = float(self._n[at]) if at < len(self._grams) and self._grams[at] == key else 0.0
             p1 = (self._one[c] + 0.5) / (self._all + 128)
             p2 = (self._two[b << 8 | c] + 5 * p1) / (self._one_context[b] + 5)
-            x = self._cache[key] = math.log((self._three.get(key, 0) + 5 * p2) / (self._two_context[a << 8 | b] + 5))
+            x = self._cache[key] = math.log((three + 5 * p2) / (self._two_context[a << 8 | b] + 5))
         return x
 
 
@@ -199,7 +196,7 @@ def restored(data: np.ndarray, offs: np.ndarray, model: CharModel, cache: dict[s
     return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
 
 
-def learn(labelled: DataFrame, grams: dict[int, int]) -> tuple[dict[int, float], float]:
+def learn(labelled: DataFrame, grams: tuple[np.ndarray, np.ndarray]) -> tuple[dict[int, float], float]:
     """Lexicon (feature hash -> weight), and log-odds of a document without any of it.
 
     Features that keep company with the label too often for chance are chosen first, then weighted by a regression.
@@ -211,7 +208,7 @@ def learn(labelled: DataFrame, grams: dict[int, int]) -> tuple[dict[int, float],
     shared = spark.sparkContext.broadcast(grams)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, cache = CharModel(shared.value), {}
+        model, cache = CharModel(*shared.value), {}
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -288,7 +285,7 @@ def logistic(hits: list[np.ndarray], label: np.ndarray, size: int, penalty: floa
     return w, float(b)
 
 
-def score_texts(docs: DataFrame, grams: dict[int, int], lexicon: dict[int, float], prior: float) -> DataFrame:
+def score_texts(docs: DataFrame, grams: tuple[np.ndarray, np.ndarray], lexicon: dict[int, float], prior: float) -> DataFrame:
     """doc_id and score of (doc_id, text) rows: the regression over the features that a text has."""
     spark = docs.sparkSession
     keys = np.array(sorted(lexicon), np.uint64)
@@ -297,7 +294,7 @@ def score_texts(docs: DataFrame, grams: dict[int, int], lexicon: dict[int, float
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, keys, weights = shared.value
-        model, cache = CharModel(grams), {}
+        model, cache = CharModel(*grams), {}
         sieve = np.zeros(1 << 20, bool)
         sieve[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         for batch in batches:
@@ -331,7 +328,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_on, id_col: str = "doc_id
     """
     session(docs)
     rows = id_text(docs, id_col, text_col)
-    grams = {r.gram: r.n for r in trigram_counts(rows).collect()}  # at most 153**3 rows
+    table = trigram_counts(rows).toArrow().sort_by("gram")  # at most 153**3 rows of two numbers
+    grams = table["gram"].to_numpy().astype(np.int64), table["n"].to_numpy().astype(np.float64)
     chosen = labels.select(labels[id_col].cast("long").alias("id"), labels[label_col].cast("int").alias("label")).filter(train_on(F.col("id")) & F.col("label").isin(0, 1))
     chosen = chosen.orderBy(F.xxhash64("id"), "id", "label").limit(sample)
     labelled = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).filter("text <> ''").select("doc_id", "text", "label")

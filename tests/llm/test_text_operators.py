@@ -158,6 +158,18 @@ def test_counts_are_the_librarys(docs, none):
     assert token_count.count_tokens(none, path).count() == 0
 
 
+def test_long_texts_are_split_in_groups(monkeypatch):
+    from tokenizers import Tokenizer
+
+    text = " ".join(t for t in hard_texts())
+    path = tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    whole = list(bpe.codec(path, tokenizers.PATTERN).encode(text))
+    monkeypatch.setattr(bpe, "LONG", 80)
+    assert list(bpe.codec(path, tokenizers.PATTERN).encode(text)) == whole
+    path = tokenizers.path("byte_bpe_50k.json")
+    assert token_count.Counter(path, {}).count(text) == len(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids)
+
+
 def test_small_caches_change_nothing(monkeypatch):
     path = tokenizers.path("byte_bpe_50k.json")
     want = [token_count.Counter(path, {}).count(t) for t in hard_texts()]
