@@ -234,9 +234,22 @@ def _(f):
     return search.list_licenses(f.titles, f.alternatives, "red promo").select("id", "title")
 
 
-@query("keyword_ranked", None)
+_RANKED = "brand#2"
+
+
+def _ratio_sql(column: str, word: str) -> str:
+    """Twice the longest common subsequence over both lengths: the table's lines as a fold over letters, each line a fold over the word."""
+    big = lambda xs: "[" + ", ".join(f"CAST({x} AS BIGINT)" for x in xs) + "]"
+    places = "[" + ", ".join(big([j]) for j in range(len(word) + 1)) + "]"
+    step = f"CASE WHEN x[1] = {big(map(ord, word))}[j[1]] THEN line[j[1]] + 1 ELSE greatest(line[j[1] + 1], acc[-1]) END"
+    lines = f"list_prepend({big([0] * (len(word) + 1))}, list_transform(string_split(lower({column}), ''), lambda c: [CAST(unicode(c) AS BIGINT)]))"
+    common = f"list_reduce({lines}, lambda line, x: list_reduce({places}, lambda acc, j: list_append(acc, {step})))[-1]"
+    return f"CAST(round_even(200 * {common} / (length({column}) + {len(word)}), 0) AS INTEGER)"
+
+
+@query("keyword_ranked", f"SELECT DISTINCT id, title, {_ratio_sql('title', _RANKED)} AS score FROM titles LEFT JOIN alternatives USING (id) WHERE " + _MATCH.format(_RANKED))
 def _(f):
-    return search.list_licenses(f.titles, f.alternatives, "brand#2").select("id", "title", "score")
+    return search.list_licenses(f.titles, f.alternatives, _RANKED).select("id", "title", "score")
 
 
 @query("keyword_page", "SELECT id, title FROM titles ORDER BY id OFFSET 20 LIMIT 10")
