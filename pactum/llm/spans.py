@@ -72,7 +72,7 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def strips_of(tokens: np.ndarray, offs: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, first and last window start of each strip. offs: where each document's tokens begin, and the end."""
+    """Anchor hash, first and last window start of each strip. tokens: hashes, or bytes; offs: where each document's begin, and the end."""
     n = len(tokens) - window + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
@@ -80,11 +80,12 @@ def strips_of(tokens: np.ndarray, offs: np.ndarray, window: int, gram: int) -> t
     crossing = np.zeros(n + 1, np.int32)
     np.add.at(crossing, np.clip(offs[1:-1] - window + 1, 0, n), 1)
     np.add.at(crossing, np.clip(offs[1:-1], 0, n), -1)
-    whole = np.cumsum(crossing[:-1]) == 0
+    whole = np.cumsum(crossing[:-1], dtype=np.int32) == 0
     hashes, firsts, lasts = [], [], []
     for s in range(0, n, _CHUNK):
         e = min(s + _CHUNK, n)
-        g = window_hashes(tokens[s : e + window - 1], gram)
+        some = tokens[s : e + window - 1]
+        g = window_hashes(_byte_values[some] if some.dtype == np.uint8 else some, gram)
         key = (g & np.uint64(~_POSITION & (1 << 64) - 1)) | np.arange(len(g), dtype=np.uint64)
         at = (sliding_min(key, window - gram + 1) & np.uint64(_POSITION)).astype(np.int64)
         i = np.flatnonzero(whole[s:e])
@@ -121,7 +122,7 @@ class Block:
             tokens, self.start, self.end, rows = cat(0, np.uint64), cat(1, np.int64), cat(2, np.int64), cat(3, np.int64)
             self.offs = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=table.num_rows))]).astype(np.int64)
         else:
-            tokens, self.offs = _byte_values[self.data], self.byte_offs
+            tokens, self.offs = self.data, self.byte_offs
         self.anchor, self.first, self.last = strips_of(tokens, self.offs, p.window, p.gram)
         self.n_tokens = len(tokens)
         self.row = np.searchsorted(self.offs, self.first, "right") - 1  # documents without tokens come before one that has some
@@ -289,7 +290,7 @@ def answer_strips(strips: DataFrame, shared_parts: Callable[[list[bytes], np.nda
 
 def covered(b: Block, answers: pa.Table) -> np.ndarray:
     """Step 6: which tokens of the block are covered."""
-    edge = np.zeros(b.n_tokens + 1, np.int64)
+    edge = np.zeros(b.n_tokens + 1, np.int32)
     doc = b.doc_of()
     entries = b.entries(shared_anchors(b, answers))
     for _, at, number in entries.values():  # whole strips that several documents of this block have
@@ -315,19 +316,17 @@ def covered(b: Block, answers: pa.Table) -> np.ndarray:
         a = b.first[strip[later]] + marks["offset"][m[later]]
         np.add.at(edge, a, 1)
         np.add.at(edge, a + marks["length"][m[later]], -1)
-    return np.cumsum(edge[:-1]) > 0
+    return np.cumsum(edge[:-1], dtype=np.int32) > 0
 
 
 def per_document(b: Block, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tokens, covered tokens and covered runs of each document."""
-    total = np.concatenate([[0], np.cumsum(cov)])
     head = cov.copy()
     inner = np.zeros(len(cov) + 1, bool)
     inner[b.offs] = True
     head[1:] &= ~cov[:-1] | inner[1:-1]
-    runs = np.concatenate([[0], np.cumsum(head)])
-    of = lambda c: c[b.offs[1:]] - c[b.offs[:-1]]
-    return np.diff(b.offs), of(total), of(runs)
+    of = lambda x: np.array([np.count_nonzero(x[i:j]) for i, j in zip(b.offs[:-1].tolist(), b.offs[1:].tolist(), strict=True)], np.int64)
+    return np.diff(b.offs), of(cov), of(head)
 
 
 def binary_array(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
