@@ -266,18 +266,20 @@ def learn(labelled: DataFrame, grams: tuple[np.ndarray, np.ndarray]) -> tuple[di
     return {int(k): float(w) for k, w in zip(keys, weights, strict=True) if w > 0}, intercept
 
 
-def logistic(hits: list[np.ndarray], label: np.ndarray, size: int, penalty: float = 1e-5, rounds: int = 400) -> tuple[np.ndarray, float]:
+def logistic(hits: list[np.ndarray], label: np.ndarray, size: int, penalty: float = 1e-5, rounds: int = 800) -> tuple[np.ndarray, float]:
     """Weights, none negative, and intercept of a regression on which features a document has.
 
-    Together, strong features leave nothing for those that only keep company with them.
+    Together, strong features leave nothing for those that only keep company with them. Both labels weigh the same in all, so
+    that one strong feature is enough for the rarer.
     """
+    share = np.where(label == 1, 0.5 / max(label.sum(), 1), 0.5 / max((1 - label).sum(), 1))
     row = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
     col = np.concatenate(hits) if hits else np.zeros(0, np.int32)
     w, b = np.zeros(size), 0.0
     m, v = np.zeros(size + 1), np.zeros(size + 1)
     for t in range(1, rounds + 1):
         z = b + np.bincount(row, weights=w[col], minlength=len(hits))
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label) / len(label)
+        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label) * share
         grad = np.append(np.bincount(col, weights=error[row], minlength=size) + penalty * w, error.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         step = 0.2 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
