@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -172,6 +173,14 @@ def table_of(schema: str, rows: Iterable[tuple]) -> pa.Table:
     return pa.table([pa.array(list(c), kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
+def pack(x: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(x)
+
+
+def unpacked(x: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(x)
+
+
 def by_bucket(buckets: np.ndarray) -> list[tuple[int, int, int]]:
     """(bucket, begin, end) of the runs of a sorted array."""
     if not len(buckets):
@@ -250,7 +259,7 @@ def send_strips(blocks: DataFrame, answers: DataFrame, p: Plan) -> DataFrame:
         for k, (content, at, number) in b.entries(shared_anchors(b, right)).items():
             least = np.full(len(content), NO_ID, np.int64)
             np.minimum.at(least, number, doc[at])
-            rows.append((k, b.blk, least.tobytes(), np.array([len(x) for x in content], np.uint32).tobytes(), b"".join(content)))
+            rows.append((k, b.blk, pack(least.tobytes()), pack(np.array([len(x) for x in content], np.uint32).tobytes()), pack(b"".join(content))))
         return table_of(STRIPS, rows)
 
     return blocks.groupBy("blk").cogroup(answers.groupBy("blk")).applyInArrow(run, STRIPS)
@@ -264,8 +273,8 @@ def answer_strips(strips: DataFrame, shared_parts: Callable[[list[bytes], np.nda
         least: list[int] = []
         members = []  # for each row: the number of each of its strips
         for docs, lens, blob in zip(*(table.column(c) for c in ("docs", "lens", "blob")), strict=True):
-            blob, end, own = blob.as_py(), 0, []
-            for d, n in zip(np.frombuffer(docs.as_py(), np.int64).tolist(), np.frombuffer(lens.as_py(), np.uint32).tolist(), strict=True):
+            blob, end, own = unpacked(blob.as_py()), 0, []
+            for d, n in zip(np.frombuffer(unpacked(docs.as_py()), np.int64).tolist(), np.frombuffer(unpacked(lens.as_py()), np.uint32).tolist(), strict=True):
                 x = blob[end : end + n]
                 end += n
                 k = number.setdefault(x, len(number))
@@ -282,7 +291,7 @@ def answer_strips(strips: DataFrame, shared_parts: Callable[[list[bytes], np.nda
         for blk, own in zip(table.column("blk").to_pylist(), members, strict=True):
             marks = [(i, *m) for i, k in enumerate(own) for m in parts[k]]
             if marks:
-                rows.append((blk, 1, bucket, np.array(marks, MARK).tobytes()))
+                rows.append((blk, 1, bucket, pack(np.array(marks, MARK).tobytes())))
         return table_of(ANSWER, rows)
 
     return strips.groupBy("bucket").applyInArrow(run, ANSWER)
@@ -304,7 +313,7 @@ def covered(b: Block, answers: pa.Table) -> np.ndarray:
     for kind, k, body in zip(kinds, buckets, bodies, strict=True):
         if kind != 1:
             continue
-        marks = np.frombuffer(body, MARK)
+        marks = np.frombuffer(unpacked(body), MARK)
         content, at, number = entries[k]
         order = np.argsort(number, kind="stable")
         at = np.array(at)[order]
