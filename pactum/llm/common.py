@@ -40,17 +40,14 @@ def shared_folder(spark: SparkSession) -> str:
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         root = tempfile.mkdtemp(prefix="pactum-")
         spark.sparkContext.setCheckpointDir(root)
         root = spark.sparkContext.getCheckpointDir()
     return f"{root.rstrip('/')}/pactum-{uuid.uuid4().hex}"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pactum-"))
-
-
 def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     """Cuts lineage: writes df as Parquet in the shared folder and reads it back."""
     path = f"{folder}/{name}"
