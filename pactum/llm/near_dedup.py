@@ -260,8 +260,8 @@ def verify(docs: DataFrame, members: DataFrame, folder: str) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs.
 
-    Documents of the same doc_id are one, linked with what either text is linked with. A null text, or one without words, is
-    linked with nothing. Rows with a null doc_id count as one document that comes after all others: its component_id is null
+    Documents of the same doc_id are one, linked with what either text is linked with. A row with a null text, or one without
+    words, is linked with nothing. Rows with a null doc_id count as one document that comes after all others: its component_id is null
     unless it is linked with another, and kept is then true. An empty table gives no rows. Other columns are not read.
     """
     spark = session(docs)
@@ -275,13 +275,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # one text of each class; where rows share a doc_id, each of its texts
     texts = rows.withColumn("rank", F.coalesce("doc_id", F.lit(NO_ID))).select("rank", "text")
     exact = verify(texts, loose, folder)
-    copies = full.join(classes.select("digest", F.col("rank").alias("v")), "digest").filter("rank <> v").select(F.col("rank").alias("u"), "v")
-    found = connected_components(exact.unionByName(copies), folder, "links").withColumnRenamed("node", "rank")
-    out = sketches.select("doc_id", "rank", "n_shingles").join(found, "rank", "left")
-    out = out.withColumn("low", F.coalesce("component", "rank"))
+    found = connected_components(exact.unionByName(_same_id(full, classes, folder)), folder, "links").withColumnRenamed("node", "rank")
+    # copies get their class's component by its digest, so a class of very many copies is no hub of edges
+    labels = classes.select("digest", "rank").join(found, "rank", "left").select("digest", F.coalesce("component", "rank").alias("low"))
+    out = sketches.select("doc_id", "rank", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(labels, "digest", "left")
+    out = out.withColumn("low", F.coalesce("low", "rank"))
     return out.select("doc_id", "n_shingles", F.when(F.col("low") != NO_ID, F.col("low")).alias("component_id"), (F.col("low") == F.col("rank")).alias("kept"))
 
 
+def _same_id(full: DataFrame, classes: DataFrame, folder: str) -> DataFrame:
+    """Edges between the classes of texts that share a doc_id."""
+    several = full.groupBy("rank").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").select("rank", "low")
+    several = written(several, folder, "several")
+    if several.isEmpty():
+        return full.sparkSession.createDataFrame([], _EDGES)
+    pairs = full.select("rank", "digest").join(several, "rank").filter("digest <> low").select("low", "digest").distinct()
+    name = lambda column, node: classes.select(F.col("digest").alias(column), F.col("rank").alias(node))
+    return pairs.join(name("low", "u"), "low").join(name("digest", "v"), "digest").select("u", "v")
+
+
 def op8_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
