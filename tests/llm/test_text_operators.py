@@ -116,6 +116,18 @@ def test_divergence():
     assert not kept[1]
 
 
+def test_texts_without_common_words(spark):
+    rng = random.Random(5)
+    made_up = lambda: "".join(rng.choices("bdfgklmnprstv", k=3)) + rng.choice("aeiou") + rng.choice(["", "r", "nt"])
+    lacking = " ".join(" ".join(made_up() for _ in range(9)).capitalize() + "." for _ in range(12))
+    prose = [" ".join(w or made_up() for w in rng.choices([*q, ""], [*q.values(), 1 - sum(q.values())], k=200)).capitalize() + "." for q in quality_rules.WORD_REFERENCE.values()]
+    fields = quality_rules.measure(*flat(pa.array([lacking, *prose])))
+    assert fields[5][0] <= quality_rules.MAX_CHAR_DISTANCE and fields[6][0] < quality_rules.MAX_WORD_DISTANCE and not fields[7][0]
+    assert fields[8].tolist() == [False, True, True, True, True]
+    docs = spark.createDataFrame(list(enumerate([lacking, *prose])), "doc_id long, text string")
+    assert sorted(r.doc_id for r in quality_rules.keep_good(docs).collect()) == [1, 2, 3, 4]
+
+
 # --- tokens -----------------------------------------------------------------------------------------------------------
 
 
