@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pactum.llm import bpe, decontaminate, near_dedup, quality_rules, suffix_dedup
 from pactum.llm.common import shared_folder, written
 
+#: Near-duplicates share this percent of their five-word shingles.
+NEAR_PERCENT = 80
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -23,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest doc_id."""
-    groups = near_dedup.near_duplicates(docs)
+    groups = near_dedup.near_duplicates(docs, percent=NEAR_PERCENT)
     gone = groups.filter("NOT kept").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 

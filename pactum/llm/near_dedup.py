@@ -3,7 +3,7 @@
 A register holds the least of a set's exponentially distributed hashes on an exponential scale, truncated, so sketches of
 parts merge by the larger register and equal registers are as likely as the sets are similar. Documents meet when a band of
 registers is equal; pairs that meet are kept if the joint likelihood of all registers, given both cardinalities, puts the
-similarity at FILTER or more; what is left is verified on full sets.
+similarity high enough; what is left is verified on full sets.
 
 No step lists the pairs of a group. Documents with equal sets are one class from the start. Where documents meet, a
 breadth-first search takes each out of the pool when it is first reached, and only those spanning edges go on. The
@@ -14,7 +14,9 @@ is large, to cells that cover all pairs of its parts), and a second search over
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,20 +27,46 @@ from .common import NO_ID, find_words, flat, hash_spans, id_text, lower_ascii, m
 from .components import connected_components
 
 SHINGLE = 5
-#: Links: 100 * intersection >= LINK_PERCENT * union.
+#: Links: 100 * intersection >= percent * union. The contract of op8 has this percent; callers may pass another.
 LINK_PERCENT = 85
-#: A band is ROWS registers; a pair of similarity 0.85 misses all BANDS with probability 6e-9.
-BANDS, ROWS = 20, 3
-#: Registers for the likelihood, and the estimate below which a pair is given up: 5.6 standard deviations under 0.85.
-REGISTERS, FILTER = 64, 0.60
+#: A band is ROWS registers, and REGISTERS are for the likelihood. `tuning` derives the other settings from the percent.
+ROWS, REGISTERS = 3, 64
+#: A pair just similar enough misses all bands, or is given up by the likelihood, with at most this probability each.
+MISS, GIVE_UP = 6e-9, 1.3e-6
 #: Bases of the scale for bands (16 bits) and for the likelihood (8 bits), and the rate of the exponential hashes.
 FINE, COARSE, RATE = 1.001, 1.08, 20.0
 #: Documents of a band key, and of a component, that meet in one group; more are dealt to cells of pairs of parts.
 KEY_DOCS, CELL_DOCS = 20_000, 192
 
-_n = max(REGISTERS, BANDS * ROWS)
-_seeds = mix(np.arange(1, _n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_factors = mix(_seeds ^ np.uint64(0x5851F42D4C957F2D)) | np.uint64(1)
+
+@lru_cache
+def tuning(percent: int) -> tuple[int, float]:
+    """Bands, and the estimate below which a pair is given up, for links of `percent`: the fewest and the highest that keep to MISS and GIVE_UP."""
+    bands = math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** ROWS))
+    least = next((x / 100 for x in range(percent, 0, -1) if given_up(percent, x / 100) <= GIVE_UP), 0.0)
+    return bands, least
+
+
+def given_up(percent: int, least: float) -> float:
+    """The exact chance that the likelihood puts a pair with a similarity of `percent` below `least`; the worst over the sizes that it can have."""
+    n, s = REGISTERS, percent / 100
+    more, less = (x.ravel() for x in np.indices((n + 1, n + 1)))
+    more, less = more[more + less <= n], less[more + less <= n]
+    same = n - more - less
+    fact = np.array([math.lgamma(i + 1) for i in range(n + 1)])
+    ways = fact[n] - fact[more] - fact[less] - fact[same]
+    worst = 0.0
+    for ratio in np.linspace(s, 1, 16):
+        u = ratio / (1 + ratio)
+        p, q = _odds(u - (1 - u) * s), _odds(1 - u - u * s)
+        chance = np.exp(ways) * p**more * q**less * (1 - p - q) ** same
+        worst = max(worst, float(chance[slope(u, more, less, same, least) < 0].sum()))
+    return worst
+
+
+def seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
+    s = mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return s, mix(s ^ np.uint64(0x5851F42D4C957F2D)) | np.uint64(1)
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
@@ -57,18 +85,19 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def registers(sets: list[np.ndarray]) -> np.ndarray:
-    """Exponential minima, one row for each set; infinite for an empty one."""
+def registers(sets: list[np.ndarray], count: int = REGISTERS) -> np.ndarray:
+    """`count` exponential minima, one row for each set; infinite for an empty one."""
     size = np.array([len(s) for s in sets], np.int64)
     full = np.flatnonzero(size)
-    out = np.full((len(sets), _n), np.inf)
+    out = np.full((len(sets), count), np.inf)
+    seed, factor = seeds(count)
     if not len(full):
         return out
     x = np.concatenate([sets[i] for i in full])
     starts = np.concatenate([[0], np.cumsum(size[full])[:-1]])
     with np.errstate(over="ignore"):
-        for k in range(_n):
-            low = np.minimum.reduceat((x ^ _seeds[k]) * _factors[k], starts)
+        for k in range(count):
+            low = np.minimum.reduceat((x ^ seed[k]) * factor[k], starts)
             out[full, k] = -np.log1p(-(low.astype(np.float64) + 0.5) / 2.0**64) / RATE
     return out
 
@@ -78,22 +107,29 @@ def on_scale(minima: np.ndarray, base: float, top: int) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(minima) / np.log(base)), 0, top)
 
 
-def likely(a: np.ndarray, n_a: int, b: np.ndarray, n_b: np.ndarray, least: float = FILTER) -> np.ndarray:
-    """Whether the maximum-likelihood similarity of a with each row of b is at least `least`, and the sizes allow a link.
+def _odds(x):
+    """The chance that a register is larger on one side, of the share x of the union's weight that only this side has."""
+    return -np.log(1 - (COARSE - 1) / COARSE * np.maximum(x, 1e-9)) / np.log(COARSE)
 
-    The log-likelihood of the counts of larger, smaller and equal registers is concave in the similarity, so its maximum is
-    at `least` or above if its slope there isn't negative.
-    """
-    u = n_a / (n_a + n_b)
+
+def slope(u: float, more: np.ndarray, less: np.ndarray, same: np.ndarray, least: float) -> np.ndarray:
+    """Slope at `least` of the log-likelihood of the counts of larger, smaller and equal registers."""
     v = 1 - u
-    more, less = (a > b).sum(1), (a < b).sum(1)
-    same = b.shape[1] - more - less
     c, log = (COARSE - 1) / COARSE, np.log(COARSE)
     x, y = np.maximum(u - v * least, 1e-9), np.maximum(v - u * least, 1e-9)
-    p, q = -np.log(1 - c * x) / log, -np.log(1 - c * y) / log
+    p, q = _odds(x), _odds(y)
     dp, dq = c / (log * (1 - c * x)), c / (log * (1 - c * y))
-    slope = -more * v * dp / p - less * u * dq / q + same * (v * dp + u * dq) / (1 - p - q)
-    return (slope >= 0) & (100 * np.minimum(n_a, n_b) >= LINK_PERCENT * np.maximum(n_a, n_b))
+    return -more * v * dp / p - less * u * dq / q + same * (v * dp + u * dq) / (1 - p - q)
+
+
+def likely(a: np.ndarray, n_a: int, b: np.ndarray, n_b: np.ndarray, percent: int = LINK_PERCENT) -> np.ndarray:
+    """Whether the maximum-likelihood similarity of a with each row of b is high enough for `percent`, and the sizes allow a link.
+
+    The log-likelihood is concave in the similarity, so its maximum is at a similarity or above if its slope there isn't negative.
+    """
+    more, less = (a > b).sum(1), (a < b).sum(1)
+    up = slope(n_a / (n_a + n_b), more, less, b.shape[1] - more - less, tuning(percent)[1])
+    return (up >= 0) & (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b))
 
 
 def search(n: int, near, part: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -117,8 +153,9 @@ def search(n: int, near, part: np.ndarray | None = None) -> list[tuple[int, int]
     return edges
 
 
-def sketch(docs: DataFrame) -> DataFrame:
+def sketch(docs: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
     """doc_id, rank, n_shingles, digest (of the set), fine (bands), coarse (likelihood) of (doc_id, text) rows."""
+    width = tuning(percent)[0] * ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,8 +165,8 @@ def sketch(docs: DataFrame) -> DataFrame:
             for a, b in slices(offs):
                 o = offs[a : b + 1]
                 sets = shingle_sets(data[o[0] : o[-1]], o - o[0])
-                minima = registers(sets)
-                fine = on_scale(minima[:, : BANDS * ROWS], FINE, 65535).astype("<u2")
+                minima = registers(sets, max(REGISTERS, width))
+                fine = on_scale(minima[:, :width], FINE, 65535).astype("<u2")
                 coarse = on_scale(minima[:, :REGISTERS], COARSE, 255).astype(np.uint8)
                 ids = batch.column(0).slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
@@ -166,20 +203,21 @@ def _edge_table(ranks: np.ndarray, edges: list[tuple[int, int]]) -> pa.Table:
     return pa.table([pa.array(ranks[e[:, 0]]), pa.array(ranks[e[:, 1]])], names=["u", "v"])
 
 
-def meet(classes: DataFrame, folder: str) -> DataFrame:
+def meet(classes: DataFrame, folder: str, percent: int = LINK_PERCENT) -> DataFrame:
     """Edges that span, over all bands, what the likelihood lets through."""
+    count = tuning(percent)[0]
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            fine = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u2").reshape(n, BANDS, ROWS).astype(np.uint64)
+            fine = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u2").reshape(n, count, ROWS).astype(np.uint64)
             with np.errstate(over="ignore"):
-                key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (n, BANDS)).copy()
+                key = np.broadcast_to(np.arange(count, dtype=np.uint64), (n, count)).copy()
                 for r in range(ROWS):
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + fine[:, :, r] + np.uint64(1))
-            row = np.repeat(np.arange(n), BANDS)
+            row = np.repeat(np.arange(n), count)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key.ravel().view(np.int64)), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), batch.column(3).take(pa.array(row))], names=["key", "rank", "n_shingles", "coarse"]
             )
@@ -193,7 +231,7 @@ def meet(classes: DataFrame, folder: str) -> DataFrame:
     def group(key: list[np.ndarray]) -> pa.RecordBatch:
         rank, n, part, coarse = (np.concatenate([x[i] for x in key]) for i in range(4))
         pairwise = part if part.min() != part.max() else None
-        edges = search(len(rank), lambda i, pool: likely(coarse[i], int(n[i]), coarse[pool], n[pool]), pairwise)
+        edges = search(len(rank), lambda i, pool: likely(coarse[i], int(n[i]), coarse[pool], n[pool], percent), pairwise)
         return _edge_table(rank, edges).combine_chunks().to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +256,7 @@ def meet(classes: DataFrame, folder: str) -> DataFrame:
     return rows.mapInArrow(run, _EDGES).distinct()
 
 
-def exact_edges(sets: list[np.ndarray], part: np.ndarray) -> list[tuple[int, int]]:
+def exact_edges(sets: list[np.ndarray], part: np.ndarray, percent: int = LINK_PERCENT) -> list[tuple[int, int]]:
     """Spanning edges of the exact links among the sets; with several parts, of those between different ones."""
     size = np.array([len(s) for s in sets], np.int64)
     values, number = np.unique(np.concatenate(sets), return_inverse=True)
@@ -232,12 +270,12 @@ def exact_edges(sets: list[np.ndarray], part: np.ndarray) -> list[tuple[int, int
         lens = start[own + 1] - start[own]
         at = np.repeat(start[own] - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(lens.sum())
         common = np.bincount(holder[at], minlength=len(sets))[pool]
-        return 100 * common >= LINK_PERCENT * (size[i] + size[pool] - common)
+        return 100 * common >= percent * (size[i] + size[pool] - common)
 
     return search(len(sets), near, part if part.min() != part.max() else None)
 
 
-def verify(docs: DataFrame, members: DataFrame, folder: str) -> DataFrame:
+def verify(docs: DataFrame, members: DataFrame, folder: str, percent: int = LINK_PERCENT) -> DataFrame:
     """Edges that span the exact links. members: rank, component."""
     sizes = members.groupBy("component").agg(F.count("*").alias("size"))
     placed = in_cells(members, "component", sizes, CELL_DOCS)
@@ -252,13 +290,13 @@ def verify(docs: DataFrame, members: DataFrame, folder: str) -> DataFrame:
             sets.extend(shingle_sets(data[o[0] : o[-1]], o - o[0]))
         full = [i for i, s in enumerate(sets) if len(s)]
         rank, part = table.column("rank").to_numpy()[full], table.column("part").to_numpy()[full]
-        return _edge_table(rank, exact_edges([sets[i] for i in full], part) if full else [])
+        return _edge_table(rank, exact_edges([sets[i] for i in full], part, percent) if full else [])
 
     return rows.groupBy("component", "cell").applyInArrow(run, _EDGES).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each row of docs.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = LINK_PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row for each row of docs. Links: see LINK_PERCENT.
 
     Documents of the same doc_id are one, linked with what either text is linked with. A row with a null text, or one without
     words, is linked with nothing. Rows with a null doc_id count as one document that comes after all others: its component_id is null
@@ -267,14 +305,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = session(docs)
     folder = shared_folder(spark)
     rows = id_text(docs, id_col, text_col)
-    sketches = written(sketch(rows), folder, "sketches")
+    sketches = written(sketch(rows, percent), folder, "sketches")
     full = sketches.filter("n_shingles > 0")
     classes = full.groupBy("digest").agg(F.min("rank").alias("rank"), F.min_by("n_shingles", "rank").alias("n_shingles"), F.min_by("fine", "rank").alias("fine"), F.min_by("coarse", "rank").alias("coarse"))
     classes = written(classes, folder, "classes")
-    loose = connected_components(meet(classes, folder), folder, "loose").withColumnRenamed("node", "rank")
+    loose = connected_components(meet(classes, folder, percent), folder, "loose").withColumnRenamed("node", "rank")
     # one text of each class; where rows share a doc_id, each of its texts
     texts = rows.withColumn("rank", F.coalesce("doc_id", F.lit(NO_ID))).select("rank", "text")
-    exact = verify(texts, loose, folder)
+    exact = verify(texts, loose, folder, percent)
     found = connected_components(exact.unionByName(_same_id(full, classes, folder)), folder, "links").withColumnRenamed("node", "rank")
     # copies get their class's component by its digest, so a class of very many copies is no hub of edges
     labels = classes.select("digest", "rank").join(found, "rank", "left").select("digest", F.coalesce("component", "rank").alias("low"))
@@ -295,7 +333,7 @@ def _same_id(full: DataFrame, classes: DataFrame, folder: str) -> DataFrame:
 
 
 def op8_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), percent=LINK_PERCENT)
 
 
 ORACLE_SQL = rf"""

@@ -178,6 +178,30 @@ def test_near_duplicates(spark, monkeypatch, limits):
     assert got == want and sum(not r[3] for r in want) > 30
 
 
+def test_near_duplicates_of_another_percent(spark):
+    rows = [(i, t) for i, t in near_corpus() if i is not None and i < 2000]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame(spark, rows), percent=80).collect()}
+    words = {i: t.lower().split() for i, t in rows}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in words.items()}
+    want = {i: i for i in sets}
+    for _ in sets:
+        before = dict(want)
+        for i in sets:
+            want[i] = min(want[j] for j in sets if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]))
+        if want == before:
+            break
+    assert got == want
+    assert len(set(want.values())) < sum(r.kept for r in near_dedup.near_duplicates(frame(spark, rows)).collect())
+
+
+def test_pipeline_links_from_80_percent(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    texts = [" ".join(f"w{i}" for i in range(100)), " ".join("x" if i in (30, 60) else f"w{i}" for i in range(100)), " ".join("x" if i in (20, 50, 80) else f"v{i}" for i in range(100)), " ".join(f"v{i}" for i in range(100))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    # the first two share 86 of 106 shingles, the others 81 of 111
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [0, 2, 3]
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(frame(spark, [])).count() == 0
 
