@@ -42,7 +42,7 @@ _LETTER[97:123] = _LETTER[128:] = True
 _gap = ~_LETTER
 _SPECIAL = byte_set(b"0123456789@$!|+(*")
 _APART = byte_set(b".-_")
-_edges = ".,;:!?\"'#%&*$<>|()[]{}"
+_edges = ".,;:?\"'#%&<>)[]{}"  # what imitates a letter is left to the lattice, which may drop it
 _stretched = re.compile(r"([^\W\d_])\1\1")
 _mixed = re.compile(r"[^\W\d_].*[0-9@$!|+(€£¢*]|[0-9@$!|+(€£¢*].*[^\W\d_]")
 _dotted = re.compile(r"(?:[^\W_]|[@$!|+(])(?:[.\-_](?:[^\W_]|[@$!|+(])){3,}")
@@ -103,6 +103,7 @@ def readings(token: str, model: CharModel, n: int = READINGS) -> list[str]:
     A state is the last two bytes restored; each keeps its best `n` paths.
     """
     token = token.lower()
+    solid = [i for i, x in enumerate(token) if x.isalnum()] or [len(token)]
     paths: dict[tuple[int, int], list[tuple[float, bytes]]] = {(32, 32): [(0.0, b"")]}
     for i, x in enumerate(token):
         options: list[tuple[str, float]] = []
@@ -115,7 +116,7 @@ def readings(token: str, model: CharModel, n: int = READINGS) -> list[str]:
             if i and token[i - 1] == x:
                 options.append(("", REPEATED + IMITATED))
         if not x.isalpha():
-            options.append(("", DROPPED if x in " .-_'" else 3 * DROPPED))
+            options.append(("", DROPPED if x in " .-_'" or not solid[0] <= i <= solid[-1] else 3 * DROPPED))
         after: dict[tuple[int, int], list[tuple[float, bytes]]] = {}
         for (a, b), best in paths.items():
             for c, channel in options:
@@ -148,9 +149,9 @@ def disguised(data: np.ndarray, offs: np.ndarray) -> list[tuple[int, str]]:
     at = np.concatenate([np.flatnonzero(_SPECIAL[x]), ascii_run, pair_run, apart])
     raw, found = data.tobytes(), []
     for w in np.unique(np.searchsorted(a, at, "right") - 1).tolist():
-        if w >= 0 and 3 < b[w] - a[w] <= 4 * MAX_TOKEN:
+        if w >= 0 and 3 <= b[w] - a[w] <= 4 * MAX_TOKEN:
             t = raw[a[w] : b[w]].decode(errors="replace").strip(_edges)
-            if 3 < len(t) <= MAX_TOKEN and (_stretched.search(t) or _mixed.search(t) or _dotted.fullmatch(t)):
+            if 3 <= len(t) <= MAX_TOKEN and (_stretched.search(t) or _mixed.search(t) or _dotted.fullmatch(t)):
                 found.append((int(r[w]), t))
     lead = x[a]
     single = b - a == np.where(lead < 128, 1, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, 4)))

@@ -298,3 +298,23 @@ def test_toxicity_held_out_and_disguised(spark):
     assert min(scores[i] for i in (1000, 1001, 1002)) > 0.5 > max(scores[i] for i in (1003, 1004))
     assert toxicity.toxicity(docs, labels.limit(0), lambda c: c % 3 != 1, label_col="label").count() == 408
     assert toxicity.toxicity(docs.limit(0), labels, lambda c: c % 3 != 1, label_col="label").count() == 0
+
+
+def char_model(words):
+    text = np.frombuffer(f" {' '.join(words)} ".encode(), np.uint8).astype(np.int64)
+    g = text[:-2] << 16 | text[1:-1] << 8 | text[2:]
+    grams, n = np.unique(g[text[1:-1] != 32], return_counts=True)
+    return toxicity.CharModel(grams, n.astype(float))
+
+
+def words_read(text, model):
+    found = toxicity.disguised(*flat(pa.array([text.lower()])))
+    return {w for _, t in found for reading in toxicity.readings(t, model) for w in reading.split()}
+
+
+def test_words_disguised_at_their_edges():
+    model = char_model((WORDS + ["stupid", "idiot", "moron", "ass", "gas", "you", "are", "a"]) * 20)
+    for hidden, word in [("$tupid", "stupid"), ("$tup1d", "stupid"), ("!diot", "idiot"), ("|diot", "idiot"), ("*diot", "idiot"), ("@ss", "ass"), ("a$$", "ass"), ("g@s", "gas"), ("m0ron", "moron")]:
+        assert word in words_read(f"the river {hidden} stone", model), hidden
+    for decorated in ("stup1d!", "(stup1d)", "*stup1d*", "$$stup1d!!", "|stup1d|"):
+        assert "stupid" in words_read(f"the river {decorated} stone", model), decorated
