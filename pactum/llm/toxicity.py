@@ -29,9 +29,6 @@ SIGNIFICANCE = -5.0
 PREFIXES = (4, 5, 6, 7)
 #: Readings of a disguised token that are scored.
 READINGS = 3
-#: Longer tokens aren't taken for disguised words.
-MAX_TOKEN = 40
-
 #: Characters used in place of letters.
 IMITATES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "gq", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¢": "c", "*": "aeiou"}
 #: Log-probabilities of the channel.
@@ -43,6 +40,7 @@ _gap = ~_LETTER
 _SPECIAL = byte_set(b"0123456789@$!|+(*")
 _APART = byte_set(b".-_")
 _edges = ".,;:?\"'#%&<>)[]{}"  # what imitates a letter is left to the lattice, which may drop it
+_run = re.compile(r"(.)\1{3,}", re.DOTALL)
 _stretched = re.compile(r"([^\W\d_])\1\1")
 _mixed = re.compile(r"[^\W\d_].*[0-9@$!|+(€£¢*]|[0-9@$!|+(€£¢*].*[^\W\d_]")
 _dotted = re.compile(r"(?:[^\W_]|[@$!|+(])(?:[.\-_](?:[^\W_]|[@$!|+(])){3,}")
@@ -100,44 +98,71 @@ class CharModel:
 def readings(token: str, model: CharModel, n: int = READINGS) -> list[str]:
     """The likeliest words behind a disguised token, best first, by a Viterbi search over its lattice.
 
-    A state is the last two bytes restored; each keeps its best `n` paths.
+    A state is the last two bytes restored; each keeps its best `n` paths, so time and memory grow with the token's length. A
+    blank stays or is dropped, and what stays ends a word. A path is its score, a hash of what it restored, and its last byte with
+    the path before.
     """
     token = token.lower()
     solid = [i for i, x in enumerate(token) if x.isalnum()] or [len(token)]
-    paths: dict[tuple[int, int], list[tuple[float, bytes]]] = {(32, 32): [(0.0, b"")]}
+    paths: dict[tuple[int, int], list[tuple]] = {(32, 32): [(0.0, 0, None)]}
     for i, x in enumerate(token):
-        options: list[tuple[str, float]] = []
+        options: list[tuple[bytes, float]] = []
         if x.isalpha():
-            options.append((x, SAME))
+            options.append((x.encode(), SAME))
             if i and token[i - 1] == x:
-                options.append(("", REPEATED))
+                options.append((b"", REPEATED))
         for c in IMITATES.get(x, ""):
-            options.append((c, IMITATED))
+            options.append((c.encode(), IMITATED))
             if i and token[i - 1] == x:
-                options.append(("", REPEATED + IMITATED))
+                options.append((b"", REPEATED + IMITATED))
         if not x.isalpha():
-            options.append(("", DROPPED if x in " .-_'" or not solid[0] <= i <= solid[-1] else 3 * DROPPED))
-        after: dict[tuple[int, int], list[tuple[float, bytes]]] = {}
+            options.append((b"", DROPPED if x in " .-_'" or not solid[0] <= i <= solid[-1] else 3 * DROPPED))
+        if x == " ":
+            options.append((b" ", DROPPED))
+        after: dict[tuple[int, int], dict[int, tuple]] = {}
         for (a, b), best in paths.items():
             for c, channel in options:
                 p, q, gain = a, b, channel
-                for byte in c.encode():
-                    gain += model.log(p, q, byte)
-                    p, q = q, byte
-                after.setdefault((p, q), []).extend((s + gain, w + c.encode()) for s, w in best)
-        paths = {k: sorted(set(v), reverse=True)[:n] for k, v in after.items()}
-    ends = [(s + model.log(a, b, 32), w) for (a, b), best in paths.items() for s, w in best if w]
+                if c == b" ":
+                    if b == 32:  # no word to end
+                        continue
+                    gain += model.log(a, b, 32)
+                    p = q = 32
+                else:
+                    for byte in c:
+                        gain += model.log(p, q, byte)
+                        p, q = q, byte
+                into = after.setdefault((p, q), {})
+                for s, key, node in best:
+                    for byte in c:
+                        key, node = (key * 1_000_003 + byte + 1) & 0xFFFFFFFFFFFFFFF, (byte, node)
+                    if key not in into or s + gain > into[key][0]:
+                        into[key] = (s + gain, key, node)
+        paths = {k: sorted(v.values(), key=lambda x: x[:2], reverse=True)[:n] for k, v in after.items()}
+    # a blank at the end has ended its word already
+    ends = [(s + (model.log(a, b, 32) if b != 32 else 0.0), key, node) for (a, b), best in paths.items() for s, key, node in best if node]
     out: list[str] = []
-    for _, w in sorted(ends, reverse=True):
-        if (word := w.decode(errors="ignore")) not in out:
-            out.append(word)
+    for _, _, node in sorted(ends, key=lambda x: x[:2], reverse=True):
+        word = bytearray()
+        while node:
+            word.append(node[0])
+            node = node[1]
+        if (text := word[::-1].decode(errors="ignore").strip()) and text not in out:
+            out.append(text)
     return out[:n]
 
 
+def _within_rows(r: np.ndarray, i: int, j: int) -> list[tuple[int, int]]:
+    """Words i to j, cut where a row ends."""
+    cut = [i, *(np.flatnonzero(np.diff(r[i:j])) + i + 1).tolist(), j]
+    return list(zip(cut[:-1], cut[1:], strict=True))
+
+
 def disguised(data: np.ndarray, offs: np.ndarray) -> list[tuple[int, str]]:
-    """(row, token) of what may hide a word: tokens with imitating, stretched or separated characters, and four single characters or more in a row.
+    """(row, token) of what may hide a word: tokens with imitating, stretched or separated characters, and three single characters or more in a row.
 
-    Bytes are searched first, and only tokens found so are looked at one by one.
+    Bytes are searched first, and only tokens found so are looked at one by one. Of a character stretched further, three stay:
+    they can be read as one, two or three.
     """
     a, b, r = find_words(data, offs)
     if not len(a):
@@ -149,19 +174,17 @@ def disguised(data: np.ndarray, offs: np.ndarray) -> list[tuple[int, str]]:
     at = np.concatenate([np.flatnonzero(_SPECIAL[x]), ascii_run, pair_run, apart])
     raw, found = data.tobytes(), []
     for w in np.unique(np.searchsorted(a, at, "right") - 1).tolist():
-        if w >= 0 and 3 <= b[w] - a[w] <= 4 * MAX_TOKEN:
-            t = raw[a[w] : b[w]].decode(errors="replace").strip(_edges)
-            if 3 <= len(t) <= MAX_TOKEN and (_stretched.search(t) or _mixed.search(t) or _dotted.fullmatch(t)):
+        if w >= 0 and b[w] - a[w] >= 3:
+            t = _run.sub(r"\1\1\1", raw[a[w] : b[w]].decode(errors="replace").strip(_edges))
+            if len(t) >= 3 and (_stretched.search(t) or _mixed.search(t) or _dotted.fullmatch(t)):
                 found.append((int(r[w]), t))
     lead = x[a]
     single = b - a == np.where(lead < 128, 1, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, 4)))
     edge = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
     for i, j in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-        if j - i >= 4:
-            for k in range(i, j, MAX_TOKEN):  # a longer run is read in parts
-                e = min(k + MAX_TOKEN, j)
-                if r[k] == r[e - 1]:
-                    found.append((int(r[k]), " ".join(raw[a[w] : b[w]].decode(errors="replace") for w in range(k, e))))
+        for k, e in _within_rows(r, i, j):
+            if e - k >= 3:
+                found.append((int(r[k]), " ".join(raw[a[w] : b[w]].decode(errors="replace") for w in range(k, e))))
     return found
 
 

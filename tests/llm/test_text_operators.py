@@ -318,3 +318,21 @@ def test_words_disguised_at_their_edges():
         assert word in words_read(f"the river {hidden} stone", model), hidden
     for decorated in ("stup1d!", "(stup1d)", "*stup1d*", "$$stup1d!!", "|stup1d|"):
         assert "stupid" in words_read(f"the river {decorated} stone", model), decorated
+
+
+def test_long_and_spaced_disguises():
+    model = char_model((WORDS + ["stupid", "idiot", "you", "are", "a", "you", "are", "a"]) * 20)
+    spaced = lambda text: " ".join(text.replace(" ", ""))
+    for hidden, word in [
+        ("stu" + "p" * 60 + "id", "stupid"),
+        ("s" + "t" * 300 + "upid", "stupid"),
+        ("you are a s t u p i d", "stupid"),
+        ("y o u i d i o t", "idiot"),
+        (spaced("the river and green stone house walks of the table ") + " " + spaced("you are a stupid"), "stupid"),
+        ("x" + "-q7" * 60 + " 1d10t", "idiot"),
+    ]:
+        assert word in words_read(f"river {hidden} stone", model), hidden
+    # runs of single characters end with their row
+    assert {r for r, _ in toxicity.disguised(*flat(pa.array(["a b c", "d e f", "g h"])))} == {0, 1}
+    # time grows with the length
+    assert toxicity.readings("1d10t-" * 2000, model)
