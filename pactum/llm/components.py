@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 
-#: Rounds are logarithmic in the longest path; this many would take paths no table can hold.
-MAX_ROUNDS = 60
-
 
 def connected_components(edges: DataFrame, folder: str, name: str) -> DataFrame:
     """node, component (the smallest node reachable), for every node of an edge; edges has u and v (long).
@@ -19,7 +18,7 @@ def connected_components(edges: DataFrame, folder: str, name: str) -> DataFrame:
     """
     e = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), folder, f"{name}-edges")
     before = None
-    for k in range(MAX_ROUNDS):
+    for k in count():  # rounds are logarithmic in the longest path
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()

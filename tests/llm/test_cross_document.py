@@ -222,6 +222,12 @@ def test_sketches_merge_and_estimate():
         assert near_dedup.likely(s[0], len(x), s[1:], np.array([len(y)]))[0] == expected
 
 
+def test_components_loop_until_nothing_changes(spark, monkeypatch):
+    monkeypatch.setattr(components, "MAX_ROUNDS", 2, raising=False)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "u long, v long")
+    assert {r.component for r in components.connected_components(edges, shared_folder(spark), "c").collect()} == {0}
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5000, 5001 + i) for i in range(200)] + [(7, 7)]
