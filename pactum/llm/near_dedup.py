@@ -32,7 +32,7 @@ LINK_PERCENT = 85
 #: A band is ROWS registers, and REGISTERS are for the likelihood. `tuning` derives the other settings from the percent.
 ROWS, REGISTERS = 3, 64
 #: A pair just similar enough misses all bands, or is given up by the likelihood, with at most this probability each.
-MISS, GIVE_UP = 6e-9, 1.3e-6
+MISS, GIVE_UP = 6e-9, 1e-8
 #: Bases of the scale for bands (16 bits) and for the likelihood (8 bits), and the rate of the exponential hashes.
 FINE, COARSE, RATE = 1.001, 1.08, 20.0
 #: Documents of a band key, and of a component, that meet in one group; more are dealt to cells of pairs of parts.

@@ -1,6 +1,7 @@
 """Operators that compare documents: suffix-array dedup, substring dedup, near-dedup, components, the pipeline. Brute force decides."""
 
 import hashlib
+import math
 import random
 import re
 from collections import defaultdict
@@ -228,6 +229,21 @@ def test_components_loop_until_nothing_changes(spark, monkeypatch):
     assert {r.component for r in components.connected_components(edges, shared_folder(spark), "c").collect()} == {0}
 
 
+def test_filter_keeps_links():
+    n = near_dedup.REGISTERS
+    for percent in (80, 85):
+        s, least = percent / 100, near_dedup.tuning(percent)[1]
+        alike = 1 + 2 * math.log(1 - (near_dedup.COARSE - 1) / near_dedup.COARSE * (1 - s) / 2) / math.log(near_dedup.COARSE)
+        lost = 0.0
+        for same in range(n + 1):
+            for more in range(n - same + 1):
+                a, b = np.zeros(n, np.uint8), np.zeros((1, n), np.uint8)
+                a[same : same + more], b[0, same + more :] = 1, 1
+                if not near_dedup.likely(a, 1000, b, np.array([1000]), percent)[0]:
+                    lost += math.comb(n, same) * math.comb(n - same, more) * alike**same * ((1 - alike) / 2) ** (n - same)
+        assert lost <= 1e-8 and least < s
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5000, 5001 + i) for i in range(200)] + [(7, 7)]
