@@ -6,6 +6,8 @@ import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -16,27 +18,58 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 20
 #: Rows and bytes of one Arrow batch.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+#: Longest span whose hash is a polynomial.
+PLAIN_BYTES = 256
 #: Stands for a null doc_id inside operators that order documents: after every real one.
 NO_ID = (1 << 63) - 1
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15
 _WORD_STEP = 0xD6E8FEB86659FD93
+#: Ranks of rows with a null id begin here; real ids lie below.
+NULL_RANKS = 1 << 62
+
+#: Settings that operators need while their results are computed. They are left in the session, as results are lazy, and are
+#: only set where the session has none of its own: Arrow batches bounded in rows and bytes, and shuffle files that go when a
+#: job ends and not when the driver happens to collect garbage.
+SETTINGS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS),
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES),
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
+_work: ContextVar[str | None] = ContextVar("work", default=None)
 
 
 def session(df: DataFrame) -> SparkSession:
-    """The DataFrame's session, with Arrow batches bounded in rows and bytes."""
+    """The DataFrame's session, with SETTINGS where it has none of its own."""
     spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    # A job's shuffle files go when it ends, not when the driver happens to collect garbage.
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    own = spark.conf.getAll
+    for k, v in SETTINGS.items():
+        if k not in own:
+            spark.conf.set(k, v)
     return spark
 
 
+@contextmanager
+def work_folder(spark: SparkSession) -> Iterator[str]:
+    """A folder that holds all intermediate tables of the operators called inside, and goes at the end; write results elsewhere before."""
+    path = shared_folder(spark)
+    token = _work.set(path)
+    try:
+        yield path
+    finally:
+        _work.reset(token)
+        remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset (tests), below a local one that is set as the checkpoint folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder inside the current work_folder, or else below spark.checkpoint.dir; where that is unset (tests), below a local one that is set as the checkpoint folder."""
+    root = _work.get() or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
@@ -60,6 +93,27 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *mo
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), *[docs[c] for c in more])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with underscores until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def ranked(docs: DataFrame, folder: str, id_col: str = "doc_id", name: str = "rank") -> DataFrame:
+    """Adds `name`: the id, or for a null id a number of its own from NULL_RANKS on.
+
+    Rows with a null id are written first, so that every later use sees the same numbers.
+    """
+    key = docs[id_col].cast("long")
+    rest = docs.filter(key.isNotNull()).withColumn(name, key)
+    nulls = docs.filter(key.isNull())
+    if nulls.isEmpty():
+        return rest
+    return rest.unionByName(written(nulls.withColumn(name, F.lit(NULL_RANKS) + F.monotonically_increasing_id()), folder, "null-ids"))
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column, and offsets (one more than rows). Null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -165,14 +219,20 @@ def find_words(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -
 
 
 def hash_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each data[a:b]."""
+    """A 64-bit hash of each data[a:b].
+
+    Polynomials modulo 2**64 have known collisions among strings of 1,024 bytes and more, so long spans are hashed by a digest.
+    """
     if not len(a):
         return np.zeros(0, np.uint64)
     up, down = _power_tables(len(data) + 1)
     with np.errstate(over="ignore"):
         c = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_byte_values[data] * up[: len(data)], out=c[1:])
-        return mix((c[b] - c[a]) * down[a] + (b - a).astype(np.uint64))
+        out = mix((c[b] - c[a]) * down[a] + (b - a).astype(np.uint64))
+    for i in np.flatnonzero(b - a > PLAIN_BYTES).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[a[i] : b[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def window_hashes(h: np.ndarray, n: int, step: int = _WORD_STEP) -> np.ndarray:

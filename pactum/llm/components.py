@@ -7,26 +7,45 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import remove, written
+
+
+#: A node with more edges than a share of all is a hub, and than this; there are at most 2 * HUBS hubs.
+HUBS, LEAST_HUB = 20_000, 200
+
+
+def _with_least(e: DataFrame, total: int) -> DataFrame:
+    """u, v, m for each edge: m is the least of u's neighbours and u.
+
+    Minima are pre-aggregated before their shuffle. Edges of hubs get theirs from a broadcast of the hubs (at most 2 * HUBS rows, as
+    degrees add up to 2 * total at most), so that no task gets all edges of one; the rest meet by a join on u.
+    """
+    many = max(LEAST_HUB, total // HUBS)
+    low = e.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+    hubs = F.broadcast(low.filter(F.col("n") > many).select("u", "m"))
+    rest = e.join(hubs.select("u"), "u", "left_anti").join(low.filter(F.col("n") <= many).select("u", "m").hint("merge"), "u")
+    return e.join(hubs, "u").select("u", "v", "m").unionByName(rest.select("u", "v", "m"))
 
 
 def connected_components(edges: DataFrame, folder: str, name: str) -> DataFrame:
     """node, component (the smallest node reachable), for every node of an edge; edges has u and v (long).
 
-    Self-loops and repeated edges are ignored; no edges give no rows. Minima are pre-aggregated before each shuffle, so a node
-    with very many edges is no hot spot; rounds are written to the shared folder.
+    Self-loops and repeated edges are ignored; no edges give no rows. Rounds are written to the shared folder; each takes the place
+    of the one before.
     """
+    spark = edges.sparkSession
     e = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), folder, f"{name}-edges")
-    before = None
+    last, before = f"{folder}/{name}-edges", None
+    total = e.count()
     for k in count():  # rounds are logarithmic in the longest path
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), "m").unionByName(low)
+        large = _with_least(both, total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        small = _with_least(large, total).select(F.col("v").alias("u"), "m").unionByName(large.groupBy("u").agg(F.min("v").alias("m")))
         e = written(small.filter("u <> m").select("u", F.col("m").alias("v")).distinct(), folder, f"{name}-{k}")
+        remove(spark, last)
+        last = f"{folder}/{name}-{k}"
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
             break
-        before = now
+        total, before = now[0], now
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, find_words, flat, hash_spans, id_text, lower_ascii, mix, session, shared_folder, slices, window_hashes, written
+from .common import NULL_RANKS, find_words, flat, free_name, hash_spans, id_text, lower_ascii, mix, ranked, session, shared_folder, slices, window_hashes, written
 from .components import connected_components
 
 SHINGLE = 5
@@ -154,25 +154,24 @@ def search(n: int, near, part: np.ndarray | None = None) -> list[tuple[int, int]
 
 
 def sketch(docs: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
-    """doc_id, rank, n_shingles, digest (of the set), fine (bands), coarse (likelihood) of (doc_id, text) rows."""
+    """doc_id, rank, n_shingles, digest (of the set), fine (bands), coarse (likelihood) of (doc_id, rank, text) rows."""
     width = tuning(percent)[0] * ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            data, offs = flat(batch.column(1))
+            data, offs = flat(batch.column(2))
             for a, b in slices(offs):
                 o = offs[a : b + 1]
                 sets = shingle_sets(data[o[0] : o[-1]], o - o[0])
                 minima = registers(sets, max(REGISTERS, width))
                 fine = on_scale(minima[:, :width], FINE, 65535).astype("<u2")
                 coarse = on_scale(minima[:, :REGISTERS], COARSE, 255).astype(np.uint8)
-                ids = batch.column(0).slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids,
-                        ids.fill_null(NO_ID),
+                        batch.column(0).slice(a, b - a),
+                        batch.column(1).slice(a, b - a),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                         pa.array([x.tobytes() for x in fine], pa.binary()),
@@ -299,26 +298,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_shingles, component_id, kept: one row for each row of docs. Links: see LINK_PERCENT.
 
     Documents of the same doc_id are one, linked with what either text is linked with. A row with a null text, or one without
-    words, is linked with nothing. Rows with a null doc_id count as one document that comes after all others: its component_id is null
-    unless it is linked with another, and kept is then true. An empty table gives no rows. Other columns are not read.
+    words, is linked with nothing. Each row with a null doc_id is a document of its own, and comes after all that have one: its
+    component_id is null unless it is linked with one that has; of a group of such rows alone, one is kept. Ids lie below
+    NULL_RANKS. An empty table gives no rows. Other columns are not read.
     """
-    spark = session(docs)
-    folder = shared_folder(spark)
-    rows = id_text(docs, id_col, text_col)
+    folder = shared_folder(session(docs))
+    out = _groups(ranked(id_text(docs, id_col, text_col), folder), folder, percent)
+    return out.select("doc_id", "n_shingles", F.when(F.col("low") < NULL_RANKS, F.col("low")).alias("component_id"), (F.col("low") == F.col("rank")).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = LINK_PERCENT) -> DataFrame:
+    """The rows of docs, all columns, of the documents that near_duplicates keeps. All rows of a kept doc_id stay."""
+    folder = shared_folder(session(docs))
+    name = free_name(docs, "__rank")
+    rows = ranked(docs, folder, id_col, name)
+    gone = _groups(id_text(rows, id_col, text_col, name).withColumnRenamed(name, "rank"), folder, percent).filter("low <> rank")
+    return rows.join(gone.select(F.col("rank").alias(name)).distinct(), name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _groups(rows: DataFrame, folder: str, percent: int) -> DataFrame:
+    """doc_id, rank, n_shingles, low (the least rank reachable) of (doc_id, text, rank) rows."""
+    rows = rows.select("doc_id", "rank", "text")
     sketches = written(sketch(rows, percent), folder, "sketches")
     full = sketches.filter("n_shingles > 0")
     classes = full.groupBy("digest").agg(F.min("rank").alias("rank"), F.min_by("n_shingles", "rank").alias("n_shingles"), F.min_by("fine", "rank").alias("fine"), F.min_by("coarse", "rank").alias("coarse"))
     classes = written(classes, folder, "classes")
     loose = connected_components(meet(classes, folder, percent), folder, "loose").withColumnRenamed("node", "rank")
     # one text of each class; where rows share a doc_id, each of its texts
-    texts = rows.withColumn("rank", F.coalesce("doc_id", F.lit(NO_ID))).select("rank", "text")
-    exact = verify(texts, loose, folder, percent)
+    exact = verify(rows.select("rank", "text"), loose, folder, percent)
     found = connected_components(exact.unionByName(_same_id(full, classes, folder)), folder, "links").withColumnRenamed("node", "rank")
     # copies get their class's component by its digest, so a class of very many copies is no hub of edges
     labels = classes.select("digest", "rank").join(found, "rank", "left").select("digest", F.coalesce("component", "rank").alias("low"))
     out = sketches.select("doc_id", "rank", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(labels, "digest", "left")
-    out = out.withColumn("low", F.coalesce("low", "rank"))
-    return out.select("doc_id", "n_shingles", F.when(F.col("low") != NO_ID, F.col("low")).alias("component_id"), (F.col("low") == F.col("rank")).alias("kept"))
+    return out.select("doc_id", "rank", "n_shingles", F.coalesce("low", "rank").alias("low"))
 
 
 def _same_id(full: DataFrame, classes: DataFrame, folder: str) -> DataFrame:
@@ -337,8 +349,8 @@ def op8_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = rf"""
-WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS k,
-  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+WITH RECURSIVE d AS (SELECT r, doc_id, coalesce(doc_id, {NULL_RANKS} + r) AS k,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents)),
 s AS (SELECT DISTINCT r, array_to_string(list_slice(w, i, i + {SHINGLE - 1}), ' ') AS x FROM (SELECT r, w, unnest(range(1, greatest(2, len(w) - {SHINGLE - 2}))) AS i FROM d WHERE len(w) > 0)),
 n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
 pairs AS (SELECT a.r AS ra, b.r AS rb, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.r < b.r GROUP BY ALL),
@@ -346,6 +358,6 @@ links AS (SELECT da.k AS a, db.k AS b FROM pairs JOIN n na ON ra = na.r JOIN n n
 both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach(k, c) AS (SELECT DISTINCT k, k FROM d UNION SELECT b, c FROM reach JOIN both_ways ON k = a),
 comp AS (SELECT k, min(c) AS c FROM reach GROUP BY k)
-SELECT doc_id, coalesce(n, 0) AS n_shingles, CASE WHEN c < 9223372036854775807 THEN c END AS component_id, c = k AS kept
+SELECT doc_id, coalesce(n, 0) AS n_shingles, CASE WHEN c < {NULL_RANKS} THEN c END AS component_id, c = k AS kept
 FROM d LEFT JOIN n USING (r) JOIN comp USING (k)
 """

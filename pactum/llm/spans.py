@@ -54,9 +54,12 @@ def plan_for(docs: DataFrame, words: bool, window: int, gram: int) -> Plan:
 
 
 def in_blocks(docs: DataFrame, p: Plan, more: list[str] | None = None) -> DataFrame:
-    """blk, rank (doc_id; null last of all), doc_id, text, and `more` columns that go along."""
+    """blk, rank (doc_id; null last of all), doc_id, text, and `more` columns that go along.
+
+    The block follows from the text too, so rows that share an id, or have none, spread over blocks.
+    """
     return docs.select(
-        F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(NO_ID)), F.lit(p.window)), F.lit(p.blocks)).alias("blk"),
+        F.pmod(F.xxhash64("doc_id", "text", F.lit(p.window)), F.lit(p.blocks)).alias("blk"),
         F.coalesce("doc_id", F.lit(NO_ID)).alias("rank"),
         "doc_id",
         "text",

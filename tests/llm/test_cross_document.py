@@ -7,10 +7,11 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from pactum.llm import components, near_dedup, spans, substring_dedup, suffix_dedup
-from pactum.llm.common import shared_folder
+from pactum.llm import common, components, near_dedup, quality_rules, spans, substring_dedup, suffix_dedup
+from pactum.llm.common import flat, shared_folder
 
 LAST = 1 << 63
 DOCS = "doc_id long, text string, blk string, rank string, cell int, bucket int"  # with names that operators use inside
@@ -147,13 +148,14 @@ def near_corpus():
     return rows
 
 
-def brute_near(rows):
+def brute_near(rows, percent=85):
     def shingles(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
         return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
     sets = [shingles(t) for _, t in rows]
-    parent = {key(i): key(i) for i, _ in rows}
+    keys = [LAST + n if i is None else i for n, (i, _) in enumerate(rows)]  # a row without an id is a document of its own
+    parent = {k: k for k in keys}
 
     def root(x):
         while parent[x] != x:
@@ -162,11 +164,11 @@ def brute_near(rows):
 
     for a in range(len(rows)):
         for b in range(a):
-            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
-                x, y = root(key(rows[a][0])), root(key(rows[b][0]))
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = root(keys[a]), root(keys[b])
                 parent[max(x, y)] = min(x, y)
-    low = [root(key(i)) for i, _ in rows]
-    return sorted(((i, len(s), None if r == LAST else r, r == key(i)) for (i, _), s, r in zip(rows, sets, low, strict=True)), key=str)
+    low = [root(k) for k in keys]
+    return sorted(((i, len(s), None if r >= LAST else r, r == k) for (i, _), k, s, r in zip(rows, keys, sets, low, strict=True)), key=str)
 
 
 @pytest.mark.parametrize("limits", [(20_000, 192), (4, 3)])
@@ -203,6 +205,35 @@ def test_pipeline_links_from_80_percent(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [0, 2, 3]
 
 
+def test_rows_without_ids_are_documents_of_their_own(spark, tmp_path):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(5, a), (9, b), (None, a), (None, b), (None, "some other words of no one else"), (None, "some other words of no one else")]
+    got = sorted((tuple(r) for r in near_dedup.near_duplicates(frame(spark, rows)).collect()), key=str)
+    assert got == brute_near(rows) and [r[3] for r in got if r[0]] == [True, True]
+    kept = near_dedup.without_near_duplicates(frame(spark, rows).withColumnRenamed("cell", "__rank"))
+    assert kept.columns == ["doc_id", "text", "blk", "rank", "__rank", "bucket"]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([rows[0], rows[1], rows[4]], key=str)
+
+
+def test_null_ids_spread_over_blocks(spark):
+    rows = frame(spark, [(None if i % 2 else i, f"text {i}") for i in range(4000)])
+    p = spans.Plan(True, 13, 4, 16, 16)
+    sizes = [r["count"] for r in spans.in_blocks(rows.select("doc_id", "text"), p).groupBy("blk").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 2 * sorted(sizes)[8]
+
+
+def test_long_words_that_polynomials_confuse(spark):
+    """The Thue-Morse word and its complement are equal under any polynomial modulo 2**64 from 1,024 letters on."""
+    for k in (9, 10, 11, 12):
+        word = "".join("ab"[i.bit_count() % 2] for i in range(1 << k))
+        other = word.translate(str.maketrans("ab", "ba"))
+        rows = [(20, word), (21, other), (22, " ".join([word] * 8 + [other] * 8))]
+        assert [r.component_id for r in near_dedup.near_duplicates(frame(spark, rows)).orderBy("doc_id").collect()] == [20, 21, 22]
+        eight = [word if i.bit_count() % 2 else other for i in range(16)]
+        measured = quality_rules.measure(*flat(pa.array([" ".join(eight)])))
+        assert measured[4][0] == 0
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(frame(spark, [])).count() == 0
 
@@ -223,8 +254,7 @@ def test_sketches_merge_and_estimate():
         assert near_dedup.likely(s[0], len(x), s[1:], np.array([len(y)]))[0] == expected
 
 
-def test_components_loop_until_nothing_changes(spark, monkeypatch):
-    monkeypatch.setattr(components, "MAX_ROUNDS", 2, raising=False)
+def test_components_loop_until_nothing_changes(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "u long, v long")
     assert {r.component for r in components.connected_components(edges, shared_folder(spark), "c").collect()} == {0}
 
@@ -244,7 +274,9 @@ def test_filter_keeps_links():
         assert lost <= 1e-8 and least < s
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub", [3, 10_000])
+def test_components(spark, monkeypatch, hub):
+    monkeypatch.setattr(components, "LEAST_HUB", hub)
     rng = random.Random(8)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5000, 5001 + i) for i in range(200)] + [(7, 7)]
     parent = {x: x for e in edges if e[0] != e[1] for x in e}
