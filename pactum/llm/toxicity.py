@@ -21,8 +21,6 @@ from .common import SPACE, byte_set, find_words, flat, hash_spans, id_text, lowe
 
 #: Labelled documents that the lexicon is learned from, at most.
 TRAIN_DOCS = 12_000
-#: Entries of the lexicon, at most; the most significant stay.
-LEXICON = 20_000
 #: Log10 of the chance, were a feature independent of the label, below which it enters the lexicon.
 SIGNIFICANCE = -5.0
 #: Beginnings of words, in bytes, that are features beside the whole word.
@@ -41,6 +39,8 @@ _SPECIAL = byte_set(b"0123456789@$!|+(*")
 _APART = byte_set(b".-_")
 _edges = ".,;:?\"'#%&<>)[]{}"  # what imitates a letter is left to the lattice, which may drop it
 _run = re.compile(r"(.)\1{3,}", re.DOTALL)
+#: A run of one symbol around four letters or more is emphasis: as letters, it would be a stretched one at the word's edge.
+_emphasis = re.compile(r"^([$!*|(+@])\1+(?=[^\W\d_]{4})|(?<=[^\W\d_]{4})[,.;:]*(?:!!+|\*\*\*+|\$\$\$+|\+\++|\|\|+|\(\(+)$")
 _stretched = re.compile(r"([^\W\d_])\1\1")
 _mixed = re.compile(r"[^\W\d_].*[0-9@$!|+(€£¢*]|[0-9@$!|+(€£¢*].*[^\W\d_]")
 _dotted = re.compile(r"(?:[^\W_]|[@$!|+(])(?:[.\-_](?:[^\W_]|[@$!|+(])){3,}")
@@ -175,7 +175,7 @@ def disguised(data: np.ndarray, offs: np.ndarray) -> list[tuple[int, str]]:
     raw, found = data.tobytes(), []
     for w in np.unique(np.searchsorted(a, at, "right") - 1).tolist():
         if w >= 0 and b[w] - a[w] >= 3:
-            t = _run.sub(r"\1\1\1", raw[a[w] : b[w]].decode(errors="replace").strip(_edges))
+            t = _emphasis.sub("", _run.sub(r"\1\1\1", raw[a[w] : b[w]].decode(errors="replace").strip(_edges)))
             if len(t) >= 3 and (_stretched.search(t) or _mixed.search(t) or _dotted.fullmatch(t)):
                 found.append((int(r[w]), t))
     lead = x[a]
@@ -278,7 +278,8 @@ def learn(labelled: DataFrame, grams: tuple[np.ndarray, np.ndarray]) -> tuple[di
     share = F.col("bad") / F.col("n")
     entropy = share * F.log(share / rate) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - rate))).otherwise(0)
     chosen = counts.filter((F.col("f") != 0) & (F.col("bad") >= 2) & (share > rate)).withColumn("log10", -F.col("n") * entropy / math.log(10)).filter(F.col("log10") <= SIGNIFICANCE)
-    keys = np.array(sorted(r.f & (1 << 64) - 1 for r in chosen.orderBy("log10", "f").limit(LEXICON).collect()), np.uint64)
+    # a text's features are no more than its bytes, so those of `labelled` have the bound of its rows
+    keys = np.sort(chosen.select("f").toArrow()["f"].to_numpy().view(np.uint64))
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -311,8 +312,24 @@ def logistic(hits: list[np.ndarray], label: np.ndarray, size: int, penalty: floa
     return w, float(b)
 
 
+def scores(data: np.ndarray, offs: np.ndarray, model: CharModel, cache: dict[str, bytes], keys: np.ndarray, weights: np.ndarray, prior: float) -> np.ndarray:
+    """The regression over the features that each text has. keys: sorted hashes of the lexicon. No text's score depends on another's."""
+    low, ends = restored(data, offs, model, cache)
+    z = np.full(len(offs) - 1, prior)
+    if len(keys):
+        f, row = features(low, ends)
+        sieve = np.zeros(1 << 20, bool)
+        sieve[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        maybe = np.flatnonzero(sieve[(f & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(keys, f[maybe]), len(keys) - 1)
+        hit = keys[at] == f[maybe]
+        pairs = np.unique(row[maybe[hit]] * len(keys) + at[hit])
+        z += np.bincount(pairs // len(keys), weights=weights[pairs % len(keys)], minlength=len(z))
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 def score_texts(docs: DataFrame, grams: tuple[np.ndarray, np.ndarray], lexicon: dict[int, float], prior: float) -> DataFrame:
-    """doc_id and score of (doc_id, text) rows: the regression over the features that a text has."""
+    """doc_id and score of (doc_id, text) rows."""
     spark = docs.sparkSession
     keys = np.array(sorted(lexicon), np.uint64)
     weights = np.array([lexicon[int(k)] for k in keys])
@@ -321,26 +338,12 @@ def score_texts(docs: DataFrame, grams: tuple[np.ndarray, np.ndarray], lexicon:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, keys, weights = shared.value
         model, cache = CharModel(*grams), {}
-        sieve = np.zeros(1 << 20, bool)
-        sieve[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         for batch in batches:
             if not batch.num_rows:
                 continue
             data, offs = flat(batch.column(1))
-            scores = []
-            for a, b in slices(offs):
-                o = offs[a : b + 1]
-                low, ends = restored(data[o[0] : o[-1]], o - o[0], model, cache)
-                z = np.full(b - a, prior)
-                if len(keys):
-                    f, row = features(low, ends)
-                    maybe = np.flatnonzero(sieve[(f & np.uint64((1 << 20) - 1)).astype(np.int64)])
-                    at = np.minimum(np.searchsorted(keys, f[maybe]), len(keys) - 1)
-                    hit = keys[at] == f[maybe]
-                    pairs = np.unique(row[maybe[hit]] * len(keys) + at[hit])
-                    z += np.bincount(pairs // len(keys), weights=weights[pairs % len(keys)], minlength=b - a)
-                scores.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores))], names=["doc_id", "score"])
+            out = [scores(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], model, cache, keys, weights, prior) for a, b in slices(offs)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out))], names=["doc_id", "score"])
 
     return docs.mapInArrow(run, "doc_id long, score double")
 

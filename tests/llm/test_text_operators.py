@@ -162,7 +162,9 @@ def test_counts_are_the_librarys(docs, none):
 
     path = tokenizers.path("byte_bpe_50k.json")
     theirs = Tokenizer.from_file(path)
-    ours = token_count.Counter(path, token_count.frequent_lengths(path))
+    frequent = token_count.frequent_lengths(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), path)
+    assert frequent[" word"] == 1 and all(frequent[w] == len(theirs.encode(w, add_special_tokens=False).ids) for w in frequent)
+    ours = token_count.Counter(path, frequent)
     for t in hard_texts():
         assert ours.count(t) == len(theirs.encode(t, add_special_tokens=False).ids)
     for text, (size, n) in by_text(docs, token_count.count_tokens(docs, path), "n_bytes", "n_tokens"):
@@ -336,3 +338,69 @@ def test_long_and_spaced_disguises():
     assert {r for r, _ in toxicity.disguised(*flat(pa.array(["a b c", "d e f", "g h"])))} == {0, 1}
     # time grows with the length
     assert toxicity.readings("1d10t-" * 2000, model)
+
+
+def test_scores_do_not_depend_on_neighbours():
+    rng = random.Random(12)
+    bad = ["stupid", "s t u p i d", "$tupid", "stuuuupid", "1d10t", "idiot", "i d i o t", "s.t.u.p.i.d", "a b c", "x"]
+    texts = [" ".join(rng.choice(bad) if rng.random() < 0.2 else rng.choice(WORDS) for _ in range(rng.randint(0, 12))) for _ in range(500)] + ["s", "s t u p", "i d", ""]
+    model = char_model((WORDS + ["stupid", "idiot", "you", "are", "a"]) * 20)
+    keys = np.unique(toxicity.features(*flat(pa.array(["stupid idiot"])))[0])
+    weights = np.linspace(1, 2, len(keys))
+    of = lambda some, cache: toxicity.scores(*flat(pa.array(some)), model, cache, keys, weights, -3.0).tolist()
+    alone = [of([t], {})[0] for t in texts]
+    assert of(texts, {}) == alone and len(set(alone)) > 4
+    order = list(range(len(texts)))
+    for _ in range(3):
+        rng.shuffle(order)
+        assert of([texts[i] for i in order], {}) == [alone[i] for i in order]
+
+
+def every_reading(token, model):
+    """Readings and their scores, by listing all paths through the lattice."""
+    solid = [i for i, x in enumerate(token) if x.isalnum()] or [len(token)]
+    found = {}
+
+    def walk(i, text, score):
+        if i == len(token):
+            if text:
+                end = 0.0 if text.endswith(" ") else model.log(*(" " + " " + text)[-2:].encode(), 32)
+                found[text] = max(found.get(text, -1e9), score + end)
+            return
+        x, again = token[i], i > 0 and token[i - 1] == token[i]
+        a, b = ("  " + text)[-2:].encode() if not text.endswith(" ") else (32, 32)
+        stand_ins = toxicity.IMITATES.get(x, "")
+        if x.isalpha():
+            walk(i + 1, text + x, score + toxicity.SAME + model.log(a, b, ord(x)))
+            if again:
+                walk(i + 1, text, score + toxicity.REPEATED)
+        for c in stand_ins:
+            walk(i + 1, text + c, score + toxicity.IMITATED + model.log(a, b, ord(c)))
+        if stand_ins and again:
+            walk(i + 1, text, score + toxicity.REPEATED + toxicity.IMITATED)
+        if not x.isalpha():
+            inside = solid[0] <= i <= solid[-1]
+            walk(i + 1, text, score + (toxicity.DROPPED if x in " .-_'" or not inside else 3 * toxicity.DROPPED))
+        if x == " " and b != 32:
+            walk(i + 1, text + " ", score + toxicity.DROPPED + model.log(a, b, 32))
+
+    walk(0, "", 0.0)
+    return found
+
+
+def test_readings_are_the_likeliest():
+    model = char_model((WORDS + ["stupid", "idiot", "you", "are", "a"]) * 3)
+    for token in ("$tup1d", "1d10t", "a b c", "sss", "@$$", "y o u", "s-t-u", "r1v3r!", "5t0", "a*b", "!!x"):
+        every = every_reading(token, model)
+        best: dict[str, float] = {}
+        for text, score in every.items():
+            best[text.strip()] = max(best.get(text.strip(), -1e9), score)
+        got = toxicity.readings(token, model)
+        want = sorted((x for x in best if x), key=best.get, reverse=True)
+        assert got[0] == want[0] and [best[x] for x in got[:2]] == pytest.approx([best[x] for x in want[:2]]), token
+
+
+def test_emphasis_is_no_disguise():
+    model = char_model((WORDS + ["stupid", "ass"]) * 20)
+    assert words_read("STONE!! river*** table$$$ **house !!stone", model) == set()
+    assert "stupid" in words_read("the stup1d!! stone", model) and "ass" in words_read("a$$ stone", model)
