@@ -1,25 +1,32 @@
 """Benchmark decontamination by one Aho-Corasick automaton over normalised questions and answers.
 
-Items are normalised to words and cut into windows; every window, with a blank on both sides, is a pattern. A document is
-normalised once and scanned once; a match's end is a blank, whose number gives the window's words, and words carry their
-offsets in the original text. Benchmark texts beyond SHARD_BYTES are dealt to several automata, used one after another, so
-what is broadcast has a bound.
+Items are normalised to words. The automaton's patterns are probes: the first words of every stretch of an item, so placed
+that each window of an item holds one whole. A document is normalised once and scanned once; where a probe occurs, the
+windows of the document around it are looked up among the hashes of all items' windows and compared with the items' words.
+Words carry their offsets in the original text. So nodes follow a part of the items' bytes (3 of 11 words), and not every
+window's; windows cost some 30 bytes each. What is broadcast is the items' text; a worker builds its index once. Benchmark
+texts beyond SHARD_BYTES are dealt to several indexes, used one after another, so that memory has a bound.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, id_text, session, shared_folder, written
+from .common import flat, free_name, hash_spans, id_text, mix, session, shared_folder, window_hashes, written
 
 WINDOW = 13
-#: Benchmark text of one automaton.
+#: Words of a probe.
+PROBE = 3
+#: Benchmark text of one index.
 SHARD_BYTES = 32 << 20
+#: Windows of an index whose items are remembered.
+SEEN = 4096
 #: A document with any hit is contaminated if CONTAMINATED * hit words >= words.
 CONTAMINATED = 20
 
@@ -32,41 +39,131 @@ def words_of(raw: bytes) -> list[bytes]:
     return raw.translate(_TABLE).split()
 
 
-def item_windows(items: list[tuple[str, bytes]], size: int = WINDOW) -> dict[str, tuple[int, tuple[str, ...]]]:
-    """Pattern -> (words, item ids). An item with fewer words than a window, but not none, is one window."""
-    found: dict[str, tuple[int, set[str]]] = {}
-    for item, raw in items:
-        w = words_of(raw)
-        n = min(size, len(w))
-        for i in range(len(w) - n + 1 if w else 0):
-            key = (b" " + b" ".join(w[i : i + n]) + b" ").decode("latin-1")
-            found.setdefault(key, (n, set()))[1].add(item)
-    return {k: (n, tuple(sorted(ids))) for k, (n, ids) in found.items()}
+def word_starts(text: np.ndarray) -> np.ndarray:
+    """Where the words begin in words joined, preceded and followed by single blanks, and where one more would."""
+    return np.flatnonzero(text == 32) + 1
+
+
+def word_hashes(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of the words that begin at at[:-1], a stretch at a time."""
+    parts = [hash_spans(text[b[0] : b[-1]], b[:-1] - b[0], b[1:] - 1 - b[0]) for i in range(0, len(at) - 1, 1 << 16) if len(b := at[i : i + (1 << 16) + 1])]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
+class Windows:
+    """All windows of the items, by size and hash: representative words for the comparison, and the items that have each."""
+
+    def __init__(self, text: np.ndarray, at: np.ndarray, first: np.ndarray, size: int):
+        """text: words of all items, joined; at: where words begin; first: each item's first word, and the end."""
+        self._text, self._at = text, at.astype(np.uint32)
+        h, n = word_hashes(text, at), np.diff(first)
+        # windows of `size` words, and the items of fewer words as windows of their own
+        whole = np.repeat(np.maximum(first[1:] - size + 1, first[:-1]), n) if len(n) else np.zeros(0, np.int64)
+        start = np.flatnonzero(np.arange(len(h)) < whole)
+        short = np.flatnonzero((n > 0) & (n < size))
+        self.sizes = sorted({int(x) for x in n[short]} | ({size} if len(start) else set()))
+        long = window_hashes(h, size)[start] if len(start) else np.zeros(0, np.uint64)
+        rest = np.array([window_hashes(h[first[i] : first[i + 1]], int(n[i]))[0] for i in short.tolist()], np.uint64)
+        start, words = np.concatenate([start, first[short]]), np.concatenate([np.full(len(start), size), n[short]])
+        key = self.key(np.concatenate([long, rest]), words)
+        del h, long, rest, whole
+        item = (np.searchsorted(first, start, "right") - 1).astype(np.int32)
+        order = np.argsort(key)
+        self._key, self._start, self._words, self._item = key[order], start[order].astype(np.int32), words[order].astype(np.int32), item[order].astype(np.int32)
+
+    @staticmethod
+    def key(h: np.ndarray, words: np.ndarray | int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix(h + np.asarray(words).astype(np.uint64))
+
+    def known(self, keys: np.ndarray) -> np.ndarray:
+        """Which keys are some window's."""
+        return self._key[np.minimum(np.searchsorted(self._key, keys), len(self._key) - 1)] == keys
+
+    def items(self, key: np.uint64, raw: bytes, words: int) -> list[int]:
+        """Numbers of the items with this window; raw: its words, joined by blanks."""
+        out = set()
+        for i in range(np.searchsorted(self._key, key, "left"), np.searchsorted(self._key, key, "right")):
+            s = self._start[i]
+            if self._words[i] == words and self._text[self._at[s] : self._at[s + words] - 1].tobytes() == raw:
+                out.add(int(self._item[i]))
+        return sorted(out)
 
 
 class Scanner:
-    def __init__(self, windows: dict[str, tuple[int, tuple[str, ...]]]):
+    """An index of benchmark items."""
+
+    def __init__(self, items: list[tuple[str, bytes]], size: int = WINDOW):
         import ahocorasick
 
-        self._automaton = ahocorasick.Automaton()
-        for k, v in windows.items():
-            self._automaton.add_word(k, v)
-        if windows:
+        self._size = size
+        self._names = [name for name, _ in items]
+        self._automaton, self._probe = ahocorasick.Automaton(), min(PROBE, size)
+        joined, count = [b" "], [0]
+        for _, raw in items:
+            w = words_of(raw)
+            count.append(len(w))
+            if w:
+                joined.append(b" ".join(w) + b" ")
+            n = min(self._probe, len(w))
+            # a window of an item has every word from its start to its start + size - 1, so one of these positions begins a probe inside
+            for i in range(0, len(w) - n + 1 if w else 0, size - self._probe + 1):
+                self._automaton.add_word((b" " + b" ".join(w[i : i + n]) + b" ").decode("latin-1"), n)
+        text = np.frombuffer(b"".join(joined), np.uint8)
+        del joined
+        self._windows = Windows(text, word_starts(text), np.cumsum(count), size)
+        if len(self._automaton):
             self._automaton.make_automaton()
-        self._empty = not windows
+        self._seen: dict[bytes, tuple[str, ...]] = {}
+
+    def nodes(self) -> int:
+        return self._automaton.get_stats()["nodes_count"]
+
+    def _items(self, key: np.uint64, raw: bytes, words: int) -> tuple[str, ...]:
+        if (x := self._seen.get(raw)) is None:
+            if len(self._seen) > SEEN:
+                self._seen.clear()
+            x = self._seen[raw] = tuple(self._names[k] for k in self._windows.items(key, raw, words))
+        return x
 
     def scan(self, raw: bytes) -> tuple[int, list[tuple[int, int, tuple[str, ...]]]]:
-        """The number of words, and (first word, end word, item ids) of each occurrence."""
+        """The number of words, and (first word, end word, item ids) of each occurrence of a window."""
         w = words_of(raw)
-        if self._empty or not w:
+        if not len(self._automaton) or not w:
             return len(w), []
         text = b" " + b" ".join(w) + b" "
         hits = list(self._automaton.iter(text.decode("latin-1")))
         if not hits:
             return len(w), []
-        blanks = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
-        ends = np.searchsorted(blanks, [e for e, _ in hits])
-        return len(w), [(int(e) - n, int(e), ids) for e, (_, (n, ids)) in zip(ends, hits, strict=True)]
+        flat_text = np.frombuffer(text, np.uint8)
+        at = word_starts(flat_text)
+        end = np.searchsorted(at - 1, np.array([e for e, _ in hits]))
+        n = np.array([n for _, n in hits])
+        begin = end - n
+        h, found = word_hashes(flat_text, at), []
+        for size in self._windows.sizes:
+            # a probe lies anywhere in a full window, and at the beginning of a shorter item
+            start = np.unique((begin[n == self._probe][:, None] - np.arange(size - self._probe + 1)).ravel() if size == self._size else begin)
+            start = start[(start >= 0) & (start <= len(w) - size)]
+            if not len(start):
+                continue
+            keys = Windows.key(window_hashes(h, size)[start], size)
+            for k in np.flatnonzero(self._windows.known(keys)).tolist():
+                i = int(start[k])
+                if items := self._items(keys[k], text[at[i] : at[i + size] - 1], size):
+                    found.append((i, i + size, items))
+        return len(w), found
+
+
+_scanners: dict[str, Scanner] = {}
+
+
+def _scanner(key: str, items: list[tuple[str, bytes]], size: int) -> Scanner:
+    """One index in each worker, built once."""
+    if key not in _scanners:
+        _scanners.clear()
+        _scanners[key] = Scanner(items, size)
+    return _scanners[key]
 
 
 def word_offsets(raw: bytes) -> list[tuple[int, int]]:
@@ -112,10 +209,10 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     schema = pa.list_(pa.struct([("item_id", pa.string()), ("first", pa.int32()), ("end", pa.int32())]))
     folder = shared_folder(spark) if len(parts) > 1 else ""
     for k, part in enumerate(parts):
-        windows = spark.sparkContext.broadcast(item_windows([(r[0], bytes(r[1])) for r in part.toLocalIterator()], size))
+        items, key = spark.sparkContext.broadcast([(r[0], bytes(r[1])) for r in part.toLocalIterator()]), uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], windows=windows, last=k == len(parts) - 1) -> Iterator[pa.RecordBatch]:
-            scanner = Scanner(windows.value)
+        def run(batches: Iterator[pa.RecordBatch], items=items, key=key, last=k == len(parts) - 1) -> Iterator[pa.RecordBatch]:
+            scanner = _scanner(key, items.value, size)
             for batch in batches:
                 data, offs = flat(batch.column(1))
                 raw = data.tobytes() if batch.num_rows else b""
@@ -167,13 +264,14 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     spark = session(docs)
     parts = shards(benchmark)
     if len(parts) > 1:
-        numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), shared_folder(spark), "numbered")
-        good = find_hits(numbered, benchmark, "__row", text_col).filter(~F.col("contaminated")).select(F.col("doc_id").alias("__row"))
-        return numbered.join(good, "__row", "left_semi").drop("__row")
-    windows = spark.sparkContext.broadcast(item_windows([(r[0], bytes(r[1])) for r in parts[0].toLocalIterator()]))
+        row = free_name(docs, "__row")
+        numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), shared_folder(spark), "numbered")
+        good = find_hits(numbered, benchmark, row, text_col).filter(~F.col("contaminated")).select(F.col("doc_id").alias(row))
+        return numbered.join(good, row, "left_semi").drop(row)
+    items, key = spark.sparkContext.broadcast([(r[0], bytes(r[1])) for r in parts[0].toLocalIterator()]), uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(windows.value)
+        scanner = _scanner(key, items.value, WINDOW)
         for batch in batches:
             ok = []
             for t in batch.column(batch.schema.get_field_index(text_col)):

@@ -235,6 +235,20 @@ def test_decontamination(spark, monkeypatch, shard):
     assert decontaminate.find_hits(docs.limit(0), benchmark).count() == 0
 
 
+def test_decontamination_index_follows_the_text():
+    """Nodes of the automaton and bytes of the windows stay below fixed multiples of the items' text."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(60_000)]
+    items = [(str(i), " ".join(rng.choices(words, k=rng.randint(5, 90))).encode()) for i in range(6_000)]
+    size = sum(len(t) for _, t in items)
+    s = decontaminate.Scanner(items)
+    held = sum(x.nbytes for x in vars(s._windows).values() if isinstance(x, np.ndarray))
+    assert s.nodes() < 0.4 * size and held < 6 * size
+    long = next(t for _, t in items if len(t.split()) > 40)
+    n, found = s.scan(b"x " * 50 + long + b" y" * 50)
+    assert {w for a, b, _ in found for w in range(a, b)} == set(range(50, 50 + len(long.split()))) and n == 100 + len(long.split())
+
+
 # --- models -----------------------------------------------------------------------------------------------------------
 
 
