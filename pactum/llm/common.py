@@ -62,9 +62,46 @@ def work_folder(spark: SparkSession) -> Iterator[str]:
         remove(spark, path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
+def _on_store(spark: SparkSession, path: str):
+    """The file system of a path, as Spark has it, and the path."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    store, p = _on_store(spark, path)
+    store.delete(p, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, p = _on_store(spark, path)
+    return store.exists(p)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What a folder holds; nothing if it isn't there."""
+    store, p = _on_store(spark, path)
+    return [x.getPath().getName() for x in store.listStatus(p)] if store.exists(p) else []
+
+
+def write_file(spark: SparkSession, path: str, text: str) -> None:
+    """A new small file, there as a whole or not at all."""
+    store, p = _on_store(spark, path)
+    _, new = _on_store(spark, f"{path}.{uuid.uuid4().hex}")
+    out = store.create(new)
+    out.write(bytearray(text.encode()))
+    out.close()
+    store.rename(new, p)
+
+
+def read_file(spark: SparkSession, path: str) -> str:
+    store, p = _on_store(spark, path)
+    with_lines = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(store.open(p), "UTF-8"))
+    lines = []
+    while (line := with_lines.readLine()) is not None:
+        lines.append(line)
+    with_lines.close()
+    return "\n".join(lines)
 
 
 def shared_folder(spark: SparkSession) -> str:

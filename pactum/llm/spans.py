@@ -134,16 +134,17 @@ class Block:
     def doc_of(self) -> np.ndarray:
         return self.rank[self.row]
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct hashes, by bucket and then value; whether each is in two documents; buckets."""
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct hashes, by bucket and then value; whether each is in two documents; buckets; the least document."""
         order = np.argsort(self.anchor, kind="stable")
         h, d = self.anchor[order], self.doc_of()[order]
         head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
         multi = np.minimum.reduceat(d, head) != np.maximum.reduceat(d, head) if len(h) else np.zeros(0, bool)
+        least = np.minimum.reduceat(d, head) if len(h) else d
         h = h[head]
         bucket = self.buckets(h)
         by = np.argsort(bucket, kind="stable")
-        return h[by], multi[by], bucket[by]
+        return h[by], multi[by], bucket[by], least[by]
 
     def buckets(self, h: np.ndarray) -> np.ndarray:
         return ((h >> np.uint64(11)) % np.uint64(self.plan.buckets)).astype(np.int64)
@@ -198,7 +199,7 @@ def send_anchors(blocks: DataFrame, p: Plan) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         b = Block(table, p)
-        h, multi, bucket = b.anchors()
+        h, multi, bucket, _ = b.anchors()
         return table_of(ANCHORS, [(k, b.blk, h[x:y].tobytes(), np.packbits(multi[x:y]).tobytes()) for k, x, y in by_bucket(bucket)])
 
     return blocks.groupBy("blk").applyInArrow(run, ANCHORS)
@@ -237,7 +238,7 @@ def answer_anchors(anchors: DataFrame) -> DataFrame:
 
 def shared_anchors(b: Block, answers: pa.Table) -> np.ndarray:
     """The hashes, sorted, that step 3 found shared."""
-    h, _, bucket = b.anchors()
+    h, _, bucket, _ = b.anchors()
     where = {k: (x, y) for k, x, y in by_bucket(bucket)}
     kinds, buckets, bodies = (answers.column(c).to_pylist() for c in ("kind", "bucket", "body"))
     found = [np.zeros(0, np.uint64)]
@@ -250,54 +251,81 @@ def shared_anchors(b: Block, answers: pa.Table) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
-def send_strips(blocks: DataFrame, answers: DataFrame, p: Plan) -> DataFrame:
-    """Step 4."""
+def strip_rows(b: Block, shared: np.ndarray) -> list[tuple]:
+    """STRIPS rows of the distinct strips whose anchor is in `shared`, and their anchors."""
+    doc, rows = b.doc_of(), []
+    for k, (content, at, number) in b.entries(shared).items():
+        least = np.full(len(content), NO_ID, np.int64)
+        np.minimum.at(least, number, doc[at])
+        keys = np.zeros(len(content), np.uint64)
+        keys[number] = b.anchor[at]
+        rows.append((k, b.blk, *packed_strips(list(content), least), pack(keys.tobytes())))
+    return rows
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return table_of(STRIPS, [])
-        b = Block(left, p)
-        doc = b.doc_of()
-        rows = []
-        for k, (content, at, number) in b.entries(shared_anchors(b, right)).items():
-            least = np.full(len(content), NO_ID, np.int64)
-            np.minimum.at(least, number, doc[at])
-            rows.append((k, b.blk, pack(least.tobytes()), pack(np.array([len(x) for x in content], np.uint32).tobytes()), pack(b"".join(content))))
-        return table_of(STRIPS, rows)
 
-    return blocks.groupBy("blk").cogroup(answers.groupBy("blk")).applyInArrow(run, STRIPS)
+def packed_strips(content: list[bytes], least: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    return pack(least.tobytes()), pack(np.array([len(x) for x in content], np.uint32).tobytes()), pack(b"".join(content))
 
 
-def answer_strips(strips: DataFrame, shared_parts: Callable[[list[bytes], np.ndarray, np.ndarray], list[list[tuple[int, int, int]]]]) -> DataFrame:
-    """Step 5: kind 1. shared_parts(distinct strips, least doc of each, rows that have it) -> for each strip, (offset, length, least doc) in tokens."""
+def send_strips(blocks: DataFrame, answers: DataFrame, p: Plan, keyed: bool = False) -> DataFrame:
+    """Step 4. keyed: with each strip's anchor in a last column."""
+    schema = STRIPS + ", keys binary" * keyed
 
-    def run(table: pa.Table) -> pa.Table:
-        number: dict[bytes, int] = {}
-        least: list[int] = []
-        members = []  # for each row: the number of each of its strips
-        for docs, lens, blob in zip(*(table.column(c) for c in ("docs", "lens", "blob")), strict=True):
-            blob, end, own = unpacked(blob.as_py()), 0, []
-            for d, n in zip(np.frombuffer(unpacked(docs.as_py()), np.int64).tolist(), np.frombuffer(unpacked(lens.as_py()), np.uint32).tolist(), strict=True):
-                x = blob[end : end + n]
-                end += n
-                k = number.setdefault(x, len(number))
-                if k == len(least):
-                    least.append(d)
-                elif d < least[k]:
-                    least[k] = d
-                own.append(k)
-            members.append(own)
-        times = np.bincount([k for own in members for k in own], minlength=len(number))
-        parts = shared_parts(list(number), np.array(least, np.int64), times)
-        bucket = table.column("bucket")[0].as_py()
-        rows = []
-        for blk, own in zip(table.column("blk").to_pylist(), members, strict=True):
-            marks = [(i, *m) for i, k in enumerate(own) for m in parts[k]]
-            if marks:
-                rows.append((blk, 1, bucket, pack(np.array(marks, MARK).tobytes())))
-        return table_of(ANSWER, rows)
-
-    return strips.groupBy("bucket").applyInArrow(run, ANSWER)
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return table_of(schema, [])
+        b = Block(left, p)
+        rows = strip_rows(b, shared_anchors(b, right))
+        return table_of(schema, rows if keyed else [r[:-1] for r in rows])
+
+    return blocks.groupBy("blk").cogroup(answers.groupBy("blk")).applyInArrow(run, schema)
+
+
+def unpacked_strips(docs: bytes, lens: bytes, blob: bytes) -> list[tuple[bytes, int]]:
+    """Strips and their least documents."""
+    ends = np.cumsum([0, *np.frombuffer(unpacked(lens), np.uint32)]).tolist()
+    raw = unpacked(blob)
+    return list(zip([raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], np.frombuffer(unpacked(docs), np.int64).tolist(), strict=True))
+
+
+def gathered(table: pa.Table) -> tuple[dict[bytes, int], list[int], list[list[int]]]:
+    """The distinct strips of STRIPS rows, numbered; the least document of each; and for each row, the numbers of its strips."""
+    number: dict[bytes, int] = {}
+    least: list[int] = []
+    members = []
+    for docs, lens, blob in zip(*(table.column(c).to_pylist() for c in ("docs", "lens", "blob")), strict=True):
+        own = []
+        for x, d in unpacked_strips(docs, lens, blob):
+            k = number.setdefault(x, len(number))
+            if k == len(least):
+                least.append(d)
+            elif d < least[k]:
+                least[k] = d
+            own.append(k)
+        members.append(own)
+    return number, least, members
+
+
+Parts = Callable[[list[bytes], np.ndarray, np.ndarray], list[list[tuple[int, int, int]]]]
+
+
+def answers_to(table: pa.Table, shared_parts: Parts) -> tuple[list[tuple], dict[bytes, int], list[int], list[list[int]]]:
+    """Step 5 for one bucket: ANSWER rows of kind 1, and what was gathered."""
+    number, least, members = gathered(table)
+    times = np.bincount([k for own in members for k in own], minlength=len(number))
+    parts = shared_parts(list(number), np.array(least, np.int64), times)
+    bucket = table.column("bucket")[0].as_py()
+    rows = []
+    for blk, own in zip(table.column("blk").to_pylist(), members, strict=True):
+        marks = [(i, *m) for i, k in enumerate(own) for m in parts[k]] if blk >= 0 else []
+        if marks:
+            rows.append((blk, 1, bucket, pack(np.array(marks, MARK).tobytes())))
+    return rows, number, least, members
+
+
+def answer_strips(strips: DataFrame, shared_parts: Parts) -> DataFrame:
+    """Step 5: kind 1. shared_parts(distinct strips, least doc of each, rows that have it) -> for each strip, (offset, length, least doc) in tokens."""
+    return strips.groupBy("bucket").applyInArrow(lambda table: table_of(ANSWER, answers_to(table, shared_parts)[0]), ANSWER)
 
 
 def covered(b: Block, answers: pa.Table) -> np.ndarray:

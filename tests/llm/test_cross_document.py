@@ -21,7 +21,7 @@ DOCS = "doc_id long, text string, blk string, rank string, cell int, bucket int"
 def few_blocks(monkeypatch):
     for module in (spans, substring_dedup):
         monkeypatch.setattr(module, "LEAST_BLOCKS", 5)
-        monkeypatch.setattr(module, "LEAST_BUCKETS", 7)
+        monkeypatch.setattr(module, "LEAST_BUCKETS", 8)
 
 
 def frame(spark, rows):
@@ -126,6 +126,36 @@ def test_substring_dedup(spark, batches, fanout):
     assert got == sorted(want, key=str) and sum(r[2] for r in want) > 300
 
 
+def test_index_reads_a_document_once_and_is_reopened(spark):
+    """Eight batches of a fixed size, each through a newly opened index: what is read of earlier documents stays flat."""
+    rng = random.Random(21)
+    make = lambda k: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(k))
+    hot, pairs, rows, reads = make(30), [make(20) for _ in range(8)], [], []
+    for i in range(160):
+        k = i // 20
+        shared = [pairs[k]] * (i % 20 == 3) + [pairs[k - 1]] * (i % 20 == 7 and k > 0)  # in one batch, and again in the next
+        rows.append((i, " ".join([make(25), hot, make(5), *shared, make(5)])))
+    folder, got = shared_folder(spark), []
+    for k in range(8):
+        index = substring_dedup.FingerprintIndex(spark, folder, fanout=3)
+        df = spark.createDataFrame(rows[: 20 * (k + 1)], "doc_id long, text string")
+        got += index.ingest(df.filter(f"doc_id >= {20 * k}"), df.filter(f"doc_id < {20 * k}")).collect()
+        reads.append(index.read)
+    assert index.state["batches"] == 8 and len(index.state["runs"]) < 3
+    assert reads[0] == 0 and max(reads) <= 3  # of up to 140
+    want = brute(rows, lambda t: t.encode().split(), 13, b" ".join)
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept).hexdigest()) for r in got), key=str) == sorted([(a, b, c, e) for a, b, c, _, e in want], key=str)
+
+
+def test_index_grows_its_buckets(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "LEAST_BUCKETS", 2)
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 1500)
+    rows = corpus(2, "ab", (0, 25), 40)
+    got = substring_dedup.remove_seen(frame(spark, rows), batches=4, fanout=3).collect()
+    want = [(a, b, c, e) for a, b, c, _, e in brute(rows, lambda t: re.findall(rb"[^\x20\x09-\x0D]+", t.encode()), 13, b" ".join)]
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept).hexdigest()) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_substring_dedup_of_nothing(spark):
     assert substring_dedup.remove_seen(frame(spark, []), batches=2).count() == 0
 
