@@ -8,6 +8,7 @@
 from __future__ import annotations
 
 from functools import cached_property
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pactum.functions.scalar import prefix_match
 from pactum.operators import audit, compat, facets, profile, search
 from pactum.operators.compose import Form, compose_license
 from pactum.plans.closure import closed_graph
+from pactum.plans.stage import staged
 from pactum.sources import turtle
 from pactum.sources.store import GraphStore, Views, views
 from pactum.terms import DEPENDENCIES, RELATIONS, Vocabulary
@@ -23,6 +25,14 @@ from pactum.terms import DEPENDENCIES, RELATIONS, Vocabulary
 FORMATS = {"json-ld": lambda t, p: turtle.to_jsonld(t), "ttl": turtle.to_turtle, "rdf-xml": lambda t, p: turtle.to_rdfxml(t)}
 
 
+class RepositoryCheck(NamedTuple):
+    """repositories: name, language; dependencies: repo, dependency, license, license_id; conflicts: repo, id1, a1, id2, a2, rel, r."""
+
+    repositories: DataFrame
+    dependencies: DataFrame
+    conflicts: DataFrame
+
+
 class Library:
     """Graphs: `licences` (searched), `custom` (composed; fetched, profiled and checked, but not searched)."""
 
@@ -32,8 +42,9 @@ class Library:
         self.spark, self.store, self.vocabulary = spark, GraphStore(spark, folder), vocabulary
 
     def load(self, path: str, graph: str = LICENCES, mode: str = "PERMISSIVE") -> DataFrame:
-        """Appends all Turtle files below path; returns those that can't be parsed."""
+        """Adds all Turtle files below path, to the graphs that files beside them name, or to `graph`; returns those that can't be parsed."""
         good, bad = turtle.read_turtle(self.spark, path, graph, mode)
+        bad = staged(bad)
         self.store.append(good)
         self.__dict__.pop("searched", None)
         self.__dict__.pop("every", None)
@@ -64,14 +75,14 @@ class Library:
         return g.filter((F.col("o_kind") == "literal") & prefix_match(F.col("o"), prefix))
 
     def fetch(self, licence: str, fmt: str = "json-ld") -> str:
-        """One licence, serialised: the triples of its IRI and of the blank nodes below it. Nesting is three deep at most."""
-        t = self.store.default()
-        front, parts = self.spark.createDataFrame([(licence,)], "s string"), []
-        for _ in range(3):
-            part = t.join(F.broadcast(front), "s", "left_semi")  # one licence's nodes
-            parts.append(part)
-            front = part.filter("o_kind = 'bnode'").select(F.col("o").alias("s")).distinct()
-        rows = {tuple(r) for p in parts for r in p.select("s", "s_kind", "p", "o", "o_kind", "o_lang", "o_dt").collect()}
+        """One licence, serialised: the triples of its IRI and of all blank nodes below it, however deep."""
+        t = self.store.quads().select("s", "s_kind", "p", "o", "o_kind", "o_lang", "o_dt")
+        rows, seen, front = set(), set(), {licence}
+        while front:  # a level of one licence at a time; names go to the scan
+            seen |= front
+            found = {tuple(r) for r in t.filter(F.col("s").isin(sorted(front))).collect()}
+            rows |= found
+            front = {o for _, _, _, o, kind, _, _ in found if kind == "bnode"} - seen
         if not rows:
             raise KeyError(licence)
         return FORMATS[fmt](sorted(rows, key=str), self.vocabulary.prefixes)
@@ -81,7 +92,7 @@ class Library:
 
     def profile(self, licence: str | None = None) -> DataFrame:
         v = self.every
-        out = profile.license_profile(v.titles, v.properties, v.rules, v.rule_duties, v.targets)
+        out = profile.license_profile(v.titles, v.properties, v.rules, v.rule_duties, v.targets, v.wide_duties)
         return out if licence is None else out.filter(F.col("id") == licence)
 
     def compatibility(self, licences: list[str]) -> DataFrame:
@@ -99,8 +110,8 @@ class Library:
         self.__dict__.pop("every", None)
         return new
 
-    def check_repositories(self, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Dependencies with the licences they resolve to, and conflicts within each repository. Licences are named by IRI or last part."""
+    def check_repositories(self, documents: DataFrame) -> RepositoryCheck:
+        """Repositories, their dependencies with the licences they resolve to, and conflicts within each. Licences are named by IRI or last part."""
         named = self.every.titles.select(F.explode(F.array_distinct(F.array("id", F.substring_index("id", "/", -1)))).alias("license"), F.col("id").alias("license_id"))
-        found = audit.dependency_licenses(documents).join(named, "license", "left").select("repo", "dependency", "license", "license_id")
-        return found, audit.repository_conflicts(found, self.every.stmts, self.dependencies)
+        found = staged(audit.dependency_licenses(documents).join(named, "license", "left").select("repo", "dependency", "license", "license_id"))
+        return RepositoryCheck(audit.repositories(documents), found, audit.repository_conflicts(found, self.every.stmts, self.dependencies))

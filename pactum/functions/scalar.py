@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,6 +57,11 @@ def strip_quotes(value: Column) -> Column:
     return F.regexp_replace(value, '^"+|"+$', "")
 
 
+def strip_element(value: Column) -> Column:
+    """An element of a written-out term, bare: closing parentheses after it go, then quotes around it."""
+    return strip_quotes(F.regexp_replace(value, r"\)+$", ""))
+
+
 def ratio(a: str, b: str) -> int:
     """100 * twice the longest common subsequence over both lengths, rounded half to even; 100 for two empty strings.
 
@@ -81,5 +88,5 @@ def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def prefix_match(text: Column, prefix: str) -> Column:
-    """Whether a word of the text begins with the prefix, whatever the case."""
-    return F.exists(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda w: w.startswith(prefix.lower()))
+    """Whether a word of the text begins with the prefix, whatever the case; one pass, without a list of its words."""
+    return text.rlike(rf"(?iu)(?<![\p{{L}}\p{{N}}_]){re.escape(prefix)}")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pactum.operators.compat import conflicts
+from pactum.plans.stage import staged
 
 DOCUMENT = "full_name string, language string, dependencies array<struct<name string, normalized_licenses array<string>>>"
 
@@ -29,6 +30,14 @@ def resolve(found: DataFrame, titles: DataFrame) -> DataFrame:
 
 
 def repository_conflicts(resolved: DataFrame, stmts: DataFrame, dep_edges: DataFrame) -> DataFrame:
-    """Conflicts among each repository's licences, all repositories at once; unknown licences take no part."""
+    """Conflicts among each repository's licences, all repositories at once; unknown licences take no part.
+
+    The repositories' statements are computed once, as both sides of the conflicts need them.
+    """
     used = resolved.filter(F.col("license_id").isNotNull()).select("repo", F.col("license_id").alias("id")).distinct()
-    return conflicts(used.join(stmts, "id"), dep_edges, within="repo")
+    return conflicts(staged(used.join(stmts, "id").select("repo", "id", "kind", "action")), dep_edges, within="repo")
+
+
+def repositories(documents: DataFrame) -> DataFrame:
+    """name, language: a row for each document that could be read."""
+    return documents.filter(F.col("full_name").isNotNull()).select(F.col("full_name").alias("name"), "language")

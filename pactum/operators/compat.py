@@ -6,13 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pactum.plans.closure import relations
+from pactum.plans.stage import small
 from pactum.terms import DERIVED, DERIVED_REASON, DIRECT_REASON, GIVEN, RELATIONS
 
 COLUMNS = ["id1", "a1", "id2", "a2", "rel", "r"]
 
 
-def _side(stmts: DataFrame, kind: str, id_name: str, action: str) -> DataFrame:
-    return stmts.filter(F.col("kind") == kind).select(F.col("id").alias(id_name), F.col("action").alias(action)).distinct()
+def _meeting(dep_edges: DataFrame) -> DataFrame:
+    """a1, meets: for each action with relations, the (a2, rel, r) that its permission meets prohibitions of."""
+    entry = F.struct(F.col("b").alias("a2"), "rel", "r")
+    return relations(dep_edges, RELATIONS).groupBy(F.col("a").alias("a1")).agg(F.collect_list(entry).alias("meets"))  # as long as the vocabulary at most
+
+
+def _reaching(allow: DataFrame, dep_edges: DataFrame) -> DataFrame:
+    """allow with a2, rel, r: a row for its own action (rel and r null), and one for each related action."""
+    meets = _meeting(dep_edges)
+    itself = F.struct(F.col("a1").alias("a2"), F.lit(None).cast("string").alias("rel"), F.lit(None).cast("string").alias("r"))
+    none = F.array().cast(meets.schema["meets"].dataType)
+    out = allow.join(small(meets), "a1", "left").withColumn("m", F.explode(F.concat(F.array(itself), F.coalesce("meets", none))))
+    return out.select(*allow.columns, "m.a2", "m.rel", "m.r")
 
 
 def conflicts(stmts: DataFrame, dep_edges: DataFrame, licences: DataFrame | None = None, within: str | None = None) -> DataFrame:
@@ -22,28 +34,22 @@ def conflicts(stmts: DataFrame, dep_edges: DataFrame, licences: DataFrame | None
     and it is returned too. A licence may conflict with itself. All pairs of a large input are quadratic; see conflict_counts.
     """
     if licences is not None:
-        stmts = stmts.join(licences.select("id").distinct(), "id", "left_semi")
+        stmts = stmts.join(small(licences.select("id").distinct()), "id", "left_semi")
     keys = [within] if within else []
     side = lambda kind, i, a: stmts.filter(F.col("kind") == kind).select(*keys, F.col("id").alias(i), F.col("action").alias(a)).distinct()
-    allow, deny = side("permission", "id1", "a1"), side("prohibition", "id2", "a2")
-    direct = allow.withColumn("a2", F.col("a1")).join(deny, [*keys, "a2"]).withColumns({"rel": F.lit(None).cast("string"), "r": F.lit(None).cast("string")})
-    rel = relations(dep_edges, RELATIONS).select(F.col("a").alias("a1"), "rel", F.col("b").alias("a2"), "r")
-    derived = allow.join(F.broadcast(rel), "a1").join(deny, [*keys, "a2"])  # a vocabulary's relations: of fixed size
-    return direct.select(*keys, *COLUMNS).unionByName(derived.select(*keys, *COLUMNS))
+    found = _reaching(side("permission", "id1", "a1"), dep_edges).join(side("prohibition", "id2", "a2"), [*keys, "a2"])
+    return found.select(*keys, *COLUMNS)
 
 
-def conflict_counts(stmts: DataFrame, dep_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """For each permission statement, how many prohibitions of all licences it meets, and the first licence: direct, derived.
+def conflict_counts(stmts: DataFrame, dep_edges: DataFrame) -> DataFrame:
+    """For each permission statement and each action that it meets (rel and r null where it is its own): how many prohibitions of all licences, and the first licence.
 
     Prohibitions are aggregated by action before they meet permissions, so the result grows with the statements, not with
-    their pairs.
+    their pairs. There is one row for each action then, which is broadcast if its size allows.
     """
-    allow = _side(stmts, "permission", "id1", "a1")
-    deny = _side(stmts, "prohibition", "id2", "a2").groupBy("a2").agg(F.count("*").alias("n_conflicts"), F.min("id2").alias("first_id"))
-    direct = allow.join(deny, F.col("a1") == F.col("a2")).select("id1", "a1", "n_conflicts", "first_id")
-    rel = relations(dep_edges, RELATIONS).select(F.col("a").alias("a1"), "rel", F.col("b").alias("a2"), "r")
-    derived = allow.join(F.broadcast(rel), "a1").join(deny, "a2").select("id1", "a1", "rel", "a2", "r", "n_conflicts", "first_id")
-    return direct, derived
+    side = lambda kind, i, a: stmts.filter(F.col("kind") == kind).select(F.col("id").alias(i), F.col("action").alias(a)).distinct()
+    deny = side("prohibition", "id2", "a2").groupBy("a2").agg(F.count("*").alias("n_conflicts"), F.min("id2").alias("first_id"))
+    return _reaching(side("permission", "id1", "a1"), dep_edges).join(small(deny), "a2").select("id1", "a1", "rel", "a2", "r", "n_conflicts", "first_id")
 
 
 def reason(r: Column) -> Column:

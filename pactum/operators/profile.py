@@ -9,11 +9,26 @@ from pactum.functions.scalar import camel_split, local_label
 from pactum.terms import LABELS
 
 
-def optional_chain(rules: DataFrame, rule_duties: DataFrame, targets: DataFrame) -> DataFrame:
-    """id, kind, action, duty, asset_type: one row for each optional binding, a permission's duties multiplying its row."""
-    nodes = rules.select("id", "node", "kind", "action").join(rule_duties.select("id", "node", "duty"), ["id", "node"], "left").withColumn("asset_type", F.lit(None).cast("string"))
-    assets = targets.select("id", F.lit("target").alias("kind"), F.lit(None).cast("string").alias("action"), F.lit(None).cast("string").alias("duty"), "asset_type")
-    return nodes.select("id", "kind", "action", "duty", "asset_type").unionByName(assets)
+def optional_chain(triples: DataFrame) -> DataFrame:
+    """id, property, value, permission, pnduty, prohibition, duty, asset_type: all values of each licence, and what each leads to.
+
+    triples: s, p, o with compact names. Five optional patterns start at the value: its action as a permission, the duties of
+    that permission, its action as a prohibition, its action as a duty, and its type as an asset. Each is null without a match
+    and multiplies the row with several. All joins are on the value, so one exchange serves them.
+    """
+    of = lambda p, a, b: triples.filter(F.col("p") == p).select(F.col("s").alias(a), F.col("o").alias(b)).distinct()
+    typed = lambda kind: triples.filter((F.col("p") == "rdf:type") & (F.col("o") == kind)).select(F.col("s").alias("value")).distinct()
+    acting = lambda kind, name: of("odrl:action", "value", name).join(typed(kind), "value", "left_semi")
+    sets = typed("odrl:Set").withColumnRenamed("value", "id")
+    values = triples.select(F.col("s").alias("id"), F.col("p").alias("property"), F.col("o").alias("value")).distinct().join(sets, "id", "left_semi")
+    nested = of("odrl:duty", "value", "d").join(acting("odrl:Duty", "pnduty").withColumnRenamed("value", "d"), "d").select("value", "pnduty").join(typed("odrl:Permission"), "value", "left_semi")
+    assets = of("dct:type", "value", "asset_type").join(typed("odrl:AssetCollection"), "value", "left_semi")
+    out = values.join(acting("odrl:Permission", "permission"), "value", "left").join(nested, "value", "left")
+    for part in (acting("odrl:Prohibition", "prohibition"), acting("odrl:Duty", "duty"), assets):
+        out = out.join(part, "value", "left")
+    # the second pattern has the first one's action in it
+    pnduty = F.when(F.col("permission").isNotNull(), F.col("pnduty")).alias("pnduty")
+    return out.select("id", "property", "value", "permission", pnduty, "prohibition", "duty", "asset_type")
 
 
 def labelled(properties: DataFrame, labels: dict[str, str] = LABELS) -> DataFrame:
@@ -35,19 +50,24 @@ def permissions(rules: DataFrame, rule_duties: DataFrame) -> DataFrame:
 
 def prohibitions(rules: DataFrame) -> DataFrame:
     """id, actions: sorted, each once."""
-    return rules.filter(F.col("kind") == "prohibition").groupBy("id").agg(F.sort_array(F.collect_set("action")).alias("actions"))
+    return _actions(rules, "prohibition")
+
+
+def _actions(rules: DataFrame, kind: str) -> DataFrame:
+    return rules.filter(F.col("kind") == kind).groupBy("id").agg(F.sort_array(F.collect_set("action")).alias("actions"))
 
 
-def license_profile(titles: DataFrame, properties: DataFrame, rules: DataFrame, rule_duties: DataFrame, targets: DataFrame) -> DataFrame:
-    """id, title, properties (label -> values), permissions (action, duties), prohibitions, targets; labels in words.
+def license_profile(titles: DataFrame, properties: DataFrame, rules: DataFrame, rule_duties: DataFrame, targets: DataFrame, wide_duties: DataFrame) -> DataFrame:
+    """id, title, properties (label -> values), permissions (action, duties), prohibitions, obligations, duties (of the whole licence), targets; labels in words, sorted.
 
-    Aggregated side by side and joined by id, so nothing multiplies.
+    Aggregated side by side and joined by id, so nothing multiplies. Without any, a part is null.
     """
     props = grouped(properties).groupBy("id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", F.transform("values", lambda v: camel_split(v)).alias("values"))))).alias("properties"))
     allow = permissions(rules, rule_duties).groupBy("id").agg(F.sort_array(F.collect_list(F.struct(local_label(F.col("action")).alias("action"), F.transform("duties", local_label).alias("duties")))).alias("permissions"))
-    deny = prohibitions(rules).select("id", F.transform("actions", local_label).alias("prohibitions"))
-    kinds = targets.groupBy("id").agg(F.sort_array(F.collect_set(local_label(F.col("asset_type")))).alias("targets"))
+    words = lambda df, name: df.select("id", F.sort_array(F.transform("actions", local_label)).alias(name))
+    wide = wide_duties.groupBy("id").agg(F.collect_set("action").alias("actions"))
+    kinds = targets.groupBy("id").agg(F.collect_set("asset_type").alias("actions"))
     out = titles
-    for part in (props, allow, deny, kinds):
+    for part in (props, allow, words(prohibitions(rules), "prohibitions"), words(_actions(rules, "obligation"), "obligations"), words(wide, "duties"), words(kinds, "targets")):
         out = out.join(part, "id", "left")
     return out

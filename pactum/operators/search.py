@@ -27,7 +27,7 @@ def keyword_condition(title: Column, alt: Column, keyword: str) -> Column:
 
 
 def list_licenses(titles: DataFrame, alternatives: DataFrame, keyword: str = "", skip: int = 0, limit: int | None = None) -> DataFrame:
-    """id, title, and with a keyword score (0 to 100), best first and then by id; without one, by id."""
+    """id, title, and with a keyword score (0 to 100), best first and then by id; without one, by id if skip or limit picks from them."""
     found = titles
     if keyword.split():
         found = with_alternatives(titles, alternatives).filter(keyword_condition(F.col("title"), F.col("alt"), keyword)).select("id", "title").distinct()

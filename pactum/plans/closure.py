@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Up to so many edges are closed on the driver; more go through joins.
-SMALL = 10_000
+from pactum.plans.stage import dropped, stage_folder, staged
+
+#: Up to so many edges and paths are closed on the driver (a vocabulary); more go through joins.
+SMALL, SMALL_PATHS = 10_000, 200_000
 EDGES = "a string, b string, rel string"
 
 
-def _paths(edges: list[tuple[str, str, str]]) -> set[tuple[str, str, str]]:
-    """(a, b, rel) for every path of two edges or more within a relation."""
+def _paths(edges: list[tuple[str, str, str]], limit: int) -> set[tuple[str, str, str]] | None:
+    """(a, b, rel) for every path of two edges or more within a relation; None if there are more than `limit`."""
     after: dict[tuple[str, str], set[str]] = defaultdict(set)
     for a, b, rel in edges:
         after[rel, a].add(b)
@@ -25,25 +28,39 @@ def _paths(edges: list[tuple[str, str, str]]) -> set[tuple[str, str, str]]:
             reached |= front
             front = {c for b in front for c in after.get((rel, b), ())} - reached
         out |= {(a, c, rel) for c in reached}
+        if len(out) > limit:
+            return None
     return out
 
 
 def paths(edges: DataFrame) -> DataFrame:
     """Distinct (a, b, rel) joined by a path of two edges or more; relations don't mix, and cycles end."""
     edges = edges.select("a", "b", "rel").distinct()
-    spark = edges.sparkSession
     some = edges.limit(SMALL + 1).collect()
-    if len(some) <= SMALL:
-        return spark.createDataFrame(sorted(_paths([tuple(r) for r in some])), EDGES)
-    if not spark.sparkContext.getCheckpointDir():
-        raise ValueError("closing a large graph needs spark.checkpoint.dir")
-    step = edges.select(F.col("a").alias("b"), F.col("b").alias("c"), "rel")
-    grow = lambda d: d.join(step, ["b", "rel"]).select("a", F.col("c").alias("b"), "rel").distinct()
-    delta = every = grow(edges).checkpoint()
-    while not delta.isEmpty():
-        delta = grow(delta).join(every, ["a", "b", "rel"], "left_anti").checkpoint()
-        every = every.unionByName(delta).checkpoint()
-    return every
+    if len(some) <= SMALL and (found := _paths([tuple(r) for r in some], SMALL_PATHS)) is not None:
+        return edges.sparkSession.createDataFrame(sorted(found), EDGES)
+    return _paths_by_joins(edges)
+
+
+def _paths_by_joins(edges: DataFrame) -> DataFrame:
+    """Lengths double each round: what k edges reach at most, and what exactly k reach, give the same for 2k.
+
+    Joining the exact lengths with the rest keeps intermediate rows to those of the result, where joining the rest with itself
+    would find each path once for every place to cut it.
+    """
+    spark, folder = edges.sparkSession, stage_folder(edges.sparkSession)
+    then = lambda x, y: x.join(y.select(F.col("a").alias("b"), F.col("b").alias("c"), "rel"), ["b", "rel"]).select("a", F.col("c").alias("b"), "rel")
+    edges = staged(edges, f"{folder}/edges")
+    exact, reach, n = edges, edges, edges.count()
+    for k in count():
+        reach_next = staged(reach.unionByName(then(exact, reach)).distinct(), f"{folder}/reach{k}")
+        exact = staged(then(exact, exact).distinct(), f"{folder}/exact{k}")
+        reach, before, n = reach_next, n, reach_next.count()
+        if k:
+            dropped(spark, f"{folder}/reach{k - 1}")
+            dropped(spark, f"{folder}/exact{k - 1}")
+        if n == before:
+            return then(edges, reach).distinct()
 
 
 def relations(dep_edges: DataFrame, kinds: tuple[str, ...], symmetric: tuple[str, ...] = ("owl:sameAs",)) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -124,12 +125,12 @@ _SIDES = ", allow AS (SELECT DISTINCT id AS id1, action AS a1 FROM stmts WHERE k
 
 @query("conflict_direct", _SIDES + "SELECT id1, a1, count(*) AS n_conflicts, min(id2) AS first_id FROM allow JOIN deny ON a1 = a2 GROUP BY id1, a1")
 def _(f):
-    return compat.conflict_counts(f.stmts, f.dep_edges)[0]
+    return compat.conflict_counts(f.stmts, f.dep_edges).filter("rel IS NULL").select("id1", "a1", "n_conflicts", "first_id")
 
 
 @query("conflict_derived", _SIDES + ", n AS (SELECT a2, count(*) AS n_conflicts, min(id2) AS first_id FROM deny GROUP BY a2) SELECT id1, a1, rel, a2, r, n_conflicts, first_id FROM allow JOIN rels ON a1 = a JOIN n ON b = a2")
 def _(f):
-    return compat.conflict_counts(f.stmts, f.dep_edges)[1]
+    return compat.conflict_counts(f.stmts, f.dep_edges).filter("rel IS NOT NULL")
 
 
 @query(
@@ -147,6 +148,21 @@ def _(f):
     return out.withColumns({c: F.array_join(c, " ") for c in ("statement_1", "statement_2")})
 
 
+#: A request of many licences, whose conflicts are given one by one.
+MANY = tuple(f"urn:lic:{i}" for i in range(1, 121))
+_MANY = ", ".join(f"'{x}'" for x in MANY)
+
+
+@query(
+    "conflict_rows",
+    _SIDES
+    + f"""SELECT id1, a1, id2, a2, CAST(NULL AS VARCHAR) AS rel, CAST(NULL AS VARCHAR) AS r FROM allow JOIN deny ON a1 = a2 WHERE id1 IN ({_MANY}) AND id2 IN ({_MANY})
+  UNION ALL SELECT id1, a1, id2, a2, rel, r FROM allow JOIN rels ON a1 = a JOIN deny ON b = a2 WHERE id1 IN ({_MANY}) AND id2 IN ({_MANY})""",
+)
+def _(f):
+    return compat.conflicts(f.stmts, f.dep_edges, f.spark.createDataFrame([(x,) for x in MANY], "id string"))
+
+
 # --- facets -----------------------------------------------------------------------------------------------------------
 
 
@@ -265,9 +281,53 @@ def _(f):
 # --- profile ----------------------------------------------------------------------------------------------------------
 
 
-@query("profile_optional_chain", "SELECT id, kind, action, duty, NULL AS asset_type FROM rules LEFT JOIN (SELECT node, duty FROM rule_duties) USING (node) UNION ALL SELECT id, 'target', NULL, NULL, asset_type FROM targets")
+def _graph(f: Fixture) -> DataFrame:
+    """s, p, o of the fixture with all nodes that a profile follows: statements, nested and licence-wide duties, targets."""
+    t = lambda df, s, p, o: df.select(s.alias("s"), p.alias("p"), o.alias("o"))
+    c, lit = F.col, F.lit
+    nested, wide = F.concat(c("node"), lit("/"), c("duty")), F.concat(c("id"), lit("/"), c("action"))
+    parts = [
+        t(f.titles, c("id"), lit("rdf:type"), lit("odrl:Set")),
+        t(f.titles, c("id"), lit("dct:title"), c("title")),
+        t(f.rules, c("id"), F.concat(lit("odrl:"), c("kind")), c("node")),
+        t(f.rules, c("node"), lit("rdf:type"), F.concat(lit("odrl:"), F.initcap("kind"))),
+        t(f.rules, c("node"), lit("odrl:action"), c("action")),
+        t(f.rule_duties, c("node"), lit("odrl:duty"), nested),
+        t(f.rule_duties, nested, lit("rdf:type"), lit("odrl:Duty")),
+        t(f.rule_duties, nested, lit("odrl:action"), c("duty")),
+        t(f.wide_duties, c("id"), lit("odrl:duty"), wide),
+        t(f.wide_duties, wide, lit("rdf:type"), lit("odrl:Duty")),
+        t(f.wide_duties, wide, lit("odrl:action"), c("action")),
+        t(f.targets, c("id"), lit("odrl:target"), c("asset")),
+        t(f.targets, c("asset"), lit("rdf:type"), lit("odrl:AssetCollection")),
+        t(f.targets, c("asset"), lit("dct:type"), c("asset_type")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+_GRAPH = """, graph(s, p, o) AS (SELECT id, 'rdf:type', 'odrl:Set' FROM titles UNION SELECT id, 'dct:title', title FROM titles
+  UNION SELECT id, concat('odrl:', kind), node FROM rules UNION SELECT node, 'rdf:type', CASE kind WHEN 'permission' THEN 'odrl:Permission' ELSE 'odrl:Prohibition' END FROM rules
+  UNION SELECT node, 'odrl:action', action FROM rules UNION SELECT node, 'odrl:duty', concat(node, '/', duty) FROM rule_duties
+  UNION SELECT concat(node, '/', duty), 'rdf:type', 'odrl:Duty' FROM rule_duties UNION SELECT concat(node, '/', duty), 'odrl:action', duty FROM rule_duties
+  UNION SELECT id, 'odrl:duty', concat(id, '/', action) FROM wide_duties UNION SELECT concat(id, '/', action), 'rdf:type', 'odrl:Duty' FROM wide_duties
+  UNION SELECT concat(id, '/', action), 'odrl:action', action FROM wide_duties UNION SELECT id, 'odrl:target', asset FROM targets
+  UNION SELECT asset, 'rdf:type', 'odrl:AssetCollection' FROM targets UNION SELECT asset, 'dct:type', asset_type FROM targets) """
+
+
+@query(
+    "profile_optional_chain",
+    _GRAPH
+    + """SELECT v.s AS id, v.p AS property, v.o AS value, a.permission, b.pnduty, c.prohibition, d.duty, e.asset_type
+FROM graph v SEMI JOIN (SELECT s FROM graph WHERE p = 'rdf:type' AND o = 'odrl:Set') x ON v.s = x.s
+LEFT JOIN (SELECT t.s, n.o AS permission FROM graph t JOIN graph n ON n.s = t.s AND n.p = 'odrl:action' WHERE t.p = 'rdf:type' AND t.o = 'odrl:Permission') a ON a.s = v.o
+LEFT JOIN (SELECT t.s, n.o AS permission, m.o AS pnduty FROM graph t JOIN graph n ON n.s = t.s AND n.p = 'odrl:action' JOIN graph d ON d.s = t.s AND d.p = 'odrl:duty'
+  JOIN graph k ON k.s = d.o AND k.p = 'rdf:type' AND k.o = 'odrl:Duty' JOIN graph m ON m.s = d.o AND m.p = 'odrl:action' WHERE t.p = 'rdf:type' AND t.o = 'odrl:Permission') b ON b.s = v.o AND b.permission = a.permission
+LEFT JOIN (SELECT t.s, n.o AS prohibition FROM graph t JOIN graph n ON n.s = t.s AND n.p = 'odrl:action' WHERE t.p = 'rdf:type' AND t.o = 'odrl:Prohibition') c ON c.s = v.o
+LEFT JOIN (SELECT t.s, n.o AS duty FROM graph t JOIN graph n ON n.s = t.s AND n.p = 'odrl:action' WHERE t.p = 'rdf:type' AND t.o = 'odrl:Duty') d ON d.s = v.o
+LEFT JOIN (SELECT t.s, n.o AS asset_type FROM graph t JOIN graph n ON n.s = t.s AND n.p = 'dct:type' WHERE t.p = 'rdf:type' AND t.o = 'odrl:AssetCollection') e ON e.s = v.o""",
+)
 def _(f):
-    return profile.optional_chain(f.rules, f.rule_duties, f.targets)
+    return profile.optional_chain(_graph(f))
 
 
 def _properties(f: Fixture) -> DataFrame:
@@ -303,6 +363,31 @@ def _(f):
     return profile.prohibitions(f.rules).withColumn("actions", _join("actions"))
 
 
+def _label_sql(x: str) -> str:
+    """The words of a name after its prefix; none of the fixture's names holds an acronym."""
+    return f"regexp_replace(regexp_extract({x}, '([^#/:]*)$', 1), '([a-z])([A-Z])', '\\1 \\2', 'g')"
+
+
+@query(
+    "license_profile",
+    _PROPERTIES
+    + f""", shown AS (SELECT id, string_agg(concat(label, '=', v), ';' ORDER BY label) AS properties FROM (SELECT id, label, string_agg(regexp_replace(o, '([a-z])([A-Z])', '\\1 \\2', 'g'), ',' ORDER BY o) AS v FROM (SELECT DISTINCT id, label, o FROM props JOIN labels USING (p)) GROUP BY id, label) GROUP BY id),
+allowed AS (SELECT id, string_agg(concat({_label_sql('action')}, '(', duties, ')'), ';' ORDER BY {_label_sql('action')}) AS permissions FROM
+  (SELECT r.id, r.action, coalesce(string_agg(DISTINCT {_label_sql('d.duty')}, ',' ORDER BY {_label_sql('d.duty')}), '') AS duties FROM rules r LEFT JOIN rule_duties d USING (node) WHERE r.kind = 'permission' GROUP BY r.id, r.action) GROUP BY id),
+words AS (SELECT id, what, string_agg(w, ',' ORDER BY w) AS w FROM (SELECT DISTINCT id, 'n' AS what, {_label_sql('action')} AS w FROM rules WHERE kind = 'prohibition' UNION SELECT id, 'o', {_label_sql('action')} FROM rules WHERE kind = 'obligation'
+  UNION SELECT id, 'd', {_label_sql('action')} FROM wide_duties UNION SELECT id, 't', {_label_sql('asset_type')} FROM targets) GROUP BY id, what)
+SELECT t.id, t.title, s.properties, a.permissions, n.w AS prohibitions, o.w AS obligations, d.w AS duties, x.w AS targets FROM titles t LEFT JOIN shown s USING (id) LEFT JOIN allowed a USING (id)
+  LEFT JOIN (SELECT id, w FROM words WHERE what = 'n') n USING (id) LEFT JOIN (SELECT id, w FROM words WHERE what = 'o') o USING (id)
+  LEFT JOIN (SELECT id, w FROM words WHERE what = 'd') d USING (id) LEFT JOIN (SELECT id, w FROM words WHERE what = 't') x USING (id)""",
+)
+def _(f):
+    p = profile.license_profile(f.titles, _properties(f), f.rules, f.rule_duties, f.targets, f.wide_duties)
+    shown = F.transform(F.map_entries("properties"), lambda x: F.concat(x["key"], F.lit("="), _join(x["value"])))
+    allowed = F.transform("permissions", lambda x: F.concat(x["action"], F.lit("("), _join(F.array_sort(x["duties"])), F.lit(")")))
+    p = p.withColumns({"properties": F.array_join(shown, ";"), "permissions": F.array_join(allowed, ";")})
+    return p.withColumns({c: _join(c) for c in ("prohibitions", "obligations", "duties", "targets")})
+
+
 _NAMES = ("ModifiedWorks", "chargeDistributionFee", "ODbL", "usesLaTeXHere", "plain", "")
 
 

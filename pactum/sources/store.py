@@ -8,9 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactum.operators.compose import TRIPLE
+from pactum.plans.stage import store_of
 from pactum.terms import STATEMENT_KINDS, Vocabulary
 
 
+_NAMES = [x.split()[0] for x in TRIPLE.split(", ")]
+#: Graphs up to which an append picks partitions by name.
+MANY_GRAPHS = 1000
+
+
 class GraphStore:
     """Triples below a folder, partitioned by graph, so that reading one graph prunes the others."""
 
@@ -18,7 +24,14 @@ class GraphStore:
         self.spark, self.folder = spark, folder
 
     def append(self, triples: DataFrame) -> None:
-        triples.write.mode("append").partitionBy("g").parquet(self.folder)
+        """Adds what the graphs don't have; only those graphs that the triples name are read. One writer at a time."""
+        new = triples.select(*_NAMES).distinct()
+        store, path = store_of(self.spark, self.folder)
+        if store.exists(path):
+            graphs = [r.g for r in new.select("g").distinct().limit(MANY_GRAPHS + 1).collect()]
+            old = self.quads().select(*_NAMES)
+            new = new.subtract(old.filter(F.col("g").isin(graphs)) if len(graphs) <= MANY_GRAPHS else old)
+        new.write.mode("append").partitionBy("g").parquet(self.folder)
 
     def clear(self) -> None:
         self.spark.createDataFrame([], TRIPLE).write.mode("overwrite").parquet(self.folder)
@@ -27,7 +40,8 @@ class GraphStore:
         return self.spark.read.schema(TRIPLE).parquet(self.folder)
 
     def graph(self, g: str) -> DataFrame:
-        return self.quads().filter(F.col("g") == g).dropDuplicates()
+        """One graph; `append` has seen to it that each triple is there once."""
+        return self.quads().filter(F.col("g") == g)
 
     def default(self) -> DataFrame:
         """All graphs together, each triple once."""

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactum.operators.compose import TRIPLE
+from pactum.plans.stage import small
 from pactum.terms import PREFIXES
 
 RDF_TYPE = PREFIXES["rdf"] + "type"
@@ -181,14 +182,8 @@ def parse_turtle(text: str, scope: str = "doc", base: str = "") -> list[tuple]:
 # --- reading and writing ----------------------------------------------------------------------------------------------
 
 
-def read_turtle(spark: SparkSession, path: str, graph: str, mode: str = "PERMISSIVE") -> tuple[DataFrame, DataFrame]:
-    """Triples of all files below path, and the files that can't be parsed (file, error).
-
-    Spark lists and reads the files, whole, so any store that it knows will do. FAILFAST raises at the first bad file.
-    """
-    if mode not in ("PERMISSIVE", "FAILFAST"):
-        raise ValueError(f"mode {mode!r}")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ttl").option("recursiveFileLookup", "true").load(path).select("path", "content")
+def parsed_files(files: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
+    """Triples of (path, content, graph) rows, and a row with an error for each file that can't be parsed. FAILFAST raises instead."""
     schema = f"{TRIPLE}, file string, error string"
 
     def run(batches: Iterator) -> Iterator:
@@ -197,7 +192,7 @@ def read_turtle(spark: SparkSession, path: str, graph: str, mode: str = "PERMISS
         names = [x.split()[0] for x in schema.split(", ")]
         for pdf in batches:
             rows = []
-            for file, content in zip(pdf.path, pdf.content, strict=True):
+            for file, content, graph in zip(pdf.path, pdf.content, pdf.graph, strict=True):
                 name = file.rsplit("/", 1)[-1].removesuffix(".ttl")
                 try:
                     for s, sk, p, o, ok, lang, dt in parse_turtle(bytes(content).decode("utf-8-sig"), name):
@@ -208,9 +203,30 @@ def read_turtle(spark: SparkSession, path: str, graph: str, mode: str = "PERMISS
                     rows.append((None,) * 8 + (file, str(e)))
             yield pd.DataFrame(rows, columns=names)
 
-    parsed = files.mapInPandas(run, schema)
-    good = parsed.filter(F.col("error").isNull()).drop("file", "error").dropDuplicates()
-    return good, parsed.filter(F.col("error").isNotNull()).select("file", "error")
+    return files.select("path", "content", "graph").mapInPandas(run, schema)
+
+
+def split_parsed(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Triples, each once, and (file, error) rows."""
+    return parsed.filter(F.col("error").isNull()).drop("file", "error").dropDuplicates(), parsed.filter(F.col("error").isNotNull()).select("file", "error")
+
+
+def _below(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content")
+
+
+def read_turtle(spark: SparkSession, path: str, graph: str, mode: str = "PERMISSIVE") -> tuple[DataFrame, DataFrame]:
+    """Triples of all files below path, and the files that can't be parsed (file, error).
+
+    Spark lists and reads the files, whole, so any store that it knows will do. A file x.ttl with an x.ttl.graph beside it goes
+    to the graph that the latter names, others to `graph`. FAILFAST raises at the first bad file. Both results derive from one
+    parse, which a caller that uses both writes first (see staged).
+    """
+    if mode not in ("PERMISSIVE", "FAILFAST"):
+        raise ValueError(f"mode {mode!r}")
+    named = _below(spark, path, "*.ttl.graph").select(F.regexp_replace("path", r"\.graph$", "").alias("path"), F.nullif(F.regexp_replace(F.decode("content", "UTF-8"), r"^[\s\x{FEFF}]+|\s+$", ""), F.lit("")).alias("name"))
+    files = _below(spark, path, "*.ttl").join(small(named), "path", "left").select("path", "content", F.coalesce("name", F.lit(graph)).alias("graph"))
+    return split_parsed(parsed_files(files, mode))
 
 
 def nt_term(value, kind, lang, dt):

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pactum.operators.compose import TRIPLE
-from pactum.sources.turtle import parse_turtle
+from pactum.plans.stage import dropped, stage_folder, staged
+from pactum.sources.store import GraphStore
+from pactum.sources.turtle import parsed_files, split_parsed
 
 
 def windows(events: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -21,22 +22,21 @@ def hourly(events: DataFrame) -> DataFrame:
     return windows(events).select((F.unix_timestamp(F.col("w.start")) / 3600).cast("long").alias("hour"), "event_type", "n")
 
 
-def ingest_licences(spark: SparkSession, landing: str, table: str, checkpoint: str, graph: str) -> StreamingQuery:
-    """Appends the triples of Turtle files as they land, partitioned by graph; ends when all that is there has been read."""
-    names = [x.split()[0] for x in TRIPLE.split(", ")]
+def ingest_licences(spark: SparkSession, landing: str, table: str, checkpoint: str, graph: str, bad: str | None = None) -> StreamingQuery:
+    """Adds the triples of Turtle files as they land to a GraphStore's table; ends when all that is there has been read.
 
-    def run(batches):
-        import pandas as pd
+    Files that can't be parsed are listed, with their error, in the table `bad` (by default beside the other): a folder for each
+    batch, so a batch that is done again replaces its list. Triples that are there already are not added again.
+    """
+    store, bad = GraphStore(spark, table), bad or f"{table.rstrip('/')}-bad"
 
-        for pdf in batches:
-            rows = []
-            for path, content in zip(pdf.path, pdf.content, strict=True):
-                try:
-                    rows += [(graph, *t) for t in parse_turtle(bytes(content).decode("utf-8-sig"), path.rsplit("/", 1)[-1].removesuffix(".ttl"))]
-                except ValueError:  # a file that can't be parsed adds nothing; read_turtle lists such files
-                    continue
-            yield pd.DataFrame(rows, columns=names)
+    def add(batch: DataFrame, number: int) -> None:
+        path = stage_folder(spark)
+        good, wrong = split_parsed(staged(parsed_files(batch), path))
+        store.append(good)
+        wrong.write.mode("overwrite").parquet(f"{bad}/batch={number}")
+        dropped(spark, path)
 
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.ttl").load(landing)
-    parsed = files.select("path", "content").mapInPandas(run, TRIPLE)
-    return parsed.writeStream.format("parquet").partitionBy("g").option("path", table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    named = files.select("path", "content", F.lit(graph).alias("graph"))
+    return named.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

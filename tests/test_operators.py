@@ -9,6 +9,7 @@ from pactum.functions import scalar as S
 from pactum.operators import audit, compat, facets, profile, search
 from pactum.operators.compose import Form, compose
 from pactum.plans import closure
+from pactum.plans.stage import small, staged
 from pactum.terms import DEPENDENCIES, RELATIONS, Vocabulary
 
 
@@ -45,6 +46,9 @@ def test_scalars(spark):
     assert one(spark, S.quoted_concat(F.lit('"a"'), F.lit("b"))) == '"ab"'
     assert one(spark, S.curie_expand(F.lit("nope:x"), Vocabulary().prefixes)) is None
     assert one(spark, S.strip_quotes(F.lit('"a"'))) == "a"
+    assert one(spark, S.strip_element(F.lit('"a(b)"))'))) == "a(b)" and one(spark, S.strip_element(F.lit("x"))) == "x"
+    words = spark.createDataFrame([("one (Version two", True), ("inversion", False), ("_version", False), ("ÉVersion", False), ("-VERSIONS", True), (None, None)], "t string, want boolean")
+    assert all(r.got == r.want for r in words.select("want", S.prefix_match(F.col("t"), "ver").alias("got")).collect())
 
 
 def test_closures(spark):
@@ -54,13 +58,24 @@ def test_closures(spark):
     assert closure.closed_graph(d, RELATIONS).count() == 49
 
 
-def test_large_closure_is_the_same(spark, monkeypatch, tmp_path):
-    spark.sparkContext.setCheckpointDir(str(tmp_path))
-    e = spark.createDataFrame([("a", "b", "x"), ("b", "c", "x"), ("c", "a", "x"), ("c", "d", "y")], closure.EDGES)
+def test_large_closure_is_the_same(spark, monkeypatch):
+    e = spark.createDataFrame([("a", "b", "x"), ("b", "c", "x"), ("c", "a", "x"), ("c", "d", "y"), ("d", "e", "y"), ("p", "p", "x")], closure.EDGES)
     small = {tuple(r) for r in closure.paths(e).collect()}
     monkeypatch.setattr(closure, "SMALL", 0)
     assert {tuple(r) for r in closure.paths(e).collect()} == small
-    assert len(small) == 9
+    assert len(small) == 9 + 1 + 1
+
+
+def test_many_paths_leave_the_driver(spark, monkeypatch):
+    """A chain's paths grow with the square of its edges; past the limit they are joined, in rounds that double lengths."""
+    monkeypatch.setattr(closure, "SMALL_PATHS", 500)
+    rounds = []
+    monkeypatch.setattr(closure, "staged", lambda df, path: rounds.append(path) or staged(df, path))
+    n = 150
+    e = spark.createDataFrame([(f"{i:03}", f"{i + 1:03}", "x") for i in range(n)], closure.EDGES)
+    got = {(r.a, r.b) for r in closure.paths(e).collect()}
+    assert got == {(f"{i:03}", f"{j:03}") for i in range(n) for j in range(i + 2, n + 1)}
+    assert len(rounds) < 25
 
 
 @pytest.fixture
@@ -117,16 +132,27 @@ def test_conflicts(spark, lib):
     nested = compat.nested_report(compat.conflict_report(compat.conflicts(stmts, lib["deps"]))).first()
     assert set(nested.direct) == {"0", "1"} and nested.derived["0"].statement_1 == ["l3", "odrl:permission", "odrl:display"]
     assert nested.derived["0"].reason.endswith("is given in the dependency graph.")
-    direct, derived = compat.conflict_counts(stmts, lib["deps"])
-    assert {tuple(r) for r in direct.collect()} == {("l1", "odrl:modify", 1, "l3"), ("l2", "odrl:modify", 1, "l3")}
-    assert derived.count() == 1
+    counts = {tuple(r) for r in compat.conflict_counts(stmts, lib["deps"]).collect()}
+    assert counts == {
+        ("l1", "odrl:modify", None, "odrl:modify", None, 1, "l3"),
+        ("l2", "odrl:modify", None, "odrl:modify", None, 1, "l3"),
+        ("l3", "odrl:display", "odrl:includedIn", "odrl:present", "dependencygraph", 1, "l2"),
+    }
+
+
+def test_only_few_rows_are_broadcast(spark):
+    plan = lambda df: spark.range(10).join(df, "id")._jdf.queryExecution().analyzed().toString()
+    assert "strategy=broadcast" in plan(small(spark.range(5), 5)) and "strategy=broadcast" not in plan(small(spark.range(6), 5))
+    assert small(spark.range(0)).count() == 0
 
 
 def test_profile(spark, lib):
     allow = {(r.id, r.action): r.duties for r in profile.permissions(lib["rules"], lib["rule_duties"]).collect()}
     assert allow["l1", "odrl:modify"] == ["cc:Attribution", "cc:Notice"] and allow["l3", "odrl:display"] == []
     props = spark.createDataFrame([("l1", "dct:publisher", "P"), ("l1", "foaf:img", "i")], "id string, p string, o string")
-    row = profile.license_profile(lib["titles"], props, lib["rules"], lib["rule_duties"], lib["targets"]).filter("id = 'l1'").first()
+    rows = profile.license_profile(lib["titles"], props, lib["rules"], lib["rule_duties"], lib["targets"], lib["wide_duties"]).orderBy("id").collect()
+    assert rows[1].duties == ["Share Alike"] and rows[0].duties is None and rows[0].obligations is None
+    row = rows[0]
     assert row.properties == {"Publisher": ["P"]} and row.prohibitions == ["Commercial Use"] and row.targets == ["Software"]
 
 
@@ -134,6 +160,7 @@ def test_audit(spark, lib):
     text = '{"full_name":"o/r","language":"x","dependencies":[{"name":"d1","normalized_licenses":["l1"]},{"name":"d2","normalized_licenses":[]},{"name":"d3","normalized_licenses":["l3","??"]},{"name":"d4"}]}'
     docs = audit.read_documents(spark.createDataFrame([(text,), ("not json",)], "value string"))
     resolved = audit.resolve(audit.dependency_licenses(docs), lib["titles"])
+    assert [tuple(r) for r in audit.repositories(docs).collect()] == [("o/r", "x")]
     assert {(r.dependency, r.license_id) for r in resolved.collect()} == {("d1", "l1"), ("d3", "l3"), ("d3", None)}
     got = audit.repository_conflicts(resolved, lib["rules"].select("id", "kind", "action").distinct(), lib["deps"]).collect()
     assert [(r.repo, r.id1, r.id2) for r in got] == [("o/r", "l1", "l3")]
@@ -144,3 +171,25 @@ def test_compose_is_deterministic():
     a = compose(form, Vocabulary(), "g")
     assert a == compose(form, Vocabulary(), "g")
     assert sum(p.endswith("startDate") for _, _, _, p, *_ in a) == 1 and not any(p.endswith("endDate") for _, _, _, p, *_ in a)
+
+
+def test_five_optional_patterns(spark):
+    """Every pattern null without a match, several matches multiply, types decide, and duties go with a permission's action only."""
+    t = [("l", "rdf:type", "odrl:Set"), ("l", "dct:title", "T"), ("x", "dct:title", "no licence")]
+    t += [("l", "odrl:permission", "n"), ("n", "rdf:type", "odrl:Permission"), ("n", "odrl:action", "modify"), ("n", "odrl:duty", "d1"), ("n", "odrl:duty", "d2"), ("n", "odrl:duty", "d3")]
+    t += [("d1", "rdf:type", "odrl:Duty"), ("d1", "odrl:action", "notice"), ("d2", "rdf:type", "odrl:Duty"), ("d2", "odrl:action", "rename"), ("d3", "odrl:action", "untyped")]
+    t += [("l", "odrl:prohibition", "p"), ("p", "rdf:type", "odrl:Prohibition"), ("p", "odrl:action", "sell"), ("l", "odrl:duty", "w"), ("w", "rdf:type", "odrl:Duty"), ("w", "odrl:action", "share")]
+    t += [("l", "odrl:target", "a"), ("a", "rdf:type", "odrl:AssetCollection"), ("a", "dct:type", "Software"), ("a", "dct:type", "Dataset"), ("l", "odrl:target", "b"), ("b", "dct:type", "Untyped")]
+    got = {tuple(r)[1:] for r in profile.optional_chain(spark.createDataFrame(t, "s string, p string, o string")).collect()}
+    none = (None,) * 5
+    assert got == {
+        ("rdf:type", "odrl:Set", *none),
+        ("dct:title", "T", *none),
+        ("odrl:permission", "n", "modify", "notice", None, None, None),
+        ("odrl:permission", "n", "modify", "rename", None, None, None),
+        ("odrl:prohibition", "p", None, None, "sell", None, None),
+        ("odrl:duty", "w", None, None, None, "share", None),
+        ("odrl:target", "a", None, None, None, None, "Software"),
+        ("odrl:target", "a", None, None, None, None, "Dataset"),
+        ("odrl:target", "b", *none),
+    }

@@ -84,6 +84,8 @@ def test_stream(spark, folder, tmp_path):
     q = ingest_licences(spark, folder, str(tmp_path / "out"), str(tmp_path / "cp"), "g")
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(T.parse_turtle(GOOD)) + len(T.parse_turtle(EMPTY_TARGET))
+    bad = spark.read.parquet(str(tmp_path / "out-bad")).collect()
+    assert [os.path.basename(r.file) for r in bad] == ["Bad.ttl"] and "predicate" in bad[0].error
 
 
 LIBRARY = os.environ.get("PACTUM_LICENCE_LIBRARY", "")  # a folder of public licence files
