@@ -5,6 +5,9 @@ parts merge by the larger register and equal registers are as likely as the sets
 registers is equal; pairs that meet are kept if the joint likelihood of all registers, given both cardinalities, puts the
 similarity high enough; what is left is verified on full sets.
 
+Where many documents hang together loosely, a closer sketch parts them first: it has more registers and longer bands, so
+documents that are similar without being linked fall away after their text was read twice.
+
 No step lists the pairs of a group. Documents with equal sets are one class from the start. Where documents meet, a
 breadth-first search takes each out of the pool when it is first reached, and only those spanning edges go on. The
 components of those edges hold every possible link, so each document's set goes once to its component (or, where a component
@@ -29,8 +32,11 @@ from .components import connected_components
 SHINGLE = 5
 #: Links: 100 * intersection >= percent * union. The contract of op8 has this percent; callers may pass another.
 LINK_PERCENT = 85
-#: A band is ROWS registers, and REGISTERS are for the likelihood. `tuning` derives the other settings from the percent.
-ROWS, REGISTERS = 3, 64
+#: A sketch's bands are of so many registers, and so many are for the likelihood: in all texts, and in large loose components.
+#: `tuning` derives the other settings from the percent.
+Level = tuple[int, int]
+ROWS, REGISTERS = BROAD = (3, 64)
+CLOSE = (6, 512)
 #: A pair just similar enough misses all bands, or is given up by the likelihood, with at most this probability each.
 MISS, GIVE_UP = 6e-9, 1e-8
 #: Bases of the scale for bands (16 bits) and for the likelihood (8 bits), and the rate of the exponential hashes.
@@ -40,16 +46,17 @@ KEY_DOCS, CELL_DOCS = 20_000, 192
 
 
 @lru_cache
-def tuning(percent: int) -> tuple[int, float]:
+def tuning(percent: int, level: Level = BROAD) -> tuple[int, float]:
     """Bands, and the estimate below which a pair is given up, for links of `percent`: the fewest and the highest that keep to MISS and GIVE_UP."""
-    bands = math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** ROWS))
-    least = next((x / 100 for x in range(percent, 0, -1) if given_up(percent, x / 100) <= GIVE_UP), 0.0)
+    rows, registers = level
+    bands = math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** rows))
+    least = next((x / 100 for x in range(percent, 0, -1) if given_up(percent, x / 100, registers) <= GIVE_UP), 0.0)
     return bands, least
 
 
-def given_up(percent: int, least: float) -> float:
-    """The exact chance that the likelihood puts a pair with a similarity of `percent` below `least`; the worst over the sizes that it can have."""
-    n, s = REGISTERS, percent / 100
+def given_up(percent: int, least: float, n: int = REGISTERS) -> float:
+    """The exact chance that the likelihood over n registers puts a pair with a similarity of `percent` below `least`; the worst over the sizes that it can have."""
+    s = percent / 100
     more, less = (x.ravel() for x in np.indices((n + 1, n + 1)))
     more, less = more[more + less <= n], less[more + less <= n]
     same = n - more - less
@@ -122,13 +129,13 @@ def slope(u: float, more: np.ndarray, less: np.ndarray, same: np.ndarray, least:
     return -more * v * dp / p - less * u * dq / q + same * (v * dp + u * dq) / (1 - p - q)
 
 
-def likely(a: np.ndarray, n_a: int, b: np.ndarray, n_b: np.ndarray, percent: int = LINK_PERCENT) -> np.ndarray:
+def likely(a: np.ndarray, n_a: int, b: np.ndarray, n_b: np.ndarray, percent: int = LINK_PERCENT, level: Level = BROAD) -> np.ndarray:
     """Whether the maximum-likelihood similarity of a with each row of b is high enough for `percent`, and the sizes allow a link.
 
     The log-likelihood is concave in the similarity, so its maximum is at a similarity or above if its slope there isn't negative.
     """
     more, less = (a > b).sum(1), (a < b).sum(1)
-    up = slope(n_a / (n_a + n_b), more, less, b.shape[1] - more - less, tuning(percent)[1])
+    up = slope(n_a / (n_a + n_b), more, less, b.shape[1] - more - less, tuning(percent, level)[1])
     return (up >= 0) & (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b))
 
 
@@ -153,9 +160,10 @@ def search(n: int, near, part: np.ndarray | None = None) -> list[tuple[int, int]
     return edges
 
 
-def sketch(docs: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
+def sketch(docs: DataFrame, percent: int = LINK_PERCENT, level: Level = BROAD) -> DataFrame:
     """doc_id, rank, n_shingles, digest (of the set), fine (bands), coarse (likelihood) of (doc_id, rank, text) rows."""
-    width = tuning(percent)[0] * ROWS
+    count, (rows, n) = tuning(percent, level)[0], level
+    width = count * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,9 +173,9 @@ def sketch(docs: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
             for a, b in slices(offs):
                 o = offs[a : b + 1]
                 sets = shingle_sets(data[o[0] : o[-1]], o - o[0])
-                minima = registers(sets, max(REGISTERS, width))
+                minima = registers(sets, max(n, width))
                 fine = on_scale(minima[:, :width], FINE, 65535).astype("<u2")
-                coarse = on_scale(minima[:, :REGISTERS], COARSE, 255).astype(np.uint8)
+                coarse = on_scale(minima[:, :n], COARSE, 255).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
@@ -202,19 +210,19 @@ def _edge_table(ranks: np.ndarray, edges: list[tuple[int, int]]) -> pa.Table:
     return pa.table([pa.array(ranks[e[:, 0]]), pa.array(ranks[e[:, 1]])], names=["u", "v"])
 
 
-def meet(classes: DataFrame, folder: str, percent: int = LINK_PERCENT) -> DataFrame:
+def meet(classes: DataFrame, folder: str, percent: int = LINK_PERCENT, level: Level = BROAD) -> DataFrame:
     """Edges that span, over all bands, what the likelihood lets through."""
-    count = tuning(percent)[0]
+    count, (wide, registers) = tuning(percent, level)[0], level
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            fine = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u2").reshape(n, count, ROWS).astype(np.uint64)
+            fine = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u2").reshape(n, count, wide).astype(np.uint64)
             with np.errstate(over="ignore"):
                 key = np.broadcast_to(np.arange(count, dtype=np.uint64), (n, count)).copy()
-                for r in range(ROWS):
+                for r in range(wide):
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + fine[:, :, r] + np.uint64(1))
             row = np.repeat(np.arange(n), count)
             yield pa.RecordBatch.from_arrays(
@@ -223,14 +231,14 @@ def meet(classes: DataFrame, folder: str, percent: int = LINK_PERCENT) -> DataFr
 
     rows = classes.select("rank", "n_shingles", "fine", "coarse").mapInArrow(bands, "key long, rank long, n_shingles long, coarse binary")
     sizes = rows.groupBy("key").agg(F.count("*").alias("size"))
-    big = written(sizes.filter(F.col("size") > KEY_DOCS), folder, "hot-keys")
+    big = written(sizes.filter(F.col("size") > KEY_DOCS), folder, f"hot-keys-{wide}")
     rows = in_cells(rows, "key", big, KEY_DOCS) if not big.isEmpty() else rows.withColumn("cell", F.lit(0)).withColumn("part", F.lit(0))
     rows = rows.repartition("key", "cell").sortWithinPartitions("key", "cell")
 
     def group(key: list[np.ndarray]) -> pa.RecordBatch:
         rank, n, part, coarse = (np.concatenate([x[i] for x in key]) for i in range(4))
         pairwise = part if part.min() != part.max() else None
-        edges = search(len(rank), lambda i, pool: likely(coarse[i], int(n[i]), coarse[pool], n[pool], percent), pairwise)
+        edges = search(len(rank), lambda i, pool: likely(coarse[i], int(n[i]), coarse[pool], n[pool], percent, level), pairwise)
         return _edge_table(rank, edges).combine_chunks().to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +249,7 @@ def meet(classes: DataFrame, folder: str, percent: int = LINK_PERCENT) -> DataFr
                 continue
             key, cell = batch.column(0).to_numpy(), batch.column(4).to_numpy()
             rank, n, part = (batch.column(i).to_numpy() for i in (1, 2, 5))
-            coarse = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, REGISTERS)
+            coarse = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, registers)
             cut = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (cell[1:] != cell[:-1])) + 1).tolist(), len(key)]
             for a, b in zip(cut[:-1], cut[1:], strict=True):
                 if (key[a], cell[a]) != at:
@@ -255,6 +263,21 @@ def meet(classes: DataFrame, folder: str, percent: int = LINK_PERCENT) -> DataFr
     return rows.mapInArrow(run, _EDGES).distinct()
 
 
+def tightened(rows: DataFrame, loose: DataFrame, folder: str, percent: int) -> DataFrame:
+    """loose (rank, component) with the components of more than CELL_DOCS taken apart by a closer sketch of their members' texts.
+
+    What isn't linked with anything by that sketch is left out. rows: doc_id, rank, text.
+    """
+    big = loose.groupBy("component").agg(F.count("*").alias("size")).filter(F.col("size") > CELL_DOCS)
+    large = written(loose.join(big.select("component"), "component", "left_semi").select("rank", "component"), folder, "large")
+    if large.isEmpty():
+        return loose
+    texts = rows.join(large.select("rank").hint("merge"), "rank", "left_semi").select("doc_id", "rank", "text")
+    closer = written(sketch(texts, percent, CLOSE).filter("n_shingles > 0"), folder, "closer")
+    tight = connected_components(meet(closer, folder, percent, CLOSE), folder, "tight").withColumnRenamed("node", "rank")
+    return loose.join(large.select("rank"), "rank", "left_anti").select("rank", "component").unionByName(tight)
+
+
 def exact_edges(sets: list[np.ndarray], part: np.ndarray, percent: int = LINK_PERCENT) -> list[tuple[int, int]]:
     """Spanning edges of the exact links among the sets; with several parts, of those between different ones."""
     size = np.array([len(s) for s in sets], np.int64)
@@ -324,6 +347,7 @@ def _groups(rows: DataFrame, folder: str, percent: int) -> DataFrame:
     classes = full.groupBy("digest").agg(F.min("rank").alias("rank"), F.min_by("n_shingles", "rank").alias("n_shingles"), F.min_by("fine", "rank").alias("fine"), F.min_by("coarse", "rank").alias("coarse"))
     classes = written(classes, folder, "classes")
     loose = connected_components(meet(classes, folder, percent), folder, "loose").withColumnRenamed("node", "rank")
+    loose = tightened(rows, loose, folder, percent)
     # one text of each class; where rows share a doc_id, each of its texts
     exact = verify(rows.select("rank", "text"), loose, folder, percent)
     found = connected_components(exact.unionByName(_same_id(full, classes, folder)), folder, "links").withColumnRenamed("node", "rank")

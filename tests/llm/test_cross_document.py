@@ -264,6 +264,26 @@ def test_long_words_that_polynomials_confuse(spark):
         assert measured[4][0] == 0
 
 
+def test_similar_documents_without_links_fall_away(spark, monkeypatch):
+    """Many documents of similarity 0.6 hang together loosely; the closer sketch parts them before their sets are compared."""
+    monkeypatch.setattr(near_dedup, "CELL_DOCS", 16)
+    sent, loose, verify, tightened = [], [], near_dedup.verify, near_dedup.tightened
+    monkeypatch.setattr(near_dedup, "verify", lambda docs, members, *more: sent.append((members.count(), loose[0])) or verify(docs, members, *more))
+    monkeypatch.setattr(near_dedup, "tightened", lambda rows, members, *more: loose.append(members.count()) or tightened(rows, members, *more))
+    rng = random.Random(14)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for k in rng.sample(range(5, 95), 3):
+            w[k] = f"e{i}x{k}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, t) for i, t in rows[:3]] + [(2000, " ".join(rows[4][1].split() + ["tail"]))]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(frame(spark, rows)).collect()), key=str)
+    assert got == brute_near(rows)
+    assert sent[0][1] > 100 and sent[0][0] < 40
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(frame(spark, [])).count() == 0
 
