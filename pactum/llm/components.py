@@ -14,17 +14,24 @@ from .common import remove, written
 HUBS, LEAST_HUB = 20_000, 200
 
 
-def _with_least(e: DataFrame, total: int) -> DataFrame:
-    """u, v, m for each edge: m is the least of u's neighbours and u.
+def _least(e: DataFrame) -> DataFrame:
+    """u, m (the least of u's neighbours and u), n (neighbours); pre-aggregated before the shuffle."""
+    return e.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
 
-    Minima are pre-aggregated before their shuffle. Edges of hubs get theirs from a broadcast of the hubs (at most 2 * HUBS rows, as
-    degrees add up to 2 * total at most), so that no task gets all edges of one; the rest meet by a join on u.
-    """
-    many = max(LEAST_HUB, total // HUBS)
-    low = e.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
-    hubs = F.broadcast(low.filter(F.col("n") > many).select("u", "m"))
-    rest = e.join(hubs.select("u"), "u", "left_anti").join(low.filter(F.col("n") <= many).select("u", "m").hint("merge"), "u")
-    return e.join(hubs, "u").select("u", "v", "m").unionByName(rest.select("u", "v", "m"))
+
+def _hubs(low: DataFrame, many: int) -> DataFrame | None:
+    """u, m of the nodes with more than `many` edges, or None; few enough for the driver and a broadcast, as degrees add up to twice the edges."""
+    found = low.filter(F.col("n") > many).select("u", F.col("m").alias("hub")).toArrow()
+    return low.sparkSession.createDataFrame(found, "u long, hub long") if found.num_rows else None
+
+
+def _with_least(e: DataFrame, low: DataFrame, hubs: DataFrame | None) -> DataFrame:
+    """u, v, m for each edge, by a join on u; edges of hubs get their m from a broadcast, so that no task gets all edges of one."""
+    if hubs is None:
+        return e.join(low.select("u", "m"), "u").select("u", "v", "m")
+    tagged = e.join(F.broadcast(hubs), "u", "left")
+    rest = tagged.filter(F.col("hub").isNull()).join(low.select("u", "m").hint("merge"), "u").select("u", "v", "m")
+    return tagged.filter(F.col("hub").isNotNull()).select("u", "v", F.col("hub").alias("m")).unionByName(rest)
 
 
 def connected_components(edges: DataFrame, folder: str, name: str) -> DataFrame:
@@ -39,8 +46,13 @@ def connected_components(edges: DataFrame, folder: str, name: str) -> DataFrame:
     total = e.count()
     for k in count():  # rounds are logarithmic in the longest path
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both, total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        small = _with_least(large, total).select(F.col("v").alias("u"), "m").unionByName(large.groupBy("u").agg(F.min("v").alias("m")))
+        many, low = max(LEAST_HUB, total // HUBS), _least(both)
+        hubs = _hubs(low, many)
+        large = _with_least(both.filter("v > u"), low, hubs).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        if hubs is not None:  # without hubs before, there are none after this step
+            large = written(large, folder, f"{name}-large")
+        low = _least(large)
+        small = _with_least(large, low, _hubs(low, many) if hubs is not None else None).select(F.col("v").alias("u"), "m").unionByName(low.select("u", "m"))
         e = written(small.filter("u <> m").select("u", F.col("m").alias("v")).distinct(), folder, f"{name}-{k}")
         remove(spark, last)
         last = f"{folder}/{name}-{k}"
