@@ -44,6 +44,9 @@ FINE, COARSE, RATE = 1.001, 1.08, 20.0
 #: Documents of a band key, and of a component, that meet in one group; more are dealt to cells of pairs of parts.
 KEY_DOCS, CELL_DOCS = 20_000, 192
 
+#: Ranks that are broadcast at most, 8 bytes each.
+BROADCAST_RANKS = 1_000_000
+
 
 @lru_cache
 def tuning(percent: int, level: Level = BROAD) -> tuple[int, float]:
@@ -269,13 +272,16 @@ def tightened(rows: DataFrame, loose: DataFrame, folder: str, percent: int) -> D
     What isn't linked with anything by that sketch is left out. rows: doc_id, rank, text.
     """
     big = loose.groupBy("component").agg(F.count("*").alias("size")).filter(F.col("size") > CELL_DOCS)
-    large = written(loose.join(big.select("component"), "component", "left_semi").select("rank", "component"), folder, "large")
-    if large.isEmpty():
+    large = written(loose.join(big.select("component"), "component", "left_semi").select("rank"), folder, "large")
+    size = large.count()
+    if not size:
         return loose
-    texts = rows.join(large.select("rank").hint("merge"), "rank", "left_semi").select("doc_id", "rank", "text")
+    # texts move only where there are too many ranks to broadcast
+    ranks = F.broadcast(large) if size <= BROADCAST_RANKS else large.hint("merge")
+    texts = rows.join(ranks, "rank", "left_semi").select("doc_id", "rank", "text")
     closer = written(sketch(texts, percent, CLOSE).filter("n_shingles > 0"), folder, "closer")
     tight = connected_components(meet(closer, folder, percent, CLOSE), folder, "tight").withColumnRenamed("node", "rank")
-    return loose.join(large.select("rank"), "rank", "left_anti").select("rank", "component").unionByName(tight)
+    return loose.join(large, "rank", "left_anti").select("rank", "component").unionByName(tight)
 
 
 def exact_edges(sets: list[np.ndarray], part: np.ndarray, percent: int = LINK_PERCENT) -> list[tuple[int, int]]:
