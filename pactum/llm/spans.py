@@ -17,7 +17,7 @@ Steps 2 to 6 keep at most one block or one bucket in memory.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -251,15 +251,24 @@ def shared_anchors(b: Block, answers: pa.Table) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
-def strip_rows(b: Block, shared: np.ndarray) -> list[tuple]:
-    """STRIPS rows of the distinct strips whose anchor is in `shared`, and their anchors."""
+def strip_rows(b: Block, shared: np.ndarray, twice: bool = False) -> list[tuple]:
+    """STRIPS rows of the distinct strips whose anchor is in `shared`, and their anchors.
+
+    twice: a strip that several documents of the block have goes again, after all others, so that its bucket sees two occurrences.
+    """
     doc, rows = b.doc_of(), []
     for k, (content, at, number) in b.entries(shared).items():
-        least = np.full(len(content), NO_ID, np.int64)
+        strips = list(content)
+        least, most = np.full(len(strips), NO_ID, np.int64), np.full(len(strips), -NO_ID, np.int64)
         np.minimum.at(least, number, doc[at])
-        keys = np.zeros(len(content), np.uint64)
+        keys = np.zeros(len(strips), np.uint64)
         keys[number] = b.anchor[at]
-        rows.append((k, b.blk, *packed_strips(list(content), least), pack(keys.tobytes())))
+        if twice:
+            np.maximum.at(most, number, doc[at])
+            again = np.flatnonzero(most > least)
+            strips += [strips[i] for i in again.tolist()]
+            least, keys = np.append(least, most[again]), np.append(keys, keys[again])
+        rows.append((k, b.blk, *packed_strips(strips, least), pack(keys.tobytes())))
     return rows
 
 
@@ -267,15 +276,15 @@ def packed_strips(content: list[bytes], least: np.ndarray) -> tuple[bytes, bytes
     return pack(least.tobytes()), pack(np.array([len(x) for x in content], np.uint32).tobytes()), pack(b"".join(content))
 
 
-def send_strips(blocks: DataFrame, answers: DataFrame, p: Plan, keyed: bool = False) -> DataFrame:
-    """Step 4. keyed: with each strip's anchor in a last column."""
+def send_strips(blocks: DataFrame, answers: DataFrame, p: Plan, keyed: bool = False, twice: bool = False) -> DataFrame:
+    """Step 4. keyed: with each strip's anchor in a last column. twice: see strip_rows."""
     schema = STRIPS + ", keys binary" * keyed
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return table_of(schema, [])
         b = Block(left, p)
-        rows = strip_rows(b, shared_anchors(b, right))
+        rows = strip_rows(b, shared_anchors(b, right), twice)
         return table_of(schema, rows if keyed else [r[:-1] for r in rows])
 
     return blocks.groupBy("blk").cogroup(answers.groupBy("blk")).applyInArrow(run, schema)
@@ -317,7 +326,7 @@ def answers_to(table: pa.Table, shared_parts: Parts) -> tuple[list[tuple], dict[
     bucket = table.column("bucket")[0].as_py()
     rows = []
     for blk, own in zip(table.column("blk").to_pylist(), members, strict=True):
-        marks = [(i, *m) for i, k in enumerate(own) for m in parts[k]] if blk >= 0 else []
+        marks = [(i, *m) for i, k in enumerate(dict.fromkeys(own)) for m in parts[k]] if blk >= 0 else []
         if marks:
             rows.append((blk, 1, bucket, pack(np.array(marks, MARK).tobytes())))
     return rows, number, least, members
@@ -328,18 +337,8 @@ def answer_strips(strips: DataFrame, shared_parts: Parts) -> DataFrame:
     return strips.groupBy("bucket").applyInArrow(lambda table: table_of(ANSWER, answers_to(table, shared_parts)[0]), ANSWER)
 
 
-def covered(b: Block, answers: pa.Table) -> np.ndarray:
-    """Step 6: which tokens of the block are covered."""
-    edge = np.zeros(b.n_tokens + 1, np.int32)
-    doc = b.doc_of()
-    entries = b.entries(shared_anchors(b, answers))
-    for _, at, number in entries.values():  # whole strips that several documents of this block have
-        at, number = np.array(at), np.array(number)
-        least = np.full(number.max() + 1, NO_ID, np.int64)
-        np.minimum.at(least, number, doc[at])
-        at = at[doc[at] > least[number]]
-        np.add.at(edge, b.first[at], 1)
-        np.add.at(edge, b.last[at] + b.plan.window, -1)
+def occurrences(b: Block, entries: dict, answers: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """What buckets answered, for each occurrence in the block: strips, first tokens, lengths in tokens, least documents."""
     kinds, buckets, bodies = (answers.column(c).to_pylist() for c in ("kind", "bucket", "body"))
     for kind, k, body in zip(kinds, buckets, bodies, strict=True):
         if kind != 1:
@@ -352,10 +351,25 @@ def covered(b: Block, answers: pa.Table) -> np.ndarray:
         n = begin[marks["entry"] + 1] - begin[marks["entry"]]
         m = np.repeat(np.arange(len(marks)), n)
         strip = at[np.repeat(begin[marks["entry"]] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
-        later = marks["doc"][m] < doc[strip]
-        a = b.first[strip[later]] + marks["offset"][m[later]]
-        np.add.at(edge, a, 1)
-        np.add.at(edge, a + marks["length"][m[later]], -1)
+        yield strip, b.first[strip] + marks["offset"][m], marks["length"][m].astype(np.int64), marks["doc"][m]
+
+
+def covered(b: Block, answers: pa.Table, whole: bool = True) -> np.ndarray:
+    """Step 6: which tokens of the block are covered. whole: strips that several documents of this block have count without an answer."""
+    edge = np.zeros(b.n_tokens + 1, np.int32)
+    doc = b.doc_of()
+    entries = b.entries(shared_anchors(b, answers))
+    for _, at, number in entries.values() if whole else ():
+        at, number = np.array(at), np.array(number)
+        least = np.full(number.max() + 1, NO_ID, np.int64)
+        np.minimum.at(least, number, doc[at])
+        at = at[doc[at] > least[number]]
+        np.add.at(edge, b.first[at], 1)
+        np.add.at(edge, b.last[at] + b.plan.window, -1)
+    for strip, first, length, low in occurrences(b, entries, answers):
+        later = low < doc[strip]
+        np.add.at(edge, first[later], 1)
+        np.add.at(edge, first[later] + length[later], -1)
     return np.cumsum(edge[:-1], dtype=np.int32) > 0
 
 

@@ -8,6 +8,7 @@ repeat, and so is everything below it. Each occurrence in a later document than
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,16 +17,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import _byte_values, id_text, session, window_hashes
-from .spans import Block, answer_anchors, answer_strips, binary_array, covered, in_blocks, per_document, plan_for, send_anchors, send_strips
+from .spans import Block, answer_anchors, answer_strips, binary_array, covered, in_blocks, occurrences, per_document, plan_for, send_anchors, send_strips, shared_anchors, table_of
 
 WINDOW, GRAM = 50, 16
+PLACES = "repeat binary, length long, doc_id long, offset long"
 
 
-def enhanced_suffix_array(strings: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def enhanced_suffix_array(strings: list[bytes], least: int, several: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """String numbers, offsets, common-prefix lengths with the suffix before (0 for the first), and bytes to the left.
 
     It holds the suffixes whose first `least` bytes occur more than once; no other can share as much. The byte to the left is
-    256 at the beginning of a string, where what stands before isn't known.
+    256 at the beginning of a string, where what stands before isn't known. A string that occurs several times as a whole is a
+    suffix twice: its other suffixes have the same byte to their left in all of its occurrences.
     """
     size = np.array([len(x) for x in strings], np.int64)
     begin = np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else np.zeros(0, np.int64)
@@ -42,7 +45,9 @@ def enhanced_suffix_array(strings: list[bytes], least: int) -> tuple[np.ndarray,
         more = np.zeros(len(at), bool)
         more[order[1:]] |= same
         more[order[:-1]] |= same
-        owner, offset, at = owner[more], offset[more], at[more]
+        twin = np.zeros(len(at), bool) if several is None else several[owner] & (offset == 0)
+        copies = np.where(twin, 2, more)
+        owner, offset, at = np.repeat(owner, copies), np.repeat(offset, copies), np.repeat(at, copies)
     if not len(at):
         none = np.zeros(0, np.int64)
         return none, none, none, none
@@ -72,13 +77,13 @@ def intervals(common: list[int]) -> Iterator[tuple[int, int, int]]:
             stack.append((length, first))
 
 
-def maximal_repeats(strings: list[bytes], least: int = WINDOW) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+def maximal_repeats(strings: list[bytes], least: int = WINDOW, several: np.ndarray | None = None) -> Iterator[tuple[int, list[tuple[int, int]]]]:
     """(length, all occurrences as (string number, offset)) of the maximal repeats of at least `least` bytes.
 
     Empty strings and strings shorter than `least` have none. The beginning of a string counts as a byte of its own, so equal
-    strings are a repeat.
+    strings are a repeat, and so is one that `several` says occurs more than once; its number comes twice.
     """
-    owner, offset, common, left = enhanced_suffix_array(strings, least)
+    owner, offset, common, left = enhanced_suffix_array(strings, least, several)
     if not len(owner):
         return
     head = np.flatnonzero(common < least)
@@ -93,29 +98,48 @@ def maximal_repeats(strings: list[bytes], least: int = WINDOW) -> Iterator[tuple
 
 
 def shared_parts(strips: list[bytes], least: np.ndarray, times: np.ndarray) -> list[list[tuple[int, int, int]]]:
-    """What later documents must lose of each strip: (offset, length, least document that has it)."""
+    """The repeats that occur in each strip: (offset, length, least document that has it)."""
     doc = least.tolist()
-    out: list[list[tuple[int, int, int]]] = [[(0, len(s), d)] if n > 1 else [] for s, d, n in zip(strips, doc, times.tolist(), strict=True)]
-    for length, where in maximal_repeats(strips):
+    out: list[list[tuple[int, int, int]]] = [[] for _ in strips]
+    for length, where in maximal_repeats(strips, several=times > 1):
         first = min([doc[k] for k, _ in where])
-        for k, offset in where:
+        for k, offset in dict.fromkeys(where):
             out[k].append((offset, length, first))
     return out
 
 
-def _cleaned(rows: DataFrame, window: int, make, schema: str) -> DataFrame:
-    """make(block, cov, carried columns) -> table, over blocks of (doc_id, text, more columns)."""
+def _by_block(rows: DataFrame, window: int, make, schema: str) -> DataFrame:
+    """make(block, answers) -> table, over blocks of (doc_id, text, more columns) and the repeats found in them."""
     p = plan_for(rows, False, window, GRAM)
     more = [c for c in rows.columns if c not in ("doc_id", "text")]
     blocks = in_blocks(rows, p, more)
     found = answer_anchors(send_anchors(blocks, p))
-    parts = answer_strips(send_strips(blocks, found, p), shared_parts)
+    parts = answer_strips(send_strips(blocks, found, p, twice=True), shared_parts)
+    return blocks.groupBy("blk").cogroup(found.unionByName(parts).groupBy("blk")).applyInArrow(lambda left, right: make(Block(left, p), right), schema)
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        b = Block(left, p)
-        return make(b, covered(b, right))
 
-    return blocks.groupBy("blk").cogroup(found.unionByName(parts).groupBy("blk")).applyInArrow(run, schema)
+def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """repeat (digest of its bytes), length, doc_id, offset: every occurrence of every repeat, in bytes.
+
+    A group is a string of `window` bytes or more with all places where it is, in the same document too. It can't be made longer
+    without losing one of them, unless that crosses the end of a strip (see spans.py): a passage longer than a strip is a chain
+    of groups, which overlap by `window` - 1 bytes. Each string of `window` bytes that several documents have is in a group;
+    what recurs in one document alone may be. Null and empty texts have none, and an empty table gives no rows. Rows of equal doc_id are one
+    document, and so are those without one; each row's places count from its own beginning. Repeated rows repeat their places.
+    Other columns are not read.
+    """
+    session(docs)
+
+    def make(b: Block, answers: pa.Table) -> pa.Table:
+        places: list[tuple] = []
+        raw = b.data.tobytes()
+        for strip, first, length, _ in occurrences(b, b.entries(shared_anchors(b, answers)), answers):
+            row = b.row[strip]
+            for r, x, n in zip(row.tolist(), first.tolist(), length.tolist(), strict=True):
+                places.append((hashlib.blake2b(raw[x : x + n], digest_size=16).digest(), n, b.ids[r].as_py(), x - int(b.byte_offs[r])))
+        return table_of(PLACES, places)
+
+    return _by_block(id_text(docs, id_col, text_col), window, make, PLACES)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -127,11 +151,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     session(docs)
 
-    def make(b: Block, cov: np.ndarray) -> pa.Table:
+    def make(b: Block, answers: pa.Table) -> pa.Table:
+        cov = covered(b, answers, whole=False)
         n, removed, runs = per_document(b, cov)
         return pa.table([b.ids, pa.array(n), pa.array(removed), pa.array(runs), binary_array(b.data[~cov], n - removed)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return _cleaned(id_text(docs, id_col, text_col), window, make, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return _by_block(id_text(docs, id_col, text_col), window, make, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -140,13 +165,14 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
     rows = id_text(docs.withColumn("__rest", F.struct(*rest) if rest else F.lit(None).cast("int")), id_col, text_col, "__rest")
 
-    def make(b: Block, cov: np.ndarray) -> pa.Table:
+    def make(b: Block, answers: pa.Table) -> pa.Table:
+        cov = covered(b, answers, whole=False)
         n, removed, _ = per_document(b, cov)
         raw, ends = b.data[~cov].tobytes(), np.concatenate([[0], np.cumsum(n - removed)]).tolist()
         text = [raw[i:j].decode(errors="ignore") for i, j in zip(ends[:-1], ends[1:], strict=True)]
         return pa.table([b.ids, pa.array(text, pa.string()), b.table.column("__rest")], names=["doc_id", "text", "__rest"])
 
-    out = _cleaned(rows, window, make, f"doc_id long, text string, __rest {rows.schema['__rest'].dataType.simpleString()}")
+    out = _by_block(rows, window, make, f"doc_id long, text string, __rest {rows.schema['__rest'].dataType.simpleString()}")
     columns = {id_col: F.col("doc_id").alias(id_col), text_col: F.col("text").alias(text_col)} | {c: F.col(f"__rest.`{c}`").alias(c) for c in rest}
     return out.select(*[columns[c] for c in docs.columns])
 

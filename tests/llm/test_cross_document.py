@@ -84,6 +84,11 @@ def test_maximal_repeats():
             if len(occurrences) > 1 and len(left) > 1 and len(right) > 1:
                 want.add((len(x), frozenset(occurrences)))
         assert {(n, frozenset(o)) for n, o in suffix_dedup.maximal_repeats(strings, 3)} == want
+        # listed once with a mark, or as often as they occur: the same groups
+        distinct = list(dict.fromkeys(strings))
+        several = np.array([strings.count(x) > 1 for x in distinct])
+        merged = {(n, frozenset((distinct.index(strings[k]), i) for k, i in o)) for n, o in want}
+        assert {(n, frozenset(o)) for n, o in suffix_dedup.maximal_repeats(distinct, 3, several)} == merged
 
 
 def test_strips_own_every_window_once():
@@ -117,6 +122,29 @@ def test_suffix_dedup_texts(spark):
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_repeat_groups(spark):
+    """Every group has all places of its string, and every string of 50 bytes that several documents have is in a group."""
+    rows = corpus(3, "abcé", (0, 20))
+    ids = {i: n for n, (i, _) in enumerate(rows)}
+    assert len(ids) < len(rows)  # some share an id, or have none
+    groups = defaultdict(list)
+    for r in suffix_dedup.repeat_groups(frame(spark, rows)).collect():
+        groups[bytes(r.repeat), r.length].append((r.doc_id, r.offset))
+    texts = [(i, (t or "").encode()) for i, t in rows]
+    strings = {(hashlib.blake2b(t[a : a + n], digest_size=16).digest(), n): t[a : a + n] for i, t in texts for d, n in groups for j, a in groups[d, n][:1] if i == j and hashlib.blake2b(t[a : a + n], digest_size=16).digest() == d}
+    assert strings.keys() == groups.keys() and len(groups) > 50
+    for k, x in strings.items():
+        places = [(i, a) for i, t in texts for a in range(len(t) - len(x) + 1) if t.startswith(x, a)]
+        assert sorted(groups[k], key=str) == sorted(places, key=str) and len(places) > 1
+    windows = defaultdict(set)
+    for i, t in texts:
+        for a in range(len(t) - 49):
+            windows[t[a : a + 50]].add(i)
+    inside = {x[a : a + 50] for x in strings.values() for a in range(len(x) - 49)}
+    assert {w for w, docs in windows.items() if len(docs) > 1} <= inside
+    assert suffix_dedup.repeat_groups(frame(spark, rows).limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("batches,fanout", [(1, 4), (3, 2)])
 def test_substring_dedup(spark, batches, fanout):
     rows = corpus(2, "ab", (0, 25), 40)
