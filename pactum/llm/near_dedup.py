@@ -46,6 +46,8 @@ KEY_DOCS, CELL_DOCS = 20_000, 192
 
 #: Ranks that are broadcast at most, 8 bytes each.
 BROADCAST_RANKS = 1_000_000
+#: Keys that are broadcast at most, 16 bytes each; each stands for more rows than KEY_DOCS or CELL_DOCS.
+BROADCAST_KEYS = 500_000
 
 
 @lru_cache
@@ -195,10 +197,13 @@ def sketch(docs: DataFrame, percent: int = LINK_PERCENT, level: Level = BROAD) -
     return docs.mapInArrow(run, "doc_id long, rank long, n_shingles long, digest binary, fine binary, coarse binary")
 
 
-def in_cells(df: DataFrame, key: str, sizes: DataFrame, limit: int) -> DataFrame:
-    """Adds cell and part: a key with more than `limit` rows has its rows dealt to parts, and each row goes to every cell of its part with another or itself."""
-    big = sizes.filter(F.col("size") > limit).select(key, F.ceil(F.col("size") / limit).cast("int").alias("parts"))
-    out = df.join(big, key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+def in_cells(df: DataFrame, key: str, big: DataFrame, limit: int) -> DataFrame:
+    """Adds cell and part: a key with more than `limit` rows has its rows dealt to parts, and each row goes to every cell of its part with another or itself.
+
+    big: key and size of the keys with more, a written table. It is broadcast up to BROADCAST_KEYS, so that no task gets all rows of one.
+    """
+    big = big.select(key, F.ceil(F.col("size") / limit).cast("int").alias("parts"))
+    out = df.join(F.broadcast(big) if big.count() <= BROADCAST_KEYS else big.hint("merge"), key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     out = out.withColumn("part", F.pmod(F.xxhash64("rank", F.lit(7)), F.col("parts")).cast("int"))
     other = F.sequence(F.lit(0), F.col("parts") - 1)
     cells = F.transform(other, lambda j: F.least(F.col("part"), j) * F.col("parts") + F.greatest(F.col("part"), j))
@@ -306,7 +311,8 @@ def exact_edges(sets: list[np.ndarray], part: np.ndarray, percent: int = LINK_PE
 def verify(docs: DataFrame, members: DataFrame, folder: str, percent: int = LINK_PERCENT) -> DataFrame:
     """Edges that span the exact links. members: rank, component."""
     sizes = members.groupBy("component").agg(F.count("*").alias("size"))
-    placed = in_cells(members, "component", sizes, CELL_DOCS)
+    big = written(sizes.filter(F.col("size") > CELL_DOCS), folder, "large-components")
+    placed = in_cells(members, "component", big, CELL_DOCS)
     # members grow with the documents, so they aren't broadcast at any size
     rows = docs.join(placed.hint("merge"), "rank").select("component", "cell", "part", "rank", "text")
 

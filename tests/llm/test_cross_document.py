@@ -229,8 +229,9 @@ def brute_near(rows, percent=85):
     return sorted(((i, len(s), None if r >= LAST else r, r == k) for (i, _), k, s, r in zip(rows, keys, sets, low, strict=True)), key=str)
 
 
-@pytest.mark.parametrize("limits", [(20_000, 192), (4, 3)])
+@pytest.mark.parametrize("limits", [(20_000, 192, 1000), (4, 3, 1000), (4, 3, 0)])
 def test_near_duplicates(spark, monkeypatch, limits):
+    monkeypatch.setattr(near_dedup, "BROADCAST_KEYS", limits[2])
     monkeypatch.setattr(near_dedup, "KEY_DOCS", limits[0])
     monkeypatch.setattr(near_dedup, "CELL_DOCS", limits[1])
     rows = near_corpus()
