@@ -297,12 +297,14 @@ def merge_join(left: pa.Table, right: pa.Table) -> pa.Table:
     # documents that alone had a hash; null ids come after all others, so nobody loses anything to them
     ask = one & shared & (before != NO_ID)
     by = np.argsort(before[ask], kind="stable")
+    asked = values[ask][by]
     for rank, a, b in by_bucket(before[ask][by]):
-        out.append(row(READ, rank, bucket, values[ask][by][a:b].tobytes()))
+        out.append(row(READ, rank, bucket, asked[a:b].tobytes()))
     send = np.zeros(len(own), bool)
     send[order] = np.repeat(shared, np.diff(np.append(head, len(own))))
+    sent = own[send]
     for b, i, j in by_bucket(blk[send]):  # rows come block by block
-        out.append(row(SEND, b, bucket, own[send][i:j].tobytes()))
+        out.append(row(SEND, b, bucket, sent[i:j].tobytes()))
     keys = values[shared]
     for r in rows:
         if r["kind"] == PASSAGES:
