@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -149,11 +150,20 @@ class Block:
     def buckets(self, h: np.ndarray) -> np.ndarray:
         return ((h >> np.uint64(11)) % np.uint64(self.plan.buckets)).astype(np.int64)
 
-    def content(self, i: int) -> bytes:
-        a, b = self.first[i], self.last[i] + self.plan.window
-        if self.plan.words:
-            return b" ".join(self.data[self.start[a] : self.end[b - 1]].tobytes().split())
-        return self.data[a:b].tobytes()
+    @cached_property
+    def gaps(self) -> np.ndarray:
+        """Before each word: how many words were not separated from the next one by a single blank."""
+        return np.concatenate([[0], np.cumsum((self.start[1:] != self.end[:-1] + 1) | (self.data[self.end[:-1]] != ord(" ")))])
+
+    def content(self, chosen: np.ndarray) -> list[bytes]:
+        """The text of each of these strips; words are separated by one blank."""
+        raw = memoryview(self.data)
+        first, last = self.first[chosen], self.last[chosen] + self.plan.window - 1
+        if not self.plan.words:
+            return [bytes(raw[a:b]) for a, b in zip(first.tolist(), (last + 1).tolist(), strict=True)]
+        plain = self.gaps[last] == self.gaps[first]
+        spans = zip(self.start[first].tolist(), self.end[last].tolist(), plain.tolist(), strict=True)
+        return [bytes(raw[a:b]) if one else b" ".join(bytes(raw[a:b]).split()) for a, b, one in spans]
 
     def entries(self, shared: np.ndarray) -> dict[int, tuple[dict[bytes, int], list[int], list[int]]]:
         """For each bucket: the distinct strips whose anchor is in `shared` (sorted), numbered; the strips, and the number of each."""
@@ -162,11 +172,12 @@ class Block:
             return out
         at = np.minimum(np.searchsorted(shared, self.anchor), len(shared) - 1)
         chosen = np.flatnonzero(shared[at] == self.anchor)
-        for i, k in zip(chosen.tolist(), self.buckets(self.anchor[chosen]).tolist(), strict=True):
-            if (x := out.get(k)) is None:
-                x = out[k] = ({}, [], [])
-            x[1].append(i)
-            x[2].append(x[0].setdefault(self.content(i), len(x[0])))
+        bucket = self.buckets(self.anchor[chosen])
+        by = np.argsort(bucket, kind="stable")
+        for k, x, y in by_bucket(bucket[by]):
+            own = chosen[by[x:y]]
+            number: dict[bytes, int] = {}
+            out[k] = number, own.tolist(), [number.setdefault(c, len(number)) for c in self.content(own)]
         return out
 
 
