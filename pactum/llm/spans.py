@@ -329,23 +329,31 @@ def gathered(table: pa.Table) -> tuple[dict[bytes, int], list[int], list[list[in
 Parts = Callable[[list[bytes], np.ndarray, np.ndarray], list[list[tuple[int, int, int]]]]
 
 
-def answers_to(table: pa.Table, shared_parts: Parts) -> tuple[list[tuple], dict[bytes, int], list[int], list[list[int]]]:
-    """Step 5 for one bucket: ANSWER rows of kind 1, and what was gathered."""
-    number, least, members = gathered(table)
-    times = np.bincount([k for own in members for k in own], minlength=len(number))
-    parts = shared_parts(list(number), np.array(least, np.int64), times)
+def answer_rows(table: pa.Table, members: list[list[int]], parts: list[list[tuple[int, int, int]]]) -> list[tuple]:
+    """ANSWER rows of kind 1 for STRIPS rows with these members, given the parts of each strip."""
     bucket = table.column("bucket")[0].as_py()
     rows = []
     for blk, own in zip(table.column("blk").to_pylist(), members, strict=True):
         marks = [(i, *m) for i, k in enumerate(dict.fromkeys(own)) for m in parts[k]] if blk >= 0 else []
         if marks:
             rows.append((blk, 1, bucket, pack(np.array(marks, MARK).tobytes())))
-    return rows, number, least, members
+    return rows
+
+
+def rows_with(members: list[list[int]], strips: int) -> np.ndarray:
+    """How often each strip is among the members."""
+    return np.bincount([k for own in members for k in own], minlength=strips)
 
 
 def answer_strips(strips: DataFrame, shared_parts: Parts) -> DataFrame:
     """Step 5: kind 1. shared_parts(distinct strips, least doc of each, rows that have it) -> for each strip, (offset, length, least doc) in tokens."""
-    return strips.groupBy("bucket").applyInArrow(lambda table: table_of(ANSWER, answers_to(table, shared_parts)[0]), ANSWER)
+
+    def run(table: pa.Table) -> pa.Table:
+        number, least, members = gathered(table)
+        parts = shared_parts(list(number), np.array(least, np.int64), rows_with(members, len(number)))
+        return table_of(ANSWER, answer_rows(table, members, parts))
+
+    return strips.groupBy("bucket").applyInArrow(run, ANSWER)
 
 
 def occurrences(b: Block, entries: dict, answers: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import NO_ID, exists, id_text, names, read_file, remove, session, shared_folder, write_file, written
-from .spans import BLOCK_BYTES, BUCKET_BYTES, STRIPS, Block, Plan, answers_to, binary_array, by_bucket, covered, in_blocks, pack, packed_strips, per_document, send_strips, strip_rows, table_of, unpacked, unpacked_strips
+from .spans import BLOCK_BYTES, BUCKET_BYTES, STRIPS, Block, Plan, answer_rows, binary_array, by_bucket, covered, gathered, in_blocks, pack, packed_strips, per_document, rows_with, send_strips, strip_rows, table_of, unpacked, unpacked_strips
 
 WINDOW, GRAM = 13, 4
 #: Runs that are compacted into one.
@@ -49,12 +49,33 @@ def row(kind: int, blk: int | None = None, bucket: int | None = None, body: byte
     return blk, bucket, body, docs, lens, keys, kind
 
 
-def shared_parts(strips: list[bytes], least: np.ndarray, times: np.ndarray, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
-    """The verification, on words: (offset, length, least document that has it) of the windows that other strips or rows have too."""
+def shared_parts(strips: list[bytes], least: np.ndarray, times: np.ndarray, anchor: np.ndarray, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
+    """The verification, on words: (offset, length, least document that has it) of the windows that other strips or rows have too.
+
+    Equal windows have equal anchors, and the anchor's place in a window follows from its content, so a strip has no window
+    twice. One that is alone at its anchor shares all windows, if several rows have it, or none.
+    """
+    out: list[list[tuple[int, int, int]]] = [[] for _ in strips]
+    order = np.argsort(anchor, kind="stable")
+    doc, often = least.tolist(), times.tolist()
+    for _, a, b in by_bucket(anchor[order]):
+        group = order[a:b].tolist()
+        if len(group) == 1:
+            k = group[0]
+            if often[k] > 1:
+                out[k].append((0, strips[k].count(b" ") + 1, doc[k]))
+        else:
+            for k, parts in zip(group, _compared([strips[k] for k in group], [doc[k] for k in group], [often[k] for k in group], window), strict=True):
+                out[k] = parts
+    return out
+
+
+def _compared(strips: list[bytes], least: list[int], times: list[int], window: int) -> list[list[tuple[int, int, int]]]:
+    """shared_parts of the strips of one anchor, window by window."""
     lowest: dict[bytes, int] = {}
     often: set[bytes] = set()
     windows = []
-    for s, d, n in zip(strips, least.tolist(), times.tolist(), strict=True):
+    for s, d, n in zip(strips, least, times, strict=True):
         at = [0]
         for w in s.split(b" "):
             at.append(at[-1] + len(w) + 1)
@@ -336,18 +357,19 @@ def _strips_of(history: DataFrame, wanted: DataFrame, p: Plan) -> DataFrame:
 
 def verify(table: pa.Table) -> pa.Table:
     """Compares a bucket's passages word by word: marks for the batch's blocks (blk from 0 on), and passages that the index hasn't yet (others than those of blk -2)."""
-    answers, number, least, members = answers_to(table, shared_parts)
-    rows = [row(MARKS, b, k, body) for b, _, k, body in answers]
+    number, least, members = gathered(table)
+    anchor = np.zeros(len(number), np.uint64)
+    for own, keys in zip(members, table.column("keys").to_pylist(), strict=True):
+        anchor[own] = np.frombuffer(unpacked(keys), np.uint64)
+    parts = shared_parts(list(number), np.array(least, np.int64), rows_with(members, len(number)), anchor)
+    rows = [row(MARKS, b, k, body) for b, _, k, body in answer_rows(table, members, parts)]
     stored = {}
     for b, own, docs in zip(table.column("blk").to_pylist(), members, table.column("docs").to_pylist(), strict=True):
         if b == -2:
             for k, d in zip(own, np.frombuffer(unpacked(docs), np.int64).tolist(), strict=True):
                 stored[k] = min(d, stored.get(k, NO_ID))
-    anchor = {}
-    for own, keys in zip(members, table.column("keys").to_pylist(), strict=True):
-        anchor.update(zip(own, np.frombuffer(unpacked(keys), np.uint64).tolist(), strict=True))
     strips = list(number)
-    new = sorted((anchor[k], k) for k in range(len(strips)) if k not in stored or least[k] < stored[k])
+    new = sorted((a, k) for k, a in enumerate(anchor.tolist()) if k not in stored or least[k] < stored[k])
     if new:
         at = [k for _, k in new]
         rows.append(passages_row(PASSAGES, table.column("bucket")[0].as_py(), np.array([a for a, _ in new], np.uint64), [strips[k] for k in at], np.array([least[k] for k in at], np.int64)))
