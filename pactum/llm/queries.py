@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, decontaminate, near_dedup, quality_model, quality_rules, substring_dedup, suffix_dedup, token_count, toxicity
+from . import bpe, chat_format, decontaminate, near_dedup, quality_model, quality_rules, sessions, substring_dedup, suffix_dedup, token_count, toxicity
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_token_count": token_count.op10_token_count,
+    "op11_sessions": sessions.op11_sessions,
 }
 ORACLE_SQL = {
     "op1_chat_format": chat_format.ORACLE_SQL,
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op4_suffix_dedup": suffix_dedup.ORACLE_SQL,
     "op6_substring_dedup": substring_dedup.ORACLE_SQL,
     "op8_near_dedup": near_dedup.ORACLE_SQL,
+    "op11_sessions": sessions.ORACLE_SQL,
 }
