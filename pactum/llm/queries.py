@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, decontaminate, near_dedup, quality_model, quality_rules, sessions, substring_dedup, suffix_dedup, token_count, toxicity, whitening
+from . import bpe, chat_format, decontaminate, near_dedup, pii, quality_model, quality_rules, sessions, substring_dedup, suffix_dedup, token_count, toxicity, whitening
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_token_count": token_count.op10_token_count,
     "op11_sessions": sessions.op11_sessions,
+    "op12_pii": pii.op12_pii,
     "op13_whitening": whitening.op13_whitening,
 }
 ORACLE_SQL = {
