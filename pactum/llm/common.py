@@ -20,13 +20,13 @@ SLICE_BYTES = 1 << 20
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 #: Longest span whose hash is a polynomial.
 PLAIN_BYTES = 256
-#: Stands for a null doc_id inside operators that order documents: after every real one.
-NO_ID = (1 << 63) - 1
+#: Rank of a null doc_id in operators that order documents: after every real one. Marks take the least long; `placed` keeps both free.
+NO_ID, LEAST = (1 << 63) - 1, -(1 << 63)
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15
 _WORD_STEP = 0xD6E8FEB86659FD93
-#: Ranks of rows with a null id begin here; real ids lie below.
+#: Ranks of rows with a null id begin here, where such rows are documents of their own; `ranked` keeps real ones below.
 NULL_RANKS = 1 << 62
 
 #: Settings that operators need while their results are computed. They are left in the session, as results are lazy, and are
@@ -138,17 +138,42 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def ranked(docs: DataFrame, folder: str, id_col: str = "doc_id", name: str = "rank") -> DataFrame:
+def in_order(ids: DataFrame, folder: str) -> DataFrame:
+    """id, number: numbers in the order of the ids, for any ids; they begin at 0 and stay below 2**62."""
+    ids = ids.select("id").filter("id IS NOT NULL").distinct().repartitionByRange("id").sortWithinPartitions("id")
+    return written(ids.withColumn("number", F.monotonically_increasing_id()), folder, "in-order")
+
+
+def placed(docs: DataFrame, folder: str) -> DataFrame:
+    """Adds rank to doc_id and text: a long in the order of doc_id, null last of all as NO_ID. No real one is NO_ID or LEAST.
+
+    That is the id itself, unless an id is one of the two; then ids are numbered in their order.
+    """
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    if low != LEAST and high != NO_ID:
+        return docs.withColumn("rank", F.coalesce("doc_id", F.lit(NO_ID)))
+    order = in_order(docs.select(F.col("doc_id").alias("id")), folder)
+    return docs.join(order, F.col("doc_id") == F.col("id"), "left").withColumn("rank", F.coalesce("number", F.lit(NO_ID))).drop("id", "number")
+
+
+def ranked(docs: DataFrame, folder: str, id_col: str = "doc_id", name: str = "rank") -> tuple[DataFrame, DataFrame | None]:
     """Adds `name`: the id, or for a null id a number of its own from NULL_RANKS on.
 
-    Rows with a null id are written first, so that every later use sees the same numbers.
+    Where there are null ids and ids that large, ids are numbered in their order instead; the second result is then the table of id
+    and number. Rows with a null id are written first, so that every later use sees the same numbers.
     """
     key = docs[id_col].cast("long")
-    rest = docs.filter(key.isNotNull()).withColumn(name, key)
     nulls = docs.filter(key.isNull())
     if nulls.isEmpty():
-        return rest
-    return rest.unionByName(written(nulls.withColumn(name, F.lit(NULL_RANKS) + F.monotonically_increasing_id()), folder, "null-ids"))
+        return docs.withColumn(name, key), None
+    rest, order = docs.filter(key.isNotNull()), None
+    if (rest.agg(F.max(key)).first()[0] or 0) < NULL_RANKS:
+        rest = rest.withColumn(name, key)
+    else:
+        order = in_order(rest.select(key.alias("id")), folder)
+        columns = [rest[f"`{c}`"] for c in docs.columns]
+        rest = rest.join(order, key == order["id"]).select(*columns, order["number"].alias(name))
+    return rest.unionByName(written(nulls.withColumn(name, F.lit(NULL_RANKS) + F.monotonically_increasing_id()), folder, "null-ids")), order
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -334,19 +334,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Documents of the same doc_id are one, linked with what either text is linked with. A row with a null text, or one without
     words, is linked with nothing. Each row with a null doc_id is a document of its own, and comes after all that have one: its
-    component_id is null unless it is linked with one that has; of a group of such rows alone, one is kept. Ids lie below
-    NULL_RANKS. An empty table gives no rows. Other columns are not read.
+    component_id is null unless it is linked with one that has; of a group of such rows alone, one is kept. An id may be any
+    long. An empty table gives no rows. Other columns are not read.
     """
     folder = shared_folder(session(docs))
-    out = _groups(ranked(id_text(docs, id_col, text_col), folder), folder, percent)
-    return out.select("doc_id", "n_shingles", F.when(F.col("low") < NULL_RANKS, F.col("low")).alias("component_id"), (F.col("low") == F.col("rank")).alias("kept"))
+    rows = id_text(docs, id_col, text_col)
+    own, order = ranked(rows, folder)
+    out = _groups(own, folder, percent).withColumn("kept", F.col("low") == F.col("rank"))
+    if order is not None:
+        return out.join(order, out["low"] == order["number"], "left").select("doc_id", "n_shingles", F.col("id").alias("component_id"), "kept")
+    # without null ids, every rank is an id
+    real = F.lit(True) if rows.filter("doc_id IS NULL").isEmpty() else F.col("low") < NULL_RANKS
+    return out.select("doc_id", "n_shingles", F.when(real, F.col("low")).alias("component_id"), "kept")
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = LINK_PERCENT) -> DataFrame:
     """The rows of docs, all columns, of the documents that near_duplicates keeps. All rows of a kept doc_id stay."""
     folder = shared_folder(session(docs))
     name = free_name(docs, "__rank")
-    rows = ranked(docs, folder, id_col, name)
+    rows, _ = ranked(docs, folder, id_col, name)
     gone = _groups(id_text(rows, id_col, text_col, name).withColumnRenamed(name, "rank"), folder, percent).filter("low <> rank")
     return rows.join(gone.select(F.col("rank").alias(name)).distinct(), name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
@@ -385,7 +391,7 @@ def op8_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = rf"""
-WITH RECURSIVE d AS (SELECT r, doc_id, coalesce(doc_id, {NULL_RANKS} + r) AS k,
+WITH RECURSIVE d AS (SELECT r, doc_id, coalesce(CAST(doc_id AS HUGEINT), {1 << 64} + r) AS k,
   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents)),
 s AS (SELECT DISTINCT r, array_to_string(list_slice(w, i, i + {SHINGLE - 1}), ' ') AS x FROM (SELECT r, w, unnest(range(1, greatest(2, len(w) - {SHINGLE - 2}))) AS i FROM d WHERE len(w) > 0)),
 n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
@@ -394,6 +400,6 @@ links AS (SELECT da.k AS a, db.k AS b FROM pairs JOIN n na ON ra = na.r JOIN n n
 both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach(k, c) AS (SELECT DISTINCT k, k FROM d UNION SELECT b, c FROM reach JOIN both_ways ON k = a),
 comp AS (SELECT k, min(c) AS c FROM reach GROUP BY k)
-SELECT doc_id, coalesce(n, 0) AS n_shingles, CASE WHEN c < {NULL_RANKS} THEN c END AS component_id, c = k AS kept
+SELECT doc_id, coalesce(n, 0) AS n_shingles, CASE WHEN c < {1 << 63} THEN CAST(c AS BIGINT) END AS component_id, c = k AS kept
 FROM d LEFT JOIN n USING (r) JOIN comp USING (k)
 """

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, SPACE, _byte_values, find_words, flat, hash_spans, slices, window_hashes
+from .common import LEAST, NO_ID, SPACE, _byte_values, find_words, flat, hash_spans, slices, window_hashes
 
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 LEAST_BLOCKS, LEAST_BUCKETS = 96, 128
@@ -55,13 +55,13 @@ def plan_for(docs: DataFrame, words: bool, window: int, gram: int) -> Plan:
 
 
 def in_blocks(docs: DataFrame, p: Plan, more: list[str] | None = None) -> DataFrame:
-    """blk, rank (doc_id; null last of all), doc_id, text, and `more` columns that go along.
+    """blk, rank (see common.placed, which docs have been through), doc_id, text, and `more` columns that go along.
 
     The block follows from the text too, so rows that share an id, or have none, spread over blocks.
     """
     return docs.select(
         F.pmod(F.xxhash64("doc_id", "text", F.lit(p.window)), F.lit(p.blocks)).alias("blk"),
-        F.coalesce("doc_id", F.lit(NO_ID)).alias("rank"),
+        "rank",
         "doc_id",
         "text",
         *(more or []),
@@ -270,7 +270,7 @@ def strip_rows(b: Block, shared: np.ndarray, twice: bool = False) -> list[tuple]
     doc, rows = b.doc_of(), []
     for k, (content, at, number) in b.entries(shared).items():
         strips = list(content)
-        least, most = np.full(len(strips), NO_ID, np.int64), np.full(len(strips), -NO_ID, np.int64)
+        least, most = np.full(len(strips), NO_ID, np.int64), np.full(len(strips), LEAST, np.int64)
         np.minimum.at(least, number, doc[at])
         keys = np.zeros(len(strips), np.uint64)
         keys[number] = b.anchor[at]

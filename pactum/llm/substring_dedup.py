@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, exists, id_text, names, read_file, remove, session, shared_folder, write_file, written
+from .common import LEAST, NO_ID, exists, id_text, names, placed, read_file, remove, session, shared_folder, write_file, written
 from .spans import BLOCK_BYTES, BUCKET_BYTES, STRIPS, Block, Plan, answer_rows, binary_array, by_bucket, covered, gathered, in_blocks, pack, packed_strips, per_document, rows_with, send_strips, strip_rows, table_of, unpacked, unpacked_strips
 
 WINDOW, GRAM = 13, 4
@@ -36,8 +36,8 @@ LEAST_BLOCKS = LEAST_BUCKETS = 32
 #: Bytes of ids and hashes of earlier documents to read, up to which they are broadcast.
 WANTED_BYTES = 32 << 20
 
-#: Marks a hash that several documents have; less than every id.
-SHARED = -(1 << 63)
+#: Marks a hash that several documents have; less than every rank.
+SHARED = LEAST
 #: Kinds of rows: what a block has to send or mark, documents to read, passages that the index has, a run's hashes, its passages.
 MARKS, SEND, READ, KNOWN, HASHES, PASSAGES = 1, 2, 3, 4, 5, 6
 OWNED = "bucket int, blk long, hashes binary, multi binary, owners binary"
@@ -214,7 +214,8 @@ class FingerprintIndex:
     def ingest(self, batch: DataFrame, history: DataFrame, shape: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
         """The batch's documents without what was seen before: doc_id, n_words, n_removed, kept (binary), passed through `shape`.
 
-        batch and history have doc_id and text (see common.id_text); history holds what earlier calls ingested. It is scanned by
+        batch and history have doc_id, text and rank (see common.placed), by which documents are ordered and told apart, the same in
+        all calls; history holds what earlier calls ingested. It is scanned by
         Spark's reader, but only documents that alone had a hash of the batch are moved and cut to words. The rows come from a
         table that this writes, because the index changes afterwards.
         """
@@ -351,7 +352,7 @@ def _strips_of(history: DataFrame, wanted: DataFrame, p: Plan) -> DataFrame:
                 hashes = [np.frombuffer(x, np.uint64) for bodies in table.column("bodies").to_pylist() for x in bodies]
                 yield from table_of(schema, strip_rows(Block(table, p), np.unique(np.concatenate(hashes)))).combine_chunks().to_batches()
 
-    docs = history.select(F.lit(-1).cast("long").alias("blk"), F.col("doc_id").alias("rank"), "doc_id", "text")
+    docs = history.select(F.lit(-1).cast("long").alias("blk"), "rank", "doc_id", "text")
     return docs.join(wanted, "rank").select("blk", "rank", "doc_id", "text", "bodies").mapInArrow(run, schema)
 
 
@@ -385,10 +386,11 @@ def remove_seen(docs: DataFrame, batches: int = BATCHES, id_col: str = "doc_id",
     from each other. Other columns are not read.
     """
     spark = session(docs)
-    rows = id_text(docs, id_col, text_col)
+    folder = shared_folder(spark)
+    rows = placed(id_text(docs, id_col, text_col), folder)
     cuts = [k / batches for k in range(1, batches)]
     edges = sorted(set(rows.agg(F.percentile_approx("doc_id", cuts or [0.5], 1000)).first()[0] or []))[: batches - 1] if batches > 1 else []
-    index = FingerprintIndex(spark, shared_folder(spark), fanout)
+    index = FingerprintIndex(spark, f"{folder}/index", fanout)
     out, low = [], None
     for high in [*edges, None]:
         new = rows if low is None else rows.filter((F.col("doc_id") >= low) | F.col("doc_id").isNull())
@@ -404,7 +406,7 @@ def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = rf"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS k, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(CAST(doc_id AS HUGEINT), {1 << 64}) AS k, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT r, k, i, array_to_string(list_slice(w, i, i + {WINDOW - 1}), ' ') AS s FROM (SELECT r, k, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d WHERE len(w) >= {WINDOW})),
 low AS (SELECT s, min(k) AS m FROM win GROUP BY s HAVING min(k) < max(k)),
 cov AS (SELECT DISTINCT r, unnest(range(i, i + {WINDOW})) AS p FROM win JOIN low USING (s) WHERE m < k),

@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import _byte_values, id_text, session, window_hashes
+from .common import _byte_values, id_text, placed, session, shared_folder, window_hashes
 from .spans import Block, answer_anchors, answer_strips, binary_array, covered, in_blocks, occurrences, per_document, plan_for, send_anchors, send_strips, shared_anchors, table_of
 
 WINDOW, GRAM = 50, 16
@@ -108,11 +109,11 @@ def shared_parts(strips: list[bytes], least: np.ndarray, times: np.ndarray) -> l
     return out
 
 
-def _by_block(rows: DataFrame, window: int, make, schema: str) -> DataFrame:
+def _by_block(rows: DataFrame, window: int, make, schema: str | StructType) -> DataFrame:
     """make(block, answers) -> table, over blocks of (doc_id, text, more columns) and the repeats found in them."""
     p = plan_for(rows, False, window, GRAM)
     more = [c for c in rows.columns if c not in ("doc_id", "text")]
-    blocks = in_blocks(rows, p, more)
+    blocks = in_blocks(placed(rows, shared_folder(rows.sparkSession)), p, more)
     found = answer_anchors(send_anchors(blocks, p))
     parts = answer_strips(send_strips(blocks, found, p, twice=True), shared_parts)
     return blocks.groupBy("blk").cogroup(found.unionByName(parts).groupBy("blk")).applyInArrow(lambda left, right: make(Block(left, p), right), schema)
@@ -163,7 +164,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """docs with its text cleaned, other columns as they are. Bytes of a character that lost others of its bytes go too; a null text becomes empty."""
     session(docs)
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
-    rows = id_text(docs.withColumn("__rest", F.struct(*rest) if rest else F.lit(None).cast("int")), id_col, text_col, "__rest")
+    packed = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.lit(None).cast("int")
+    rows = id_text(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), packed.alias("__rest")), id_col, text_col, "__rest")
 
     def make(b: Block, answers: pa.Table) -> pa.Table:
         cov = covered(b, answers, whole=False)
@@ -172,7 +174,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         text = [raw[i:j].decode(errors="ignore") for i, j in zip(ends[:-1], ends[1:], strict=True)]
         return pa.table([b.ids, pa.array(text, pa.string()), b.table.column("__rest")], names=["doc_id", "text", "__rest"])
 
-    out = _by_block(rows, window, make, f"doc_id long, text string, __rest {rows.schema['__rest'].dataType.simpleString()}")
+    schema = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), rows.schema["__rest"]])
+    out = _by_block(rows, window, make, schema)
     columns = {id_col: F.col("doc_id").alias(id_col), text_col: F.col("text").alias(text_col)} | {c: F.col(f"__rest.`{c}`").alias(c) for c in rest}
     return out.select(*[columns[c] for c in docs.columns])
 
@@ -183,7 +186,7 @@ def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = f"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS k, hex(encode(coalesce(text, ''))) AS h FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(CAST(doc_id AS HUGEINT), {1 << 64}) AS k, hex(encode(coalesce(text, ''))) AS h FROM documents),
 win AS (SELECT r, k, i, substr(h, 2 * i - 1, {2 * WINDOW}) AS s FROM (SELECT r, k, h, unnest(range(1, length(h) // 2 - {WINDOW - 2})) AS i FROM d WHERE length(h) >= {2 * WINDOW})),
 low AS (SELECT s, min(k) AS m FROM win GROUP BY s HAVING min(k) < max(k)),
 cov AS (SELECT DISTINCT r, unnest(range(i, i + {WINDOW})) AS p FROM win JOIN low USING (s) WHERE m < k),

@@ -9,6 +9,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from pactum.llm import common, components, near_dedup, quality_rules, spans, substring_dedup, suffix_dedup
 from pactum.llm.common import flat, shared_folder
@@ -166,7 +167,7 @@ def test_index_reads_a_document_once_and_is_reopened(spark):
     folder, got = shared_folder(spark), []
     for k in range(8):
         index = substring_dedup.FingerprintIndex(spark, folder, fanout=3)
-        df = spark.createDataFrame(rows[: 20 * (k + 1)], "doc_id long, text string")
+        df = spark.createDataFrame(rows[: 20 * (k + 1)], "doc_id long, text string").withColumn("rank", F.col("doc_id"))
         got += index.ingest(df.filter(f"doc_id >= {20 * k}"), df.filter(f"doc_id < {20 * k}")).collect()
         reads.append(index.read)
     assert index.state["batches"] == 8 and len(index.state["runs"]) < 3
@@ -274,10 +275,49 @@ def test_rows_without_ids_are_documents_of_their_own(spark, tmp_path):
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([rows[0], rows[1], rows[4]], key=str)
 
 
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
+
+
+@pytest.mark.parametrize("ids", [(LEAST, 5, MOST, None), (LEAST, LEAST + 1, -1, None), (1, 1 << 62, MOST, None), (MOST - 1, MOST, None, None), (LEAST, 0, MOST, MOST)])
+def test_any_long_is_an_id(spark, ids):
+    """No id stands for anything else; null comes after all."""
+    shared, more = " ".join(f"w{i}" for i in range(30)), " ".join(f"v{i}" for i in range(30))
+    texts = [f"{shared} one", f"two {shared} {more}", f"{more} {shared} three", f"four {more}"]
+    rows = list(zip(ids, texts, strict=True))
+    words = [(a, b, c, e) for a, b, c, _, e in brute(rows, lambda t: t.encode().split(), 13, b" ".join)]
+    for batches in (1, 3):
+        got = substring_dedup.remove_seen(frame(spark, rows), batches=batches).collect()
+        assert sorted(((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept).hexdigest()) for r in got), key=str) == sorted(words, key=str)
+    got = suffix_dedup.remove_repeats(frame(spark, rows)).collect()
+    want = brute(rows, lambda t: [bytes([b]) for b in t.encode()], 50, b"".join)
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got), key=str) == want
+
+
+def test_near_duplicates_of_large_ids(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    big = 1 << 62
+    rows = [(big + 5, a), (big + 9, a), (big, b), (None, "x y z"), (None, a), (LEAST, "x y z"), (MOST, b)]
+    got = sorted((tuple(r) for r in near_dedup.near_duplicates(frame(spark, rows)).collect()), key=str)
+    assert got == sorted([(big + 5, 36, big + 5, True), (big + 9, 36, big + 5, False), (None, 36, big + 5, False), (big, 36, big, True), (MOST, 36, big, False), (LEAST, 1, LEAST, True), (None, 1, LEAST, False)], key=str)
+    kept = near_dedup.without_near_duplicates(frame(spark, rows)).collect()
+    assert {r.doc_id for r in kept} == {big + 5, big, LEAST} and len(kept) == 3
+    without = [r for r in rows if r[0] is not None]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame(spark, without)).collect()}
+    assert got == {big + 5: big + 5, big + 9: big + 5, big: big, MOST: big, LEAST: LEAST}
+
+
+def test_columns_of_any_name(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    df = spark.createDataFrame([(1, text, "a", 2), (2, text + " b", "c", 3)], "doc_id long, text string, `source url` string, `a.b` int")
+    out = suffix_dedup.without_repeats(df)
+    assert out.columns == df.columns and sorted(tuple(r) for r in out.collect()) == [(1, text, "a", 2), (2, " b", "c", 3)]
+    assert sorted(r.doc_id for r in near_dedup.without_near_duplicates(df).collect()) == [1]
+
+
 def test_null_ids_spread_over_blocks(spark):
     rows = frame(spark, [(None if i % 2 else i, f"text {i}") for i in range(4000)])
     p = spans.Plan(True, 13, 4, 16, 16)
-    sizes = [r["count"] for r in spans.in_blocks(rows.select("doc_id", "text"), p).groupBy("blk").count().collect()]
+    sizes = [r["count"] for r in spans.in_blocks(common.placed(rows.select("doc_id", "text"), ""), p).groupBy("blk").count().collect()]
     assert len(sizes) == 16 and max(sizes) < 2 * sorted(sizes)[8]
 
 
