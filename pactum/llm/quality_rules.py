@@ -33,8 +33,9 @@ MIN_CHARS, MIN_WORDS = 300, 50
 #: Jensen-Shannon distances (base 2, 0 to 1) above these fail. Clean prose lies far below, also where its vocabulary is odd.
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.20, 0.45
 #: A text without any common word lies at 0.36 to 0.45 of a language, so within MAX_WORD_DISTANCE of some. As a share of that
-#: distance, the nearest language has to be below this.
-MAX_WORD_SHARE = 0.98
+#: distance, the nearest language has to be below this. A text in a language without a reference isn't judged by its words: it is
+#: told by distinct words, which in prose are so many times the root of all words at least, at any length.
+MAX_WORD_SHARE, FOREIGN_ROOT = 0.98, 4
 #: Base rules of the contract.
 MIN_BASE_WORDS, REPEAT_WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
 
@@ -95,11 +96,16 @@ def _repeat_words(h: np.ndarray, first: np.ndarray, n: int, size: int) -> np.nda
     return _count(row[np.cumsum(cover[:-1]) > 0], n)
 
 
-def measure(data: np.ndarray, offs: np.ndarray, max_share: float | None = MAX_WORD_SHARE) -> list[np.ndarray]:
-    """The fields of `quality_of`, in order, for the texts data[offs[i]:offs[i + 1]].
+def _distinct(h: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """How many different hashes each row has."""
+    order = np.lexsort((h, rows))
+    h, rows = h[order], rows[order]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (rows[1:] != rows[:-1])]) if len(h) else np.zeros(0, bool)
+    return _count(rows[new], n)
 
-    max_share: see MAX_WORD_SHARE; None leaves only MAX_WORD_DISTANCE.
-    """
+
+def measure(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
+    """The fields of `quality_of`, in order, for the texts data[offs[i]:offs[i + 1]]."""
     n = len(offs) - 1
     row = np.repeat(np.arange(n), np.diff(offs))
     a, b, r = find_words(data, offs)
@@ -131,16 +137,15 @@ def measure(data: np.ndarray, offs: np.ndarray, max_share: float | None = MAX_WO
         far.append(distance(seen, ref))
         share.append(far[-1] / distance(np.eye(len(ref))[-1:], ref))
     word = np.min(far, axis=0)
-    foreign = word > MAX_WORD_DISTANCE
-    if max_share is not None:
-        foreign |= np.min(share, axis=0) > max_share
+    strange = (np.min(share, axis=0) > MAX_WORD_SHARE) & (_distinct(h, r, n) ** 2 < FOREIGN_ROOT**2 * letters)
+    foreign = (word > MAX_WORD_DISTANCE) | strange
 
     failed = (n_words < MIN_BASE_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * n_words)
     diverges = (classes.sum(1) >= MIN_CHARS) & (char > MAX_CHAR_DISTANCE) | (letters >= MIN_WORDS) & foreign
     return [n_words, word_chars, n_symbols, dup, repeats, char, word, failed, ~failed & ~diverges]
 
 
-def quality_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_share: float | None = MAX_WORD_SHARE) -> DataFrame:
+def quality_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the base counts, char_distance, word_distance, base_failed, kept: one row for each row of docs.
 
     A null or empty text has no words, so it fails the base rules. Null and repeated doc_ids keep their rows. An empty table
@@ -148,7 +153,7 @@ def quality_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
 
     def fn(ids: pa.Array, data: np.ndarray, offs: np.ndarray) -> pa.RecordBatch:
-        fields = measure(data, offs, max_share)
+        fields = measure(data, offs)
         return pa.RecordBatch.from_arrays([ids, *map(pa.array, fields)], names=["doc_id", *(x.split()[0] for x in _FIELDS.split(", "))])
 
     return map_text(id_text(docs, id_col, text_col), fn, f"doc_id long, {_FIELDS}")
@@ -172,8 +177,7 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
-    # the query's SQL has no MAX_WORD_SHARE
-    out = quality_of(spark.read.parquet(f"{sf_dir}/documents.parquet"), max_share=None)
+    out = quality_of(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -185,6 +189,7 @@ def _oracle() -> str:
     chars = [(lang, c, x / sum(q)) for lang, q in CHAR_REFERENCE.items() for c, x in zip(CLASSES, q, strict=True)]
     words = [(lang, w, x) for lang, q in WORD_REFERENCE.items() for w, x in q.items()]
     rest = [(lang, 1 - sum(q.values())) for lang, q in WORD_REFERENCE.items()]
+    alone = [(lang, float(distance(np.eye(len(q) + 1)[-1:], np.array([*q.values(), 1 - sum(q.values())]))[0])) for lang, q in WORD_REFERENCE.items()]
     half = "CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END"
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -196,17 +201,18 @@ cls AS (SELECT * FROM part UNION ALL SELECT r, 'symbol', length(t) - n FROM d JO
 cref(lang, c, q) AS (SELECT * FROM (VALUES {values(chars)}) v(a, b, c)),
 cdist AS (SELECT r, min(x) AS x FROM (SELECT r, lang, sqrt(greatest(sum({half}) / 2, 0)) AS x FROM (SELECT cls.r, lang, n / length(t) AS p, q FROM cls JOIN d USING (r) JOIN cref USING (c) WHERE length(t) > 0) GROUP BY r, lang) GROUP BY r),
 lw AS (SELECT r, unnest(regexp_extract_all({lower}, '[^\x00-\x60\x7B-\x7F]+')) AS x FROM d),
-total AS (SELECT r, count(*) AS n FROM lw GROUP BY r),
+total AS (SELECT r, count(*) AS n, count(DISTINCT x) AS u FROM lw GROUP BY r),
+walone(lang, far) AS (SELECT * FROM (VALUES {values(alone)}) v(a, b)),
 wref(lang, x, q) AS (SELECT * FROM (VALUES {values(words)}) v(a, b, c)),
 wrest(lang, q) AS (SELECT * FROM (VALUES {values(rest)}) v(a, b)),
 hit AS (SELECT r, lang, x, count(*) AS n FROM lw JOIN wref USING (x) GROUP BY ALL),
 wp AS (SELECT total.r, wref.lang, coalesce(hit.n, 0) / total.n AS p, q FROM total CROSS JOIN wref LEFT JOIN hit ON hit.r = total.r AND hit.lang = wref.lang AND hit.x = wref.x
   UNION ALL SELECT total.r, wrest.lang, (total.n - coalesce(h.n, 0)) / total.n, q FROM total CROSS JOIN wrest LEFT JOIN (SELECT r, lang, sum(n) AS n FROM hit GROUP BY r, lang) h ON h.r = total.r AND h.lang = wrest.lang),
-wdist AS (SELECT r, min(x) AS x FROM (SELECT r, lang, sqrt(greatest(sum({half}) / 2, 0)) AS x FROM wp GROUP BY r, lang) GROUP BY r),
+wdist AS (SELECT r, min(x) AS x, min(x / far) AS share FROM (SELECT r, lang, sqrt(greatest(sum({half}) / 2, 0)) AS x FROM wp GROUP BY r, lang) JOIN walone USING (lang) GROUP BY r),
 f AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
   coalesce(n_dup, 0) AS n_dup_lines, coalesce(n_repeat, 0) AS n_repeat_words,
   len(w) < {MIN_BASE_WORDS} OR 100 * coalesce(n_repeat, 0) > {MAX_REPEAT_PERCENT} * len(w) AS base_failed,
-  length(t) >= {MIN_CHARS} AND coalesce(cdist.x, 0) > {MAX_CHAR_DISTANCE} OR coalesce(total.n, 0) >= {MIN_WORDS} AND coalesce(wdist.x, 0) > {MAX_WORD_DISTANCE} AS diverges
+  length(t) >= {MIN_CHARS} AND coalesce(cdist.x, 0) > {MAX_CHAR_DISTANCE} OR coalesce(total.n, 0) >= {MIN_WORDS} AND (coalesce(wdist.x, 0) > {MAX_WORD_DISTANCE} OR coalesce(wdist.share, 0) > {MAX_WORD_SHARE} AND total.u * total.u < {FOREIGN_ROOT**2} * total.n) AS diverges
   FROM d LEFT JOIN rep USING (r) LEFT JOIN dup USING (r) LEFT JOIN cdist USING (r) LEFT JOIN wdist USING (r) LEFT JOIN total USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT diverges AS kept FROM f
 """
