@@ -29,20 +29,27 @@ PREFIXES = (4, 5, 6, 7)
 READINGS = 3
 #: Characters used in place of letters.
 IMITATES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "gq", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¢": "c", "*": "aeiou"}
+#: Letters of other alphabets that look like Latin ones, and characters that aren't seen.
+LOOKALIKES = {"а": "a", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "ӏ": "l", "о": "o", "р": "p", "ѕ": "s", "у": "y", "х": "x", "α": "a", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u"}
+UNSEEN = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 #: Log-probabilities of the channel.
 SAME, IMITATED, REPEATED, DROPPED = 0.0, -1.5, -0.5, -0.7
 
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = _LETTER[128:] = True
 _gap = ~_LETTER
-_SPECIAL = byte_set(b"0123456789@$!|+(*")
+_symbols = "".join(IMITATES)
+_SPECIAL = byte_set("".join(c for c in _symbols if c.isascii()).encode())
+_wide = [c.encode() for c in [*_symbols, *LOOKALIKES, *UNSEEN] if not c.isascii()]
 _APART = byte_set(b".-_")
 _edges = ".,;:?\"'#%&<>)[]{}"  # what imitates a letter is left to the lattice, which may drop it
 _run = re.compile(r"(.)\1{3,}", re.DOTALL)
 #: A run of one symbol around four letters or more is emphasis: as letters, it would be a stretched one at the word's edge.
 _emphasis = re.compile(r"^([$!*|(+@])\1+(?=[^\W\d_]{4})|(?<=[^\W\d_]{4})[,.;:]*(?:!!+|\*\*\*+|\$\$\$+|\+\++|\|\|+|\(\(+)$")
 _stretched = re.compile(r"([^\W\d_])\1\1")
-_mixed = re.compile(r"[^\W\d_].*[0-9@$!|+(€£¢*]|[0-9@$!|+(€£¢*].*[^\W\d_]")
+_stands_in = rf"[{re.escape(_symbols + UNSEEN)}]"
+_mixed = re.compile(rf"[^\W\d_].*{_stands_in}|{_stands_in}.*[^\W\d_]")
+_two_scripts = re.compile(rf"[a-z].*[{''.join(LOOKALIKES)}]|[{''.join(LOOKALIKES)}].*[a-z]")
 _dotted = re.compile(r"(?:[^\W_]|[@$!|+(])(?:[.\-_](?:[^\W_]|[@$!|+(])){3,}")
 
 
@@ -111,12 +118,12 @@ def readings(token: str, model: CharModel, n: int = READINGS) -> list[str]:
             options.append((x.encode(), SAME))
             if i and token[i - 1] == x:
                 options.append((b"", REPEATED))
-        for c in IMITATES.get(x, ""):
+        for c in IMITATES.get(x) or LOOKALIKES.get(x, ""):
             options.append((c.encode(), IMITATED))
             if i and token[i - 1] == x:
                 options.append((b"", REPEATED + IMITATED))
         if not x.isalpha():
-            options.append((b"", DROPPED if x in " .-_'" or not solid[0] <= i <= solid[-1] else 3 * DROPPED))
+            options.append((b"", DROPPED if x in " .-_'" or x in UNSEEN or not solid[0] <= i <= solid[-1] else 3 * DROPPED))
         if x == " ":
             options.append((b" ", DROPPED))
         after: dict[tuple[int, int], dict[int, tuple]] = {}
@@ -158,6 +165,14 @@ def _within_rows(r: np.ndarray, i: int, j: int) -> list[tuple[int, int]]:
     return list(zip(cut[:-1], cut[1:], strict=True))
 
 
+def _places(x: np.ndarray, c: bytes) -> np.ndarray:
+    """Where the bytes of one character are."""
+    at = np.flatnonzero(x[: len(x) - len(c) + 1] == c[0])
+    for k in range(1, len(c)):
+        at = at[x[at + k] == c[k]]
+    return at
+
+
 def disguised(data: np.ndarray, offs: np.ndarray) -> list[tuple[int, str]]:
     """(row, token) of what may hide a word: tokens with imitating, stretched or separated characters, and three single characters or more in a row.
 
@@ -171,12 +186,13 @@ def disguised(data: np.ndarray, offs: np.ndarray) -> list[tuple[int, str]]:
     ascii_run = np.flatnonzero((x[2:] == x[1:-1]) & (x[1:-1] == x[:-2]) & _LETTER[x[2:]] & (x[2:] < 128))
     pair_run = np.flatnonzero((x[:-5] == x[2:-3]) & (x[2:-3] == x[4:-1]) & (x[1:-4] == x[3:-2]) & (x[3:-2] == x[5:]) & (x[:-5] >= 0xC0))
     apart = np.flatnonzero(_APART[x[1:-1]] & ~SPACE[x[:-2]] & ~SPACE[x[2:]])
-    at = np.concatenate([np.flatnonzero(_SPECIAL[x]), ascii_run, pair_run, apart])
+    wide = [_places(x, c) for c in _wide] if (x >= 0xC2).any() else []
+    at = np.concatenate([np.flatnonzero(_SPECIAL[x]), ascii_run, pair_run, apart, *wide])
     raw, found = data.tobytes(), []
     for w in np.unique(np.searchsorted(a, at, "right") - 1).tolist():
         if w >= 0 and b[w] - a[w] >= 3:
             t = _emphasis.sub("", _run.sub(r"\1\1\1", raw[a[w] : b[w]].decode(errors="replace").strip(_edges)))
-            if len(t) >= 3 and (_stretched.search(t) or _mixed.search(t) or _dotted.fullmatch(t)):
+            if len(t) >= 3 and (_stretched.search(t) or _mixed.search(t) or _two_scripts.search(t) or _dotted.fullmatch(t)):
                 found.append((int(r[w]), t))
     lead = x[a]
     single = b - a == np.where(lead < 128, 1, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, 4)))

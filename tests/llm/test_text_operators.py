@@ -116,16 +116,20 @@ def test_divergence():
     assert not kept[1]
 
 
-def test_texts_without_common_words(spark):
+def test_texts_without_common_words(spark, tmp_path):
     rng = random.Random(5)
     made_up = lambda: "".join(rng.choices("bdfgklmnprstv", k=3)) + rng.choice("aeiou") + rng.choice(["", "r", "nt"])
-    lacking = " ".join(" ".join(made_up() for _ in range(9)).capitalize() + "." for _ in range(12))
+    few = [made_up() for _ in range(30)]
+    lacking = " ".join(" ".join(rng.choice(few) for _ in range(9)).capitalize() + "." for _ in range(12))
+    foreign = [" ".join(" ".join(made_up() for _ in range(9)).capitalize() + "." for _ in range(n)) for n in (6, 12, 400)]
     prose = [" ".join(w or made_up() for w in rng.choices([*q, ""], [*q.values(), 1 - sum(q.values())], k=200)).capitalize() + "." for q in quality_rules.WORD_REFERENCE.values()]
-    fields = quality_rules.measure(*flat(pa.array([lacking, *prose])))
+    fields = quality_rules.measure(*flat(pa.array([lacking, *prose, *foreign])))
     assert fields[5][0] <= quality_rules.MAX_CHAR_DISTANCE and fields[6][0] < quality_rules.MAX_WORD_DISTANCE and not fields[7][0]
-    assert fields[8].tolist() == [False, True, True, True, True]
-    docs = spark.createDataFrame(list(enumerate([lacking, *prose])), "doc_id long, text string")
-    assert sorted(r.doc_id for r in quality_rules.keep_good(docs).collect()) == [1, 2, 3, 4]
+    assert fields[8].tolist() == [False, *[True] * 7]  # prose of a language without a reference stays, at any length
+    docs = spark.createDataFrame(list(enumerate([lacking, *prose, *foreign])), "doc_id long, text string")
+    assert sorted(r.doc_id for r in quality_rules.keep_good(docs).collect()) == list(range(1, 8))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.kept for r in quality_rules.op3_quality_rules(spark, str(tmp_path)).collect()} == {0: False} | dict.fromkeys(range(1, 8), True)
 
 
 # --- tokens -----------------------------------------------------------------------------------------------------------
@@ -336,6 +340,22 @@ def test_words_disguised_at_their_edges():
         assert "stupid" in words_read(f"the river {decorated} stone", model), decorated
 
 
+def test_every_stand_in_is_read():
+    """Each symbol and each look-alike at the first, a middle and the last place of a word, and characters that aren't seen."""
+    letters = {v: f"{v}on{v}ur{v}" for v in set("".join(toxicity.IMITATES.values()) + "".join(toxicity.LOOKALIKES.values()))}
+    for x, meant in (toxicity.IMITATES | toxicity.LOOKALIKES).items():
+        for v in meant:
+            word, model = letters[v], char_model((WORDS + [letters[v]]) * 20)
+            for i in (0, 3, 6):
+                hidden = word[:i] + x + word[i + 1 :]
+                assert word in words_read(f"the river {hidden} stone", model), (hidden, word)
+    model = char_model((WORDS + ["eoneure"]) * 20)
+    for x in toxicity.UNSEEN:
+        assert "eoneure" in words_read(f"the eon{x}eu{x}re stone", model)
+    # words of one script aren't disguised
+    assert not toxicity.disguised(*flat(pa.array(["слово и ещё слово", "ένα λόγος", "plain words"])))
+
+
 def test_long_and_spaced_disguises():
     model = char_model((WORDS + ["stupid", "idiot", "you", "are", "a", "you", "are", "a"]) * 20)
     spaced = lambda text: " ".join(text.replace(" ", ""))
