@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from pactum.functions import scalar as S
 from pactum.operators import audit, compat, facets, profile, search
 from pactum.operators.compose import Form, compose
+from pactum.operators.facet_index import FacetIndex, further
 from pactum.plans.closure import closed_graph, relations
 from pactum.plans.fixture import SQL, Fixture
+from pactum.plans.stage import stage_folder
+from pactum.sources.text_index import TextIndex
 from pactum.sources.turtle import to_ntriples
-from pactum.terms import DERIVED, DERIVED_REASON, DIRECT_REASON, GIVEN, LABELS, PREFIXES, RELATIONS, Vocabulary
+from pactum.terms import ACTIONS, DERIVED, DERIVED_REASON, DIRECT_REASON, GIVEN, LABELS, PREFIXES, RELATIONS, TARGETS, Vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -223,6 +226,37 @@ def _(f):
     return _facet(f, targets={"creativework": "no"}, actions={"modify": "permitted", "reproduce": "prohibited"}, duties={"modify_duty_rename": "required"}, share_alike="required")
 
 
+def _facet_index(f: Fixture) -> FacetIndex:
+    return FacetIndex.build(f.titles, f.targets, f.rules, f.rule_duties, f.wide_duties)
+
+
+_FULL = facets.Facets(targets={"creativework": "no"}, actions={"modify": "permitted", "reproduce": "prohibited"}, duties={"modify_duty_rename": "required"}, share_alike="required")
+_CHOSEN = facets.Facets(targets={"software": "no"}, actions={"modify": "permitted"}, duties={"modify_duty_notice": "required"})
+
+
+def _facet_sql(x: facets.Facets) -> str:
+    """Conditions on a title t."""
+    types = lambda state: ", ".join(f"'{v}'" for k, v in TARGETS.items() if x.targets.get(k, "yes") == state)
+    yes = f" AND x.asset_type IN ({types('yes')})" if types("yes") else ""
+    no = f" AND NOT EXISTS (SELECT 1 FROM targets y WHERE y.asset = x.asset AND y.asset_type IN ({types('no')}))" if types("no") else ""
+    out = [f"EXISTS (SELECT 1 FROM targets x WHERE x.id = t.id{yes}{no})"]
+    for a, state in x.actions.items():
+        if state == "prohibited":
+            out.append(_NODE.format("prohibition", ACTIONS[a], ""))
+        elif state == "permitted":
+            out.append(_NODE.format("permission", ACTIONS[a], "".join(_DUTY.format(d) for d in x.duties_of(a))))
+    return " AND ".join(out + [_WIDE] * (x.share_alike == "required"))
+
+
+ORACLE_SQL["facet_bitmap_search"] = ORACLE_SQL["facet_full"]
+QUERIES["facet_bitmap_search"] = lambda spark, sf_dir: _facet_index(Fixture(spark, sf_dir)).search(_FULL)
+
+
+@query("facet_bitmap_counts", " UNION ALL ".join(f"SELECT '{n}' AS choice, count(*) AS n FROM titles t WHERE {_facet_sql(x)}" for n, x in ({"": _CHOSEN} | further(_CHOSEN)).items()))
+def _(f):
+    return _facet_index(f).counts(_CHOSEN)
+
+
 # --- keyword search ---------------------------------------------------------------------------------------------------
 
 
@@ -273,6 +307,24 @@ def _(f):
     return search.list_licenses(f.titles, f.alternatives, skip=20, limit=10)
 
 
+def _text_index(f: Fixture) -> TextIndex:
+    """An index of all documents that has grown by three batches and been merged on the way."""
+    index, docs = TextIndex(f.spark, stage_folder(f.spark), fanout=2), f.table("documents")
+    for k in range(3):
+        index.add(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == k))
+    return index
+
+
+@query("text_index_prefix", "SELECT doc_id FROM documents WHERE regexp_matches(text, '(^|[^\\pL\\pN_])(?i:ver)')", prelude=False)
+def _(f):
+    return _text_index(f).prefix("ver")
+
+
+@query("text_index_phrase", "SELECT doc_id FROM documents WHERE regexp_matches(text, '(^|[^\\pL\\pN_])(?i:of)[^\\pL\\pN_]+(?i:the)($|[^\\pL\\pN_])')", prelude=False)
+def _(f):
+    return _text_index(f).phrase("of the").select("doc_id")
+
+
 @query("fulltext_prefix", "SELECT doc_id FROM documents WHERE regexp_matches(text, '(^|[^\\pL\\pN_])(?i:ver)')", prelude=False)
 def _(f):
     return f.table("documents").filter(S.prefix_match(F.col("text"), "ver")).select("doc_id")
