@@ -36,9 +36,17 @@ class Fixture:
     def dep_edges(self) -> DataFrame:
         return self.spark.createDataFrame(list(DEPENDENCIES), "a string, rel string, b string")
 
+    @cached_property
+    def parts(self) -> DataFrame:
+        """id, title, asset, kinds (types of the asset), wide (whether it asks to share alike)."""
+        s = F.col("p_size")
+        kinds = F.array_compact(F.array(F.when(s % 2 == 0, F.lit("lic:CreativeWork")), F.when(s % 3 == 0, F.lit("dcmitype:Dataset")), F.when((s % 5).isin(0, 1), F.lit("dcmitype:Software"))))
+        title = F.concat_ws(" ", "p_name", "p_brand", F.col("p_partkey").cast("string"))
+        return self.table("part").select(_id("p_partkey").alias("id"), title.alias("title"), F.concat(F.lit("_:"), F.col("p_partkey").cast("string")).alias("asset"), kinds.alias("kinds"), (s % 3 == 0).alias("wide"))
+
     @cached_property
     def titles(self) -> DataFrame:
-        return self.table("part").select(_id("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand", F.col("p_partkey").cast("string")).alias("title"))
+        return self.parts.select("id", "title")
 
     @cached_property
     def alternatives(self) -> DataFrame:
@@ -49,10 +57,7 @@ class Fixture:
 
     @cached_property
     def targets(self) -> DataFrame:
-        p = self.table("part")
-        s = F.col("p_size")
-        kinds = F.array_compact(F.array(F.when(s % 2 == 0, F.lit("lic:CreativeWork")), F.when(s % 3 == 0, F.lit("dcmitype:Dataset")), F.when((s % 5).isin(0, 1), F.lit("dcmitype:Software"))))
-        return p.select(_id("p_partkey").alias("id"), F.concat(F.lit("_:"), F.col("p_partkey").cast("string")).alias("asset"), F.explode(kinds).alias("asset_type"))
+        return self.parts.select("id", "asset", F.explode("kinds").alias("asset_type"))
 
     @cached_property
     def rules(self) -> DataFrame:
@@ -71,13 +76,19 @@ class Fixture:
         )
 
     @cached_property
-    def rule_duties(self) -> DataFrame:
+    def rules_due(self) -> DataFrame:
+        """rules with due, the duties of each."""
         due = F.array_compact(F.array(*[F.when(F.col("ok") % (i + 2) == 0, F.lit(d)) for i, d in enumerate(DUTY_VOCABULARY)]))
-        return self.rules.filter((F.col("kind") == "permission") & F.col("action").isin(*WITH_DUTIES)).select("id", "node", F.explode(due).alias("duty"))
+        has = (F.col("kind") == "permission") & F.col("action").isin(*WITH_DUTIES)
+        return self.rules.withColumn("due", F.when(has, due).otherwise(F.array().cast("array<string>")))
+
+    @cached_property
+    def rule_duties(self) -> DataFrame:
+        return self.rules_due.filter(F.size("due") > 0).select("id", "node", F.explode("due").alias("duty"))
 
     @cached_property
     def wide_duties(self) -> DataFrame:
-        return self.table("part").filter(F.col("p_size") % 3 == 0).select(_id("p_partkey").alias("id"), F.lit("cc:ShareAlike").alias("action"))
+        return self.parts.filter("wide").select("id", F.lit("cc:ShareAlike").alias("action"))
 
     @cached_property
     def stmts(self) -> DataFrame:
@@ -107,13 +118,13 @@ alternatives AS (SELECT concat('urn:lic:', p_partkey) AS id, p_type AS alt FROM
 targets AS (SELECT concat('urn:lic:', p_partkey) AS id, concat('_:', p_partkey) AS asset, t.ty AS asset_type FROM part JOIN
   (VALUES (0, 'lic:CreativeWork'), (1, 'dcmitype:Dataset'), (2, 'dcmitype:Software')) t(k, ty)
   ON (t.k = 0 AND p_size % 2 = 0) OR (t.k = 1 AND p_size % 3 = 0) OR (t.k = 2 AND p_size % 5 IN (0, 1))),
-rules AS (SELECT DISTINCT concat('urn:lic:', l_partkey) AS id, concat(l_partkey, ':', l_orderkey, ':', l_linenumber, ':', l_suppkey) AS node,
+rules AS MATERIALIZED (SELECT DISTINCT concat('urn:lic:', l_partkey) AS id, concat(l_partkey, ':', l_orderkey, ':', l_linenumber, ':', l_suppkey) AS node,
   CASE WHEN l_returnflag = 'R' THEN 'prohibition' ELSE 'permission' END AS kind, v.action, l_orderkey AS ok
   FROM lineitem JOIN voc v ON v.i = (l_suppkey + l_linenumber) % {len(VOCABULARY)}),
 rule_duties AS (SELECT r.id, r.node, d.action AS duty FROM rules r JOIN dut d ON r.ok % (d.i + 2) = 0
   WHERE r.kind = 'permission' AND r.action IN ({", ".join(f"'{x}'" for x in WITH_DUTIES)})),
 wide_duties AS (SELECT concat('urn:lic:', p_partkey) AS id, 'cc:ShareAlike' AS action FROM part WHERE p_size % 3 = 0),
-stmts AS (SELECT DISTINCT id, kind, action FROM rules),
+stmts AS MATERIALIZED (SELECT DISTINCT id, kind, action FROM rules),
 deps AS (SELECT l_orderkey AS repo, concat(l_linenumber, ':', l_suppkey) AS dependency, CASE WHEN l_linenumber <> 7 THEN concat('urn:lic:', l_partkey) END AS license_id FROM lineitem),
 base AS (SELECT a, b, rel FROM dep_edges WHERE rel IN ('odrl:includedIn', 'odrl:implies', 'owl:sameAs') UNION SELECT b, a, rel FROM dep_edges WHERE rel = 'owl:sameAs'),
 clo(a, b, rel) AS (SELECT DISTINCT c.a, e.b, c.rel FROM base c JOIN base e ON c.b = e.a AND c.rel = e.rel

@@ -334,30 +334,22 @@ def _(f):
 
 
 def _graph(f: Fixture) -> DataFrame:
-    """s, p, o of the fixture with all nodes that a profile follows: statements, nested and licence-wide duties, targets."""
-    t = lambda df, s, p, o: df.select(s.alias("s"), p.alias("p"), o.alias("o"))
-    c, lit = F.col, F.lit
-    nested, wide = F.concat(c("node"), lit("/"), c("duty")), F.concat(c("id"), lit("/"), c("action"))
-    parts = [
-        t(f.titles, c("id"), lit("rdf:type"), lit("odrl:Set")),
-        t(f.titles, c("id"), lit("dct:title"), c("title")),
-        t(f.rules, c("id"), F.concat(lit("odrl:"), c("kind")), c("node")),
-        t(f.rules, c("node"), lit("rdf:type"), F.concat(lit("odrl:"), F.initcap("kind"))),
-        t(f.rules, c("node"), lit("odrl:action"), c("action")),
-        t(f.rule_duties, c("node"), lit("odrl:duty"), nested),
-        t(f.rule_duties, nested, lit("rdf:type"), lit("odrl:Duty")),
-        t(f.rule_duties, nested, lit("odrl:action"), c("duty")),
-        t(f.wide_duties, c("id"), lit("odrl:duty"), wide),
-        t(f.wide_duties, wide, lit("rdf:type"), lit("odrl:Duty")),
-        t(f.wide_duties, wide, lit("odrl:action"), c("action")),
-        t(f.targets, c("id"), lit("odrl:target"), c("asset")),
-        t(f.targets, c("asset"), lit("rdf:type"), lit("odrl:AssetCollection")),
-        t(f.targets, c("asset"), lit("dct:type"), c("asset_type")),
-    ]
-    return reduce(DataFrame.unionByName, parts)
-
-
-_GRAPH = """, graph(s, p, o) AS (SELECT id, 'rdf:type', 'odrl:Set' FROM titles UNION SELECT id, 'dct:title', title FROM titles
+    """s, p, o of the fixture with all nodes that a profile follows: statements, nested and licence-wide duties, targets. Parts and rules are read once each."""
+    c, lit, cat = F.col, F.lit, F.concat
+    t = lambda s, p, o: F.struct(s.alias("s"), p.alias("p"), o.alias("o"))
+    node, wide = c("node"), cat(c("id"), lit("/cc:ShareAlike"))
+    due = F.flatten(F.transform("due", lambda d: F.array(t(node, lit("odrl:duty"), cat(node, lit("/"), d)), t(cat(node, lit("/"), d), lit("rdf:type"), lit("odrl:Duty")), t(cat(node, lit("/"), d), lit("odrl:action"), d))))
+    own = F.array(t(c("id"), cat(lit("odrl:"), c("kind")), node), t(node, lit("rdf:type"), cat(lit("odrl:"), F.initcap("kind"))), t(node, lit("odrl:action"), c("action")))
+    rules = f.rules_due.select(F.explode(F.concat(own, due)).alias("x"))
+    titles = F.array(t(c("id"), lit("rdf:type"), lit("odrl:Set")), t(c("id"), lit("dct:title"), c("title")))
+    shared = F.array(t(c("id"), lit("odrl:duty"), wide), t(wide, lit("rdf:type"), lit("odrl:Duty")), t(wide, lit("odrl:action"), lit("cc:ShareAlike")))
+    asset = c("asset")
+    aimed = F.flatten(F.transform("kinds", lambda k: F.array(t(c("id"), lit("odrl:target"), asset), t(asset, lit("rdf:type"), lit("odrl:AssetCollection")), t(asset, lit("dct:type"), k))))
+    parts = f.parts.select(F.explode(F.concat(titles, F.when(c("wide"), shared).otherwise(F.slice(shared, 1, 0)), aimed)).alias("x"))
+    return rules.unionByName(parts).select("x.*")
+
+
+_GRAPH = """, graph(s, p, o) AS MATERIALIZED (SELECT id, 'rdf:type', 'odrl:Set' FROM titles UNION SELECT id, 'dct:title', title FROM titles
   UNION SELECT id, concat('odrl:', kind), node FROM rules UNION SELECT node, 'rdf:type', CASE kind WHEN 'permission' THEN 'odrl:Permission' ELSE 'odrl:Prohibition' END FROM rules
   UNION SELECT node, 'odrl:action', action FROM rules UNION SELECT node, 'odrl:duty', concat(node, '/', duty) FROM rule_duties
   UNION SELECT concat(node, '/', duty), 'rdf:type', 'odrl:Duty' FROM rule_duties UNION SELECT concat(node, '/', duty), 'odrl:action', duty FROM rule_duties
