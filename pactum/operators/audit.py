@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactum.operators.compat import conflicts
+from pactum.operators.compat import _reaching, conflicts
 from pactum.plans.stage import staged
 
 DOCUMENT = "full_name string, language string, dependencies array<struct<name string, normalized_licenses array<string>>>"
@@ -38,6 +38,23 @@ def repository_conflicts(resolved: DataFrame, stmts: DataFrame, dep_edges: DataF
     return conflicts(staged(used.join(stmts, "id").select("repo", "id", "kind", "action")), dep_edges, within="repo")
 
 
+def repository_conflict_counts(resolved: DataFrame, stmts: DataFrame, dep_edges: DataFrame) -> DataFrame:
+    """repo, id1, id2, n_conflicts, n_actions: how many conflicts each pair of a repository's licences has, without a row for each.
+
+    What a licence permits is expanded to what that meets once, and not for each repository; a repository then has a row for each of
+    its licences, with two short lists as long as the vocabulary at most.
+    """
+    used = resolved.filter(F.col("license_id").isNotNull()).select("repo", F.col("license_id").alias("id")).distinct()
+    allow = stmts.filter(F.col("kind") == "permission").select(F.col("id").alias("id1"), F.col("action").alias("a1")).distinct()
+    meets = _reaching(allow, dep_edges).groupBy("id1").agg(F.collect_list(F.struct("a1", "a2")).alias("meets"))
+    deny = stmts.filter(F.col("kind") == "prohibition").groupBy(F.col("id").alias("id2")).agg(F.collect_set("action").alias("denied"))
+    one = used.withColumnRenamed("id", "id1").join(meets, "id1")
+    two = used.withColumnRenamed("id", "id2").join(deny, "id2")
+    hit = F.filter("meets", lambda m: F.array_contains("denied", m.a2))
+    pairs = one.join(two, "repo").select("repo", "id1", "id2", hit.alias("hit")).filter(F.size("hit") > 0)
+    return pairs.select("repo", "id1", "id2", F.size("hit").cast("long").alias("n_conflicts"), F.size(F.array_distinct(F.transform("hit", lambda m: m.a1))).cast("long").alias("n_actions"))
+
+
 def repositories(documents: DataFrame) -> DataFrame:
     """name, language: a row for each document that could be read."""
     return documents.filter(F.col("full_name").isNotNull()).select(F.col("full_name").alias("name"), "language")

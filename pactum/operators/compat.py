@@ -2,28 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactum.plans.closure import relations
-from pactum.plans.stage import small
+from pactum.plans.numbering import numbered
+from pactum.plans.stage import few, small, staged
 from pactum.terms import DERIVED, DERIVED_REASON, DIRECT_REASON, GIVEN, RELATIONS
 
 COLUMNS = ["id1", "a1", "id2", "a2", "rel", "r"]
 
 
-def _meeting(dep_edges: DataFrame) -> DataFrame:
-    """a1, meets: for each action with relations, the (a2, rel, r) that its permission meets prohibitions of."""
-    entry = F.struct(F.col("b").alias("a2"), "rel", "r")
-    return relations(dep_edges, RELATIONS).groupBy(F.col("a").alias("a1")).agg(F.collect_list(entry).alias("meets"))  # as long as the vocabulary at most
-
-
 def _reaching(allow: DataFrame, dep_edges: DataFrame) -> DataFrame:
     """allow with a2, rel, r: a row for its own action (rel and r null), and one for each related action."""
-    meets = _meeting(dep_edges)
-    itself = F.struct(F.col("a1").alias("a2"), F.lit(None).cast("string").alias("rel"), F.lit(None).cast("string").alias("r"))
-    none = F.array().cast(meets.schema["meets"].dataType)
-    out = allow.join(small(meets), "a1", "left").withColumn("m", F.explode(F.concat(F.array(itself), F.coalesce("meets", none))))
+    meets = relations(dep_edges, RELATIONS).select(F.col("a").alias("a1"), F.col("b").alias("a2"), "rel", "r")
+    none = F.lit(None).cast("string")
+    if (local := few(meets)) is None:  # a closure grows with the square of its edges, so it may be large where they are not
+        return allow.select(*allow.columns, F.col("a1").alias("a2"), none.alias("rel"), none.alias("r")).unionByName(allow.join(meets, "a1"))
+    entry = F.struct("a2", "rel", "r")
+    by_action = local.groupBy("a1").agg(F.collect_list(entry).alias("meets"))
+    itself = F.struct(F.col("a1").alias("a2"), none.alias("rel"), none.alias("r"))
+    out = allow.join(F.broadcast(by_action), "a1", "left").withColumn("m", F.explode(F.concat(F.array(itself), F.coalesce("meets", F.array().cast(by_action.schema["meets"].dataType)))))
     return out.select(*allow.columns, "m.a2", "m.rel", "m.r")
 
 
@@ -49,7 +48,7 @@ def conflict_counts(stmts: DataFrame, dep_edges: DataFrame) -> DataFrame:
     """
     side = lambda kind, i, a: stmts.filter(F.col("kind") == kind).select(F.col("id").alias(i), F.col("action").alias(a)).distinct()
     deny = side("prohibition", "id2", "a2").groupBy("a2").agg(F.count("*").alias("n_conflicts"), F.min("id2").alias("first_id"))
-    return _reaching(side("permission", "id1", "a1"), dep_edges).join(small(deny), "a2").select("id1", "a1", "rel", "a2", "r", "n_conflicts", "first_id")
+    return _reaching(side("permission", "id1", "a1"), dep_edges).join(small(staged(deny)), "a2").select("id1", "a1", "rel", "a2", "r", "n_conflicts", "first_id")
 
 
 def reason(r: Column) -> Column:
@@ -57,15 +56,12 @@ def reason(r: Column) -> Column:
 
 
 def conflict_report(found: DataFrame) -> DataFrame:
-    """kind, key ('0', '1', ... within a kind), statement_1, statement_2, reason.
-
-    Numbering needs one order over the report, which is one input's; for many inputs, number within each.
-    """
-    w = Window.partitionBy("kind").orderBy("id1", "a1", "id2", "a2", "rel", "r")
-    rows = found.withColumn("kind", F.when(F.col("rel").isNull(), "direct").otherwise("derived"))
-    return rows.select(
+    """kind, key ('0', '1', ... within a kind), statement_1, statement_2, reason. Numbered by ranges, so a report may be of any size."""
+    rows = numbered(found.withColumn("kind", F.when(F.col("rel").isNull(), "direct").otherwise("derived")), ["kind", "id1", "a1", "id2", "a2", "rel", "r"])
+    first = rows.groupBy("kind").agg(F.min("number").alias("first"))  # two rows
+    return rows.join(F.broadcast(first), "kind").select(
         "kind",
-        (F.row_number().over(w) - 1).cast("string").alias("key"),
+        (F.col("number") - F.col("first")).cast("string").alias("key"),
         F.array("id1", F.lit("odrl:permission"), "a1").alias("statement_1"),
         F.array("id2", F.lit("odrl:prohibition"), "a2").alias("statement_2"),
         reason(F.col("r")).alias("reason"),

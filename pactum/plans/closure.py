@@ -13,6 +13,7 @@ from pactum.plans.stage import dropped, stage_folder, staged
 #: Up to so many edges and paths are closed on the driver (a vocabulary); more go through joins.
 SMALL, SMALL_PATHS = 10_000, 200_000
 EDGES = "a string, b string, rel string"
+_PAIR = ["a", "b", "rel"]
 
 
 def _paths(edges: list[tuple[str, str, str]], limit: int) -> set[tuple[str, str, str]] | None:
@@ -33,6 +34,11 @@ def _paths(edges: list[tuple[str, str, str]], limit: int) -> set[tuple[str, str,
     return out
 
 
+def _then(x: DataFrame, y: DataFrame) -> DataFrame:
+    """a, b, rel for each pair of x that is followed by one of y; not distinct."""
+    return x.join(y.select(F.col("a").alias("b"), F.col("b").alias("c"), "rel"), ["b", "rel"]).select("a", F.col("c").alias("b"), "rel")
+
+
 def paths(edges: DataFrame) -> DataFrame:
     """Distinct (a, b, rel) joined by a path of two edges or more; relations don't mix, and cycles end."""
     edges = edges.select("a", "b", "rel").distinct()
@@ -49,18 +55,68 @@ def _paths_by_joins(edges: DataFrame) -> DataFrame:
     would find each path once for every place to cut it.
     """
     spark, folder = edges.sparkSession, stage_folder(edges.sparkSession)
-    then = lambda x, y: x.join(y.select(F.col("a").alias("b"), F.col("b").alias("c"), "rel"), ["b", "rel"]).select("a", F.col("c").alias("b"), "rel")
     edges = staged(edges, f"{folder}/edges")
     exact, reach, n = edges, edges, edges.count()
     for k in count():
-        reach_next = staged(reach.unionByName(then(exact, reach)).distinct(), f"{folder}/reach{k}")
-        exact = staged(then(exact, exact).distinct(), f"{folder}/exact{k}")
+        reach_next = staged(reach.unionByName(_then(exact, reach)).distinct(), f"{folder}/reach{k}")
+        exact = staged(_then(exact, exact).distinct(), f"{folder}/exact{k}")
         reach, before, n = reach_next, n, reach_next.count()
         if k:
             dropped(spark, f"{folder}/reach{k - 1}")
             dropped(spark, f"{folder}/exact{k - 1}")
         if n == before:
-            return then(edges, reach).distinct()
+            return _then(edges, reach).distinct()
+
+
+class Closure:
+    """The pairs (a, b, rel) joined by a path of one edge or more, kept up to date while edges come and go.
+
+    A change joins only what it touches with the pairs there are: paths through new edges are put together from the pairs before
+    and behind them, and pairs whose paths went through deleted edges are taken out and looked for again among the edges left.
+    """
+
+    def __init__(self, edges: DataFrame):
+        self.folder, self.step = stage_folder(edges.sparkSession), 0
+        self.edges = self._kept(edges.select(*_PAIR).distinct(), "edges")
+        self.pairs = self._kept(self.edges.unionByName(_paths_by_joins(self.edges)).distinct(), "pairs")
+
+    def _kept(self, df: DataFrame, name: str) -> DataFrame:
+        self.step += 1
+        return staged(df, f"{self.folder}/{name}-{self.step}")
+
+    def _through(self, edges: DataFrame) -> DataFrame:
+        """The pairs with a path that has one of these edges, between pairs that there are."""
+        to = edges.unionByName(_then(self.pairs, edges)).distinct()
+        return to.unionByName(_then(to, self.pairs)).distinct()
+
+    def insert(self, new: DataFrame) -> DataFrame:
+        """Adds edges; returns the pairs that this has added."""
+        new = self._kept(new.select(*_PAIR).distinct().join(self.edges, _PAIR, "left_anti"), "new")
+        fresh = new.join(self.pairs, _PAIR, "left_anti")  # an edge between what is joined already joins nothing more
+        found = front = self._kept(self._through(fresh).join(self.pairs, _PAIR, "left_anti"), "found")
+        while not front.isEmpty():  # paths through twice as many new edges
+            longer = _then(front, found).unionByName(_then(found, front)).distinct()
+            front = self._kept(longer.join(found, _PAIR, "left_anti").join(self.pairs, _PAIR, "left_anti"), "front")
+            found = self._kept(found.unionByName(front), "found")
+        self.edges = self._kept(self.edges.unionByName(new), "edges")
+        self.pairs = self._kept(self.pairs.unionByName(found), "pairs")
+        return found
+
+    def delete(self, gone: DataFrame) -> DataFrame:
+        """Takes edges out; returns the pairs that this has taken out."""
+        gone = self._kept(gone.select(*_PAIR).distinct().join(self.edges, _PAIR, "left_semi"), "gone")
+        left = self._kept(self.edges.join(gone, _PAIR, "left_anti"), "edges")
+        doubted = self._kept(self._through(gone), "doubted")
+        sure = self._kept(self.pairs.join(doubted, _PAIR, "left_anti"), "sure")
+        # a doubted pair is there if it is an edge, or an edge leads to where a sure or found one begins
+        by_edge = _then(left.join(doubted.select("a", "rel").distinct(), ["a", "rel"], "left_semi"), sure)
+        front = found = self._kept(doubted.join(left.unionByName(by_edge).distinct(), _PAIR, "left_semi"), "again")
+        while not front.isEmpty():
+            more = _then(left, front).distinct().join(doubted, _PAIR, "left_semi").join(found, _PAIR, "left_anti")
+            front = self._kept(more, "front")
+            found = self._kept(found.unionByName(front), "again")
+        self.edges, self.pairs = left, self._kept(sure.unionByName(found), "pairs")
+        return doubted.join(found, _PAIR, "left_anti")
 
 
 def relations(dep_edges: DataFrame, kinds: tuple[str, ...], symmetric: tuple[str, ...] = ("owl:sameAs",)) -> DataFrame:

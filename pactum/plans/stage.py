@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side of a join is broadcast.
-FEW = 100_000
+#: Rows, and bytes as text, up to which a side of a join is broadcast.
+FEW, FEW_BYTES = 100_000, 16 << 20
+_left: list = []  # folders, with their file systems, that go when the driver ends
 
 
 def store_of(spark: SparkSession, path: str):
@@ -26,7 +29,18 @@ def stage_folder(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pactum-"))
         root = spark.sparkContext.getCheckpointDir()
-    return f"{root.rstrip('/')}/pactum-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/pactum-{uuid.uuid4().hex}"
+    _left.append(store_of(spark, path))
+    return path
+
+
+@atexit.register
+def tidy() -> None:
+    """Removes what stage_folder has named, as results are lazy and may need it until the end."""
+    while _left:
+        store, p = _left.pop()
+        with contextlib.suppress(Exception):  # the driver's JVM may have gone first
+            store.delete(p, True)
 
 
 def staged(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -41,10 +55,14 @@ def dropped(spark: SparkSession, path: str) -> None:
     store.delete(p, True)
 
 
-def small(df: DataFrame, rows: int = FEW) -> DataFrame:
-    """df for a join: broadcast if it has `rows` rows at most, as counted now; otherwise left to the planner.
+def few(df: DataFrame, rows: int = FEW, size: int = FEW_BYTES) -> DataFrame | None:
+    """df as a local table, if it has `rows` rows and `size` bytes at most, as counted now. It is computed twice; stage what is dear."""
+    head = df.limit(rows + 1)
+    n, b = head.agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return df.sparkSession.createDataFrame(head.toArrow(), df.schema) if n <= rows and (b or 0) <= size else None
+
 
-    What is few comes to the driver at once, so that counting and joining compute it once.
-    """
-    some = df.limit(rows + 1).toArrow()
-    return F.broadcast(df.sparkSession.createDataFrame(some, df.schema)) if some.num_rows <= rows else df
+def small(df: DataFrame, rows: int = FEW, size: int = FEW_BYTES) -> DataFrame:
+    """df for a join: broadcast if it is `few`; otherwise left to the planner."""
+    local = few(df, rows, size)
+    return df if local is None else F.broadcast(local)

@@ -12,7 +12,7 @@ from pactum.functions import scalar as S
 from pactum.operators import audit, compat, facets, profile, search
 from pactum.operators.compose import Form, compose
 from pactum.operators.facet_index import FacetIndex, further
-from pactum.plans.closure import closed_graph, relations
+from pactum.plans.closure import Closure, closed_graph, relations
 from pactum.plans.fixture import SQL, Fixture
 from pactum.plans.stage import stage_folder
 from pactum.sources.text_index import TextIndex
@@ -123,6 +123,30 @@ def _(f):
     return closed_graph(f.dep_edges, RELATIONS)
 
 
+def _orders(f: Fixture) -> DataFrame:
+    """Each order and the next one of the same customer, as edges; key is the next one's."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    e = f.table("orders").select(F.lag("o_orderkey").over(w).alias("a"), F.col("o_orderkey").alias("key")).filter("a IS NOT NULL")
+    return e.select(F.col("a").cast("string").alias("a"), F.col("key").cast("string").alias("b"), F.lit("odrl:includedIn").alias("rel"), "key")
+
+
+_ORDERS = "WITH o AS (SELECT o_custkey AS c, o_orderkey AS k, sum(CASE WHEN {} THEN 1 ELSE 0 END) OVER w AS g, row_number() OVER w AS i FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)) SELECT CAST(x.k AS VARCHAR) AS a, CAST(y.k AS VARCHAR) AS b, {} FROM o x JOIN o y ON x.c = y.c AND x.g = y.g AND x.k < y.k"
+
+
+@query("closure_orders", _ORDERS.format("false", "'odrl:includedIn' AS rel, CASE WHEN y.i = x.i + 1 THEN 'dependencygraph' ELSE 'derived' END AS r"), prelude=False)
+def _(f):
+    return relations(_orders(f), ("odrl:includedIn",))
+
+
+@query("closure_changes", _ORDERS.format("o_orderkey % 40 = 1", "'odrl:includedIn' AS rel"), prelude=False)
+def _(f):
+    e = _orders(f)
+    closure = Closure(e.filter("key % 40 <> 0"))
+    closure.insert(e.filter("key % 40 = 0"))
+    closure.delete(e.filter("key % 40 = 1"))
+    return closure.pairs
+
+
 _SIDES = ", allow AS (SELECT DISTINCT id AS id1, action AS a1 FROM stmts WHERE kind = 'permission'), deny AS (SELECT DISTINCT id AS id2, action AS a2 FROM stmts WHERE kind = 'prohibition') "
 
 
@@ -505,8 +529,7 @@ SELECT repo, id1, id2, count(*) AS n_conflicts, count(DISTINCT a1) AS n_actions
   UNION ALL SELECT al.repo, id1, a1, id2 FROM al JOIN rels ON a1 = a JOIN dn ON al.repo = dn.repo AND b = a2) GROUP BY repo, id1, id2""",
 )
 def _(f):
-    found = audit.repository_conflicts(f.dependencies, f.stmts, f.dep_edges)
-    return found.groupBy("repo", "id1", "id2").agg(F.count("*").alias("n_conflicts"), F.count_distinct("a1").alias("n_actions"))
+    return audit.repository_conflict_counts(f.dependencies, f.stmts, f.dep_edges)
 
 
 # --- catalogue statistics ---------------------------------------------------------------------------------------------

@@ -1,5 +1,7 @@
 """Operators on hand-made inputs."""
 
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -8,7 +10,9 @@ from pyspark.sql import functions as F
 from pactum.functions import scalar as S
 from pactum.operators import audit, compat, facets, profile, search
 from pactum.operators.compose import Form, compose
+from pactum.operators.facet_index import FacetIndex, further
 from pactum.plans import closure
+from pactum.plans.numbering import numbered
 from pactum.plans.stage import small, staged
 from pactum.terms import DEPENDENCIES, RELATIONS, Vocabulary
 
@@ -66,6 +70,34 @@ def test_large_closure_is_the_same(spark, monkeypatch):
     assert len(small) == 9 + 1 + 1
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_closure_under_changes(spark, seed):
+    """Random graphs with cycles: edges come and go in batches, and the pairs are always those of the edges there are."""
+    rng = random.Random(seed)
+    every = [(str(a), str(b), r) for a in range(9) for b in range(9) for r in "xy"]
+
+    def closed(edges):
+        pairs = set(edges)
+        while more := {(a, d, r) for a, b, r in pairs for c, d, q in edges if b == c and r == q} - pairs:
+            pairs |= more
+        return pairs
+
+    have = set(rng.sample(every, 14))
+    frame = lambda e: spark.createDataFrame(sorted(e), closure.EDGES)
+    c = closure.Closure(frame(have))
+    for _ in range(2):
+        new, gone = set(rng.sample(every, 4)), set(rng.sample(sorted(have), 5))
+        before = closed(have)
+        added = {tuple(r) for r in c.insert(frame(new)).collect()}
+        have |= new
+        assert added == closed(have) - before
+        before = closed(have)
+        removed = {tuple(r) for r in c.delete(frame(gone)).collect()}
+        have -= gone
+        assert removed == before - closed(have)
+        assert {tuple(r) for r in c.pairs.collect()} == closed(have) and c.pairs.count() == len(closed(have)) and {tuple(r) for r in c.edges.collect()} == have
+
+
 def test_many_paths_leave_the_driver(spark, monkeypatch):
     """A chain's paths grow with the square of its edges; past the limit they are joined, in rounds that double lengths."""
     monkeypatch.setattr(closure, "SMALL_PATHS", 500)
@@ -146,6 +178,47 @@ def test_only_few_rows_are_broadcast(spark):
     assert small(spark.range(0)).count() == 0
 
 
+def test_broadcasts_are_bounded_in_bytes(spark):
+    plan = lambda df: spark.range(10).join(df, "id")._jdf.queryExecution().analyzed().toString()
+    wide = spark.range(3).withColumn("t", F.repeat(F.lit("x"), 1000))
+    assert "strategy=broadcast" in plan(small(wide, 10, 5000)) and "strategy=broadcast" not in plan(small(wide, 10, 2000))
+
+
+def test_a_large_vocabulary_is_joined(spark, lib, monkeypatch):
+    stmts = lib["rules"].select("id", "kind", "action").distinct()
+    want = {tuple(r) for r in compat.conflicts(stmts, lib["deps"]).collect()}
+    monkeypatch.setattr(compat, "few", lambda df: None)
+    assert {tuple(r) for r in compat.conflicts(stmts, lib["deps"]).collect()} == want
+
+
+def test_numbers_of_many_rows(spark):
+    df = spark.range(1000).select((F.col("id") % 7).alias("k"), (F.col("id") * 37 % 1000).alias("v")).repartition(5)
+    got = numbered(df, ["k", "v"]).collect()
+    assert [(r.k, r.v) for r in sorted(got, key=lambda r: r.number)] == sorted((i % 7, i * 37 % 1000) for i in range(1000)) and sorted(r.number for r in got) == list(range(1000))
+    assert numbered(df.limit(0), ["k"]).count() == 0
+
+
+def test_conflict_counts_of_repositories(spark, lib):
+    stmts = lib["rules"].select("id", "kind", "action").distinct()
+    resolved = spark.createDataFrame([("r", "l1"), ("r", "l3"), ("r", "l3"), ("s", "l2"), ("s", None), ("t", "l2"), ("t", "l3")], "repo string, license_id string")
+    rows = audit.repository_conflicts(resolved, stmts, lib["deps"]).groupBy("repo", "id1", "id2").agg(F.count("*"), F.count_distinct("a1")).collect()
+    assert sorted(tuple(r) for r in audit.repository_conflict_counts(resolved, stmts, lib["deps"]).collect()) == sorted(tuple(r) for r in rows) != []
+
+
+def test_facet_index(spark, lib):
+    """Every further choice, and what it leads to, as the joins have it."""
+    parts = (lib["titles"], lib["targets"], lib["rules"], lib["rule_duties"], lib["wide_duties"])
+    index = FacetIndex.build(*parts)
+    for given in (facets.Facets(), facets.Facets(actions={"modify": "permitted"}, duties={"modify_duty_notice": "required"}), facets.Facets(targets=dict.fromkeys(("creativework", "dataset", "software"), "no"))):
+        assert [tuple(r) for r in index.search(given).collect()] == [tuple(r) for r in facets.faceted_search(*parts, given).collect()]
+        counts = {r.choice: r.n for r in index.counts(given).collect()}
+        wanted = further(given) | {"": given}
+        assert counts.keys() == wanted.keys()
+        for name in ("", "creativework=no", "modify_duty_attribution", "commercial_use=prohibited", "share_alike"):
+            if name in wanted:
+                assert counts[name] == facets.faceted_search(*parts, wanted[name]).select("id").distinct().count(), name
+
+
 def test_profile(spark, lib):
     allow = {(r.id, r.action): r.duties for r in profile.permissions(lib["rules"], lib["rule_duties"]).collect()}
     assert allow["l1", "odrl:modify"] == ["cc:Attribution", "cc:Notice"] and allow["l3", "odrl:display"] == []
