@@ -76,11 +76,11 @@ class Library:
 
     def fetch(self, licence: str, fmt: str = "json-ld") -> str:
         """One licence, serialised: the triples of its IRI and of all blank nodes below it, however deep."""
-        t = self.store.quads().select("s", "s_kind", "p", "o", "o_kind", "o_lang", "o_dt")
+        store = self.store.snapshot()
         rows, seen, front = set(), set(), {licence}
         while front:  # a level of one licence at a time; names go to the scan
             seen |= front
-            found = {tuple(r) for r in t.filter(F.col("s").isin(sorted(front))).collect()}
+            found = {tuple(r) for r in store.about(sorted(front)).select("s", "s_kind", "p", "o", "o_kind", "o_lang", "o_dt").collect()}
             rows |= found
             front = {o for _, _, _, o, kind, _, _ in found if kind == "bnode"} - seen
         if not rows:

@@ -2,42 +2,134 @@
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactum.operators.compose import TRIPLE
-from pactum.plans.stage import store_of
+from pactum.plans.stage import dropped, stage_folder, staged
+from pactum.sources.manifest import Conflict, Manifest
 from pactum.terms import STATEMENT_KINDS, Vocabulary
 
 
 _NAMES = [x.split()[0] for x in TRIPLE.split(", ")]
-#: Graphs up to which an append picks partitions by name.
-MANY_GRAPHS = 1000
+#: Subjects are dealt to so many buckets in each graph.
+BUCKETS = 64
+#: Graphs and buckets up to which an append picks partitions by name.
+MANY = 4000
+#: Parts that are made one, and attempts of an append that other writers come before.
+FANOUT, ATTEMPTS = 16, 5
 
 
-class GraphStore:
-    """Triples below a folder, partitioned by graph, so that reading one graph prunes the others."""
+def bucket_of(subject: str) -> int:
+    """The bucket of a subject, as `in_buckets` has it."""
+    return zlib.crc32(subject.encode()) % BUCKETS
+
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+def in_buckets(triples: DataFrame) -> DataFrame:
+    return triples.select(*_NAMES, (F.crc32("s") % BUCKETS).cast("int").alias("bucket"))
 
-    def append(self, triples: DataFrame) -> None:
-        """Adds what the graphs don't have; only those graphs that the triples name are read. One writer at a time."""
-        new = triples.select(*_NAMES).distinct()
-        store, path = store_of(self.spark, self.folder)
-        if store.exists(path):
-            graphs = [r.g for r in new.select("g").distinct().limit(MANY_GRAPHS + 1).collect()]
-            old = self.quads().select(*_NAMES)
-            new = new.subtract(old.filter(F.col("g").isin(graphs)) if len(graphs) <= MANY_GRAPHS else old)
-        new.write.mode("append").partitionBy("g").parquet(self.folder)
 
-    def clear(self) -> None:
-        self.spark.createDataFrame([], TRIPLE).write.mode("overwrite").parquet(self.folder)
+class GraphStore:
+    """Triples below a folder, in parts that are partitioned by graph and by bucket of the subject; a manifest says which parts there are.
+
+    Reading one graph, or some subjects, opens no other partitions. Readers stay at the version that they have opened; a writer
+    that finds another version than it began with begins again, so two can write at a time.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, version: int | None = None):
+        self.spark, self.folder, self.manifest = spark, folder.rstrip("/"), Manifest(spark, folder)
+        self.fixed = version
+
+    @property
+    def version(self) -> int:
+        return self.manifest.latest() if self.fixed is None else self.fixed
+
+    def snapshot(self, version: int | None = None) -> GraphStore:
+        """The store as it is now, or was at a version, whatever is written afterwards; until `vacuum`."""
+        return GraphStore(self.spark, self.folder, self.version if version is None else version)
+
+    def _parts(self, version: int | None = None) -> list[str]:
+        return self.manifest.read(self.version if version is None else version).get("parts", [])
+
+    def _read(self, parts: list[str]) -> DataFrame:
+        schema = f"{TRIPLE}, bucket int"
+        if not parts:
+            return self.spark.createDataFrame([], schema)
+        each = [self.spark.read.schema(schema).parquet(p) for p in parts]
+        return reduce(DataFrame.unionByName, each).select(*_NAMES, "bucket")
+
+    def _written(self, rows: DataFrame) -> str:
+        path = f"{self.folder}/part-{uuid.uuid4().hex}"
+        # a graph's bucket is one file of a part, and a large graph is spread over its buckets
+        rows.repartition("g", "bucket").write.partitionBy("g", "bucket").parquet(path)
+        return path
+
+    def append(self, triples: DataFrame) -> int:
+        """Adds what the graphs don't have, as a new part, and returns the new version; only buckets that the triples are in are read."""
+        scratch = stage_folder(self.spark)
+        new = staged(in_buckets(triples).distinct(), scratch)
+        touched = [tuple(r) for r in new.select("g", "bucket").distinct().limit(MANY + 1).collect()]
+        try:
+            for _ in range(ATTEMPTS):
+                before = self.manifest.latest()
+                parts = self._parts(before)
+                old = self._read(parts)
+                if len(touched) <= MANY:
+                    old = old.filter(F.col("g").isin(sorted({g for g, _ in touched})) & F.col("bucket").isin(sorted({b for _, b in touched})))
+                fresh = self._written(new.select(*_NAMES, "bucket").subtract(old) if parts else new)
+                try:
+                    version = self.manifest.commit(before, {"parts": [*parts, fresh]})
+                except Conflict:
+                    dropped(self.spark, fresh)  # the other writer may have added the same triples
+                    continue
+                if len(parts) + 1 >= FANOUT:
+                    self.compact()
+                return version
+        finally:
+            dropped(self.spark, scratch)
+        raise Conflict(f"{ATTEMPTS} other writers came before")
+
+    def delete(self, triples: DataFrame) -> int:
+        """Takes triples out, by all their columns; parts that hold none of them stay as they are."""
+        before = self.manifest.latest()
+        gone = in_buckets(triples).distinct()
+        parts = []
+        for p in self._parts(before):
+            rows = self._read([p])
+            if rows.intersect(gone).isEmpty():
+                parts.append(p)
+            else:
+                parts.append(self._written(rows.subtract(gone)))
+        return self.manifest.commit(before, {"parts": parts})
+
+    def clear(self) -> int:
+        return self.manifest.commit(self.manifest.latest(), {"parts": []})
+
+    def compact(self) -> None:
+        """Makes one part of all, unless another writer comes before."""
+        before = self.manifest.latest()
+        parts = self._parts(before)
+        if len(parts) > 1:
+            one = self._written(self._read(parts))
+            try:
+                self.manifest.commit(before, {"parts": [one]})
+            except Conflict:
+                dropped(self.spark, one)
+
+    def vacuum(self) -> None:
+        """Removes parts of earlier versions that the latest doesn't have."""
+        now = self.manifest.latest()
+        held = set(self._parts(now))
+        for p in {p for v in range(1, now) for p in self._parts(v)} - held:
+            dropped(self.spark, p)
 
     def quads(self) -> DataFrame:
-        return self.spark.read.schema(TRIPLE).parquet(self.folder)
+        return self._read(self._parts()).drop("bucket")
 
     def graph(self, g: str) -> DataFrame:
         """One graph; `append` has seen to it that each triple is there once."""
@@ -47,6 +139,11 @@ class GraphStore:
         """All graphs together, each triple once."""
         return self.quads().drop("g").dropDuplicates()
 
+    def about(self, subjects: list[str]) -> DataFrame:
+        """The quads of some subjects; only their buckets are opened."""
+        rows = self._read(self._parts())
+        return rows.filter(F.col("bucket").isin(sorted(set(map(bucket_of, subjects)))) & F.col("s").isin(subjects)).drop("bucket")
+
 
 @dataclass
 class Views:

@@ -6,9 +6,11 @@ import os
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from pactum.sources import turtle as T
-from pactum.sources.store import GraphStore, views
+from pactum.operators.compose import TRIPLE
+from pactum.sources.store import GraphStore, bucket_of, views
 from pactum.terms import Vocabulary
 
 HEAD = "﻿# a comment\n@prefix odrl: <http://www.w3.org/ns/odrl/2/> .\n@prefix dct: <http://purl.org/dc/terms/> .\n@prefix cc: <http://creativecommons.org/ns#> .\n@prefix dcmitype: <http://purl.org/dc/dcmitype/> .\n@prefix l: <urn:pactum:licences/> .\n"
@@ -74,8 +76,46 @@ def test_store(spark, folder, tmp_path):
     store.append(good.withColumn("g", good.p))
     n = good.count()
     assert store.graph("one").count() == n and store.default().count() == n and store.quads().count() == 2 * n
+    before = store.snapshot()
     store.clear()
-    assert store.quads().count() == 0
+    assert store.quads().count() == 0 and before.quads().count() == 2 * n
+
+
+def quads(spark, *subjects):
+    return spark.createDataFrame([("g", s, "iri", "p", f"o{i}", "literal", None, None) for i, s in enumerate(subjects)], TRIPLE)
+
+
+def test_versions_and_two_writers(spark, tmp_path):
+    a, b = GraphStore(spark, str(tmp_path / "store")), GraphStore(spark, str(tmp_path / "store"))
+    assert a.append(quads(spark, "x", "y")) == 1
+    commit, calls = a.manifest.commit, []
+
+    def late(before, state):  # b comes in between, with a triple that a is about to write
+        if not calls:
+            calls.append(b.append(quads(spark, "x", "y", "z")))
+        return commit(before, state)
+
+    a.manifest.commit = late
+    assert a.append(quads(spark, "x", "y", "z", "w")) == 3
+    assert sorted(r.s for r in a.quads().collect()) == ["w", "x", "y", "z"] == sorted(r.s for r in b.quads().collect())
+    assert sorted(r.s for r in a.snapshot(1).quads().collect()) == ["x", "y"]
+    b.delete(quads(spark, "x"))
+    assert sorted(r.s for r in b.quads().collect()) == ["w", "y", "z"]
+    b.compact()
+    b.vacuum()
+    assert sorted(r.s for r in b.quads().collect()) == ["w", "y", "z"] and len([x for x in os.listdir(tmp_path / "store") if x.startswith("part")]) == 1
+
+
+def test_files_that_are_opened(spark, tmp_path):
+    store = GraphStore(spark, str(tmp_path / "store"))
+    subjects = [f"urn:s:{i}" for i in range(500)]
+    store.append(quads(spark, *subjects))
+    found = store.about(["urn:s:7", "urn:s:8", "ü"])
+    assert sorted(r.s for r in found.collect()) == ["urn:s:7", "urn:s:8"]
+    scan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in scan and "bucket" in scan.split("PartitionFilters: [")[1].split("]")[0]
+    of = {bucket_of(s) for s in ("urn:s:7", "urn:s:8")}
+    assert {int(re.search(r"bucket=(\d+)", r.f).group(1)) for r in found.select(F.input_file_name().alias("f")).collect()} == of
 
 
 def test_stream(spark, folder, tmp_path):
@@ -83,7 +123,7 @@ def test_stream(spark, folder, tmp_path):
 
     q = ingest_licences(spark, folder, str(tmp_path / "out"), str(tmp_path / "cp"), "g")
     q.awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == len(T.parse_turtle(GOOD)) + len(T.parse_turtle(EMPTY_TARGET))
+    assert GraphStore(spark, str(tmp_path / "out")).quads().count() == len(T.parse_turtle(GOOD)) + len(T.parse_turtle(EMPTY_TARGET))
     bad = spark.read.parquet(str(tmp_path / "out-bad")).collect()
     assert [os.path.basename(r.file) for r in bad] == ["Bad.ttl"] and "predicate" in bad[0].error
 
