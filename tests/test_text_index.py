@@ -102,6 +102,16 @@ def test_two_writers(spark, tmp_path):
     assert TextIndex(spark, f"{tmp_path}/ix").prefix("").count() == 1 and Manifest(spark, f"{tmp_path}/ix").latest() == 1
 
 
+def test_a_writer_that_died(spark, tmp_path):
+    m = Manifest(spark, str(tmp_path))
+    m.commit(0, {"a": 1})
+    open(tmp_path / "manifest" / ".2.taken", "w").close()
+    with pytest.raises(Conflict):
+        m.commit(1, {"a": 2})
+    m.stale = -5
+    assert m.commit(1, {"a": 2}) == 2 and m.read(2) == {"a": 2} and m.latest() == 2
+
+
 def test_nothing(spark, tmp_path):
     index = TextIndex(spark, f"{tmp_path}/ix")
     assert index.prefix("a").count() == 0 and index.phrase("a b").count() == 0
