@@ -12,6 +12,7 @@ from pactum.functions import scalar as S
 from pactum.operators import audit, compat, facets, profile, search
 from pactum.operators.compose import Form, compose
 from pactum.operators.facet_index import FacetIndex, further
+from pactum.plans.classes import equivalence_classes
 from pactum.plans.closure import Closure, closed_graph, relations
 from pactum.plans.fixture import SQL, Fixture
 from pactum.plans.stage import stage_folder
@@ -147,6 +148,25 @@ def _(f):
     return closure.pairs
 
 
+def _same_clients(f: Fixture) -> DataFrame:
+    """Clients and what makes two of them one: a master, or an address. Names are padded, so their order is that of the numbers."""
+    c, name = f.table("clients"), lambda x: F.concat(F.lit("c:"), F.lpad(F.col(x).cast("string"), 20, "0"))
+    own = c.select(name("client_id").alias("a"), name("client_id").alias("b"))
+    return own.unionByName(c.select(name("client_id").alias("a"), name("master_id").alias("b"))).unionByName(c.select(name("client_id").alias("a"), F.concat(F.lit("m:"), "email").alias("b")))
+
+
+@query(
+    "same_clients",
+    """WITH RECURSIVE e AS (SELECT client_id AS a, master_id AS b FROM clients WHERE master_id IS NOT NULL UNION SELECT x.client_id, y.client_id FROM clients x JOIN clients y ON x.email = y.email),
+b AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(a, c) AS (SELECT client_id, client_id FROM clients WHERE client_id IS NOT NULL UNION SELECT b.b, r.c FROM r JOIN b ON r.a = b.a)
+SELECT a AS client_id, min(c) AS representative FROM r GROUP BY a""",
+    prelude=False,
+)
+def _(f):
+    number = lambda x: F.substr(x, F.lit(3)).cast("long")
+    return equivalence_classes(_same_clients(f)).filter(F.startswith("node", F.lit("c:"))).select(number("node").alias("client_id"), number("representative").alias("representative"))
+
+
 _SIDES = ", allow AS (SELECT DISTINCT id AS id1, action AS a1 FROM stmts WHERE kind = 'permission'), deny AS (SELECT DISTINCT id AS id2, action AS a2 FROM stmts WHERE kind = 'prohibition') "
 
 

@@ -12,6 +12,7 @@ from pactum.operators import audit, compat, facets, profile, search
 from pactum.operators.compose import Form, compose
 from pactum.operators.facet_index import FacetIndex, further
 from pactum.plans import closure
+from pactum.plans.classes import contracted, equivalence_classes
 from pactum.plans.numbering import numbered
 from pactum.plans.stage import small, staged
 from pactum.terms import DEPENDENCIES, RELATIONS, Vocabulary
@@ -98,6 +99,30 @@ def test_closure_under_changes(spark, seed):
         assert {tuple(r) for r in c.pairs.collect()} == closed(have) and c.pairs.count() == len(closed(have)) and {tuple(r) for r in c.edges.collect()} == have
 
 
+def test_equivalence_classes(spark):
+    rng = random.Random(4)
+    edges = [(f"n{rng.randrange(120):03}", f"n{rng.randrange(120):03}") for _ in range(70)] + [(f"p{i:03}", f"p{i + 1:03}") for i in range(60)] + [("x", "x"), ("x", None), (None, None)]
+    least = {n: n for e in edges for n in e if n and None not in e}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            if a and b and least[a] != least[b]:
+                least[a] = least[b] = min(least[a], least[b])
+                changed = True
+    got = equivalence_classes(spark.createDataFrame(edges, "a string, b string"))
+    assert {r.node: r.representative for r in got.collect()} == least
+    facts = spark.createDataFrame([("p001", "is", "p060"), ("p002", "is", "q"), ("p000", "is", "q")], "s string, p string, o string")
+    assert {tuple(r) for r in contracted(facts, got, ["s", "o"]).collect()} == {("p000", "is", "p000"), ("p000", "is", "q")} and contracted(facts, got, ["s", "o"]).count() == 2
+
+
+def test_a_class_of_many(spark):
+    n = 100_000
+    edges = spark.range(n).select(F.col("id").alias("a"), ((F.col("id") * 7919 + 13) % n).alias("b")).unionByName(spark.range(n).select(F.lit(n - 1).cast("long").alias("a"), F.col("id").alias("b")))
+    got = equivalence_classes(edges).agg(F.count("*"), F.min("representative"), F.max("representative")).first()
+    assert tuple(got) == (n, 0, 0)
+
+
 def test_many_paths_leave_the_driver(spark, monkeypatch):
     """A chain's paths grow with the square of its edges; past the limit they are joined, in rounds that double lengths."""
     monkeypatch.setattr(closure, "SMALL_PATHS", 500)
