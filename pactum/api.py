@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pactum.functions.scalar import prefix_match
 from pactum.operators import audit, compat, facets, profile, search
 from pactum.operators.compose import Form, compose_license
+from pactum.operators.fuzzy import best_titles
 from pactum.plans.closure import closed_graph
 from pactum.plans.stage import staged
 from pactum.sources import turtle
@@ -65,6 +66,10 @@ class Library:
     def list(self, keyword: str = "", skip: int = 0, limit: int | None = None) -> DataFrame:
         return search.list_licenses(self.searched.titles, self.searched.alternatives, keyword, skip, limit)
 
+    def best(self, keywords: DataFrame, k: int = 10, least: int = 0) -> DataFrame:
+        """For each row of keywords (column keyword), its k best titles."""
+        return best_titles(self.searched.titles, keywords, k, least)
+
     def search(self, wanted: facets.Facets) -> DataFrame:
         v = self.searched
         return facets.faceted_search(v.titles, v.targets, v.rules, v.rule_duties, v.wide_duties, wanted)

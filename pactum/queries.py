@@ -12,6 +12,7 @@ from pactum.functions import scalar as S
 from pactum.operators import audit, compat, facets, profile, search
 from pactum.operators.compose import Form, compose
 from pactum.operators.facet_index import FacetIndex, further
+from pactum.operators.fuzzy import best_titles
 from pactum.plans.classes import equivalence_classes
 from pactum.plans.closure import Closure, closed_graph, relations
 from pactum.plans.fixture import SQL, Fixture
@@ -351,6 +352,28 @@ def _(f):
     return search.list_licenses(f.titles, f.alternatives, skip=20, limit=10)
 
 
+#: Keywords of a request: the most frequent words of all documents.
+KEYWORDS = 1000
+
+
+@query(
+    "keyword_best",
+    f""", words AS (SELECT w AS keyword FROM (SELECT lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS w FROM documents) GROUP BY w ORDER BY count(*) DESC, w LIMIT {KEYWORDS}),
+masks AS (SELECT keyword, map_from_entries(list((c, m))) AS m FROM (SELECT keyword, c, CAST(sum(CAST(1 AS HUGEINT) << (i - 1)) AS HUGEINT) AS m FROM
+  (SELECT keyword, unnest(string_split(keyword, '')) AS c, generate_subscripts(string_split(keyword, ''), 1) AS i FROM words) GROUP BY keyword, c) GROUP BY keyword),
+letters AS (SELECT id, title, string_split(lower(title), '') AS cs FROM titles),
+rows_ AS (SELECT keyword, id, title, (CAST(1 AS HUGEINT) << length(keyword)) - 1 AS top, list_reduce(list_prepend(top, list_transform(cs, lambda c: coalesce(m[c], CAST(0 AS HUGEINT)))),
+  lambda a, x: ((a + (a & x)) | (a - (a & x))) & top) AS line FROM masks, letters),
+scored AS (SELECT keyword, id, title, CAST(round_even(200 * (length(keyword) - bit_count(line)) / (length(title) + length(keyword)), 0) AS INTEGER) AS score FROM rows_)
+SELECT keyword, id, title, score, CAST(row_number() OVER (PARTITION BY keyword ORDER BY score DESC, id, title) AS INTEGER) AS rank FROM scored
+QUALIFY rank <= 10""",
+)
+def _(f):
+    words = f.table("documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w"))
+    common = words.groupBy(F.lower("w").alias("keyword")).count().orderBy(F.col("count").desc(), "keyword").limit(KEYWORDS)
+    return best_titles(f.titles, common, 10)
+
+
 def _text_index(f: Fixture) -> TextIndex:
     """An index of all documents that has grown by three batches and been merged on the way."""
     index, docs = TextIndex(f.spark, stage_folder(f.spark), fanout=2), f.table("documents")
