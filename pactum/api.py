@@ -17,6 +17,7 @@ from pactum.functions.scalar import prefix_match
 from pactum.operators import audit, compat, facets, profile, search
 from pactum.operators.compose import Form, compose_license
 from pactum.operators.fuzzy import best_titles
+from pactum.plans.blank import canonical
 from pactum.plans.closure import closed_graph
 from pactum.plans.stage import staged
 from pactum.sources import turtle
@@ -43,10 +44,13 @@ class Library:
         self.spark, self.store, self.vocabulary = spark, GraphStore(spark, folder), vocabulary
 
     def load(self, path: str, graph: str = LICENCES, mode: str = "PERMISSIVE") -> DataFrame:
-        """Adds all Turtle files below path, to the graphs that files beside them name, or to `graph`; returns those that can't be parsed."""
+        """Adds all Turtle files below path, to the graphs that files beside them name, or to `graph`; returns those that can't be parsed.
+
+        Blank nodes get names by content, so a licence that is there already, from whatever file, adds nothing.
+        """
         good, bad = turtle.read_turtle(self.spark, path, graph, mode)
         bad = staged(bad)
-        self.store.append(good)
+        self.store.append(canonical(good))
         self.__dict__.pop("searched", None)
         self.__dict__.pop("every", None)
         return bad

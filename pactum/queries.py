@@ -13,6 +13,7 @@ from pactum.operators import audit, compat, facets, profile, search
 from pactum.operators.compose import Form, compose
 from pactum.operators.facet_index import FacetIndex, further
 from pactum.operators.fuzzy import best_titles
+from pactum.plans.blank import canonical
 from pactum.plans.classes import equivalence_classes
 from pactum.plans.closure import Closure, closed_graph, relations
 from pactum.plans.fixture import SQL, Fixture
@@ -441,6 +442,36 @@ def _(f):
     return profile.optional_chain(_graph(f))
 
 
+def _two_files(f: Fixture) -> DataFrame:
+    """The fixture's graph as two files have it, each with names of its own for blank nodes."""
+    none = F.lit(None).cast("string")
+    blank = lambda x: F.col(x).rlike("^[0-9]+:|^_:|/")
+    o_blank = blank("o") & (F.col("p") != "dct:title")
+    label = lambda x, file: F.concat(F.lit(f"_:{file}"), F.col(x))
+    g = _graph(f)
+    of = lambda file: g.select(
+        F.lit("library").alias("g"), F.when(blank("s"), label("s", file)).otherwise(F.col("s")).alias("s"), F.when(blank("s"), "bnode").otherwise("iri").alias("s_kind"), "p",
+        F.when(o_blank, label("o", file)).otherwise(F.col("o")).alias("o"), F.when(o_blank, "bnode").when(F.col("p") == "dct:title", "literal").otherwise("iri").alias("o_kind"), none.alias("o_lang"), none.alias("o_dt"),
+    )
+    return of("a").unionByName(of("b"))
+
+
+@query(
+    "blank_nodes_merged",
+    """, said AS (SELECT r.id, concat('odrl:', r.kind) AS property, r.action AS says, coalesce(string_agg(DISTINCT d.duty, ',' ORDER BY d.duty), '') AS duties FROM rules r LEFT JOIN rule_duties d USING (node) GROUP BY r.id, r.node, r.kind, r.action
+  UNION ALL SELECT id, 'odrl:duty', action, '' FROM wide_duties UNION ALL SELECT id, 'odrl:target', string_agg(DISTINCT asset_type, ',' ORDER BY asset_type), '' FROM targets GROUP BY id, asset)
+SELECT DISTINCT id, property, says, duties, CAST(1 AS BIGINT) AS n_nodes FROM said""",
+)
+def _(f):
+    t, c = canonical(_two_files(f)), F.col
+    listed = lambda df, name: df.groupBy("node").agg(_join(F.sort_array(F.collect_set("o"))).alias(name))
+    said = t.filter(c("p").isin("odrl:action", "dct:type")).select(c("s").alias("node"), "o")
+    due = t.filter("p = 'odrl:duty' AND s_kind = 'bnode'").select("s", c("o").alias("node")).join(said, "node").select(c("s").alias("node"), "o")
+    own = t.filter("s_kind <> 'bnode' AND o_kind = 'bnode'").select(c("s").alias("id"), c("p").alias("property"), c("o").alias("node"))
+    every = own.join(listed(said, "says"), "node", "left").join(listed(due, "duties"), "node", "left").na.fill("", ["duties"])
+    return every.groupBy("id", "property", "says", "duties").agg(F.count("*").alias("n_nodes"))
+
+
 def _properties(f: Fixture) -> DataFrame:
     p = f.table("part")
     key = F.concat(F.lit("urn:lic:"), F.col("p_partkey").cast("string")).alias("id")
