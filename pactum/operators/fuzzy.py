@@ -1,7 +1,7 @@
 """The best titles for each of many keywords, by the fuzzy ratio, without comparing every pair.
 
-Keywords are a request: they are counted first and go to the tasks in blocks of a bounded size. Titles aren't shuffled. A
-task keeps the k best titles of each keyword, and computes the ratio only where its upper bound, which follows from how
+Keywords are a request: they are counted first and go to the tasks in blocks of a bounded size. Titles are dealt
+to all cores. A task keeps the k best titles of each keyword, and computes the ratio only where its upper bound, which follows from how
 often each letter occurs in both strings, reaches the worst of those. What tasks kept is merged in two steps.
 """
 
@@ -26,6 +26,8 @@ from pactum.plans.stage import staged
 BLOCK, BLOCK_BYTES = 4_096, 16 << 20
 #: Cells of the matrix of upper bounds that a task holds.
 CELLS = 1 << 21
+#: Tasks that share the titles, for each core there is; more even out their speeds, and each task holds a heap for each word.
+TASKS_PER_CORE = 2
 #: Groups that the rows of a keyword are merged in first.
 SPREAD = 256
 #: Letters of a word whose places fit a machine word, with one bit to spare.
@@ -148,7 +150,8 @@ def best_titles(titles: DataFrame, keywords: DataFrame, k: int = 10, least: int
     after another, and each block reads the titles again.
     """
     spark = titles.sparkSession
-    titles = titles.select("id", "title").filter("id IS NOT NULL AND title IS NOT NULL")
+    # a file of titles is small for the work that it makes, and would be one task or few
+    titles = titles.select("id", "title").filter("id IS NOT NULL AND title IS NOT NULL").repartition(TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
     words = staged(keywords.select("keyword").filter("keyword IS NOT NULL").distinct())
     n, size = words.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("keyword")), F.lit(0))).first()
     blocks = max(1, -(-n // BLOCK), -(-size // BLOCK_BYTES))

@@ -77,3 +77,12 @@ def test_slices(monkeypatch):
     frame = pd.DataFrame(titles, columns=["id", "title"])
     best.add(frame["id"].tolist(), frame["title"].tolist())
     assert dict(zip(best.words, best.kept, strict=True)) == brute(titles, words, 4)
+
+
+def test_one_file_is_many_tasks(spark, monkeypatch):
+    """Titles in one partition are compared by all cores."""
+    seen, block = [], fuzzy._block
+    monkeypatch.setattr(fuzzy, "_block", lambda titles, *a: seen.append(titles.rdd.getNumPartitions()) or block(titles, *a))
+    words, titles = some(10, 7, longest=9), [(f"u{i}", t) for i, t in enumerate(some(60, 8))]
+    found = best_titles(spark.createDataFrame(titles, "id string, title string").coalesce(1), spark.createDataFrame([(w,) for w in words], "keyword string"), 3)
+    assert got(found) == brute(titles, words, 3) and seen == [fuzzy.TASKS_PER_CORE * spark.sparkContext.defaultParallelism]
