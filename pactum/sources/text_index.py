@@ -9,8 +9,11 @@ segment, and segments of a size are merged into one of the next; a manifest, wri
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +35,40 @@ def terms_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
+def _gathered(doc: np.ndarray, place: np.ndarray, term: pa.Array) -> pa.RecordBatch:
+    """A row for each term and document, with the sorted places, of words that each have all three."""
+    coded = term.dictionary_encode()
+    code = coded.indices.to_numpy()
+    order = np.lexsort((place, code, doc))
+    doc, code = doc[order], code[order]
+    first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])]))
+    ends = np.append(first, len(doc)).astype(np.int32)
+    places = pa.ListArray.from_arrays(pa.array(ends), pa.array(place[order]))
+    return pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code[first])), pa.array(doc[first]), places], ["term", "doc_id", "places"])
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Gathers the words (doc_id, place, term) of whole texts, whose rows follow each other; a text may go on in the next batch."""
+    kept: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        starts = np.flatnonzero(b.column(1).to_numpy() == 0)
+        if not starts.size:
+            kept.append(b)
+            continue
+        at = int(starts[-1])  # where the last text begins, which may go on
+        yield from _whole([*kept, b.slice(0, at)])
+        kept = [b.slice(at)]
+    yield from _whole(kept)
+
+
+def _whole(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if parts and (t := pa.Table.from_batches(parts).combine_chunks()).num_rows:
+        doc, place, term = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in t.columns)
+        yield _gathered(doc.to_numpy(), place.to_numpy(), term)
+
+
 class TextIndex:
     """An index below a folder, at the version that was the latest when it was opened or last changed by this object.
 
@@ -52,13 +89,14 @@ class TextIndex:
         self.version = self.manifest.commit(self.version, state)
         self.state = state
 
-    def _segment(self, postings: DataFrame, documents: DataFrame, size: int, level: int) -> dict:
-        """Writes postings and the ids of their documents; names the segment."""
+    def _segment(self, postings: DataFrame, documents: DataFrame, size: int, level: int, repeated: bool) -> dict:
+        """Writes postings and the ids of their documents; names the segment. repeated: a term and document may have several rows."""
         path = f"{self.folder}/segment-{uuid.uuid4().hex}"
         files = max(1, -(-size // self.file_bytes))
         # a frequent term's documents spread over several files, as ranges are of terms and documents
         ranged = postings.repartitionByRange(files, "term", "doc_id")
-        ranged = ranged.groupBy("term", "doc_id").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
+        if repeated:
+            ranged = ranged.groupBy("term", "doc_id").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
         ranged.sortWithinPartitions("term", "doc_id").write.options(**_DELTAS).parquet(f"{path}/postings")
         documents.select("doc_id").distinct().sortWithinPartitions("doc_id").write.options(**_DELTAS).parquet(f"{path}/documents")
         held = self.spark.read.schema(POSTINGS).parquet(f"{path}/postings")
@@ -79,11 +117,12 @@ class TextIndex:
 
     def _add(self, docs: DataFrame, id_col: str, text_col: str, sources: list[str]) -> None:
         rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).dropna()
-        size = rows.agg(F.sum(F.octet_length("text"))).first()[0]
+        size, repeated = rows.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).agg(F.sum("b"), F.max("n") > 1).first()
         segments = list(self.state["segments"])
         if size is not None:
             words = rows.select("doc_id", F.posexplode(terms_of(F.col("text"))).alias("place", "term"))
-            segments.append(self._segment(words.select("term", "doc_id", F.array("place").alias("places")), rows, size, 0))
+            # a text's words are gathered where it is read, so a row for each of its terms is sorted and moved, and not one for each word
+            segments.append(self._segment(words.mapInArrow(_by_document, POSTINGS), rows, size, 0, repeated))
         self._commit(segments, [*self.state["sources"], *sources])
         while (level := self._full()) is not None:
             self.merge(level)
@@ -97,7 +136,7 @@ class TextIndex:
         old = [s for s in self.state["segments"] if s["level"] == level]
         parts = [(self._current(s, self._postings(s)), self._current(s, self._documents(s))) for s in old]
         postings, documents = (reduce(DataFrame.unionByName, x) for x in zip(*parts, strict=True))
-        new = self._segment(postings, documents, sum(s["bytes"] for s in old), level + 1)
+        new = self._segment(postings, documents, sum(s["bytes"] for s in old), level + 1, False)  # a document is current in one segment
         first = self.state["segments"].index(old[0])
         rest = [s for s in self.state["segments"] if s not in old]
         # a level's segments follow each other in age, so the merged one takes the place of the first

@@ -117,3 +117,20 @@ def test_nothing(spark, tmp_path):
     assert index.prefix("a").count() == 0 and index.phrase("a b").count() == 0
     index.add(spark.createDataFrame([], DOCS))
     assert index.version == 1 and index.state["segments"] == []
+
+
+def test_words_are_gathered_where_they_are_read(spark, tmp_path, monkeypatch):
+    """What is ranged and moved is a row for each term of a text; texts over several batches, empty ones and repeated ids come out whole."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        moved, segment = [], TextIndex._segment
+        monkeypatch.setattr(TextIndex, "_segment", lambda self, postings, *a: moved.append(postings.count()) or segment(self, postings, *a))
+        index = TextIndex(spark, f"{tmp_path}/ix")
+        texts = [(1, "a b a c a b a d e a"), (2, ""), (3, "b"), (4, "a a a"), (5, None), (6, "b a")]
+        index.add(spark.createDataFrame([(i, t, "t", 1) for i, t in texts], DOCS).coalesce(1))
+        assert moved == [9]
+        index.add(spark.createDataFrame([(7, "x y x", "t", 1), (8, "y", "t", 1), (7, "x", "t", 1)], DOCS).coalesce(1))
+        got = {(r.term, r.doc_id): list(r.places) for r in index.postings("", True).collect()}
+        assert got == {("a", 1): [0, 2, 4, 6, 9], ("b", 1): [1, 5], ("c", 1): [3], ("d", 1): [7], ("e", 1): [8], ("b", 3): [0], ("a", 4): [0, 1, 2], ("b", 6): [0], ("a", 6): [1], ("x", 7): [0, 0, 2], ("y", 7): [1], ("y", 8): [0]}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
