@@ -19,9 +19,9 @@ def _digest(*cols: Column) -> Column:
 
 
 def _summed(lines: DataFrame) -> DataFrame:
-    """node, acc0, ...: sums of the digests of a node's distinct lines, which tasks add up before they meet."""
-    slice_ = lambda i: F.conv(F.substring("line", 1 + i * DIGITS, DIGITS), 16, 10).cast("decimal(20,0)")
-    return lines.distinct().groupBy("node").agg(*[F.sum(slice_(i)).cast("decimal(38,0)").alias(a) for i, a in enumerate(_ACC)])
+    """node, acc0, ...: sums of the digests of a node's distinct lines. Lines move once, by node, as numbers."""
+    slice_ = lambda i: F.conv(F.substring("line", 1 + i * DIGITS, DIGITS), 16, 10).cast("long").alias(_ACC[i])
+    return lines.select("node", *map(slice_, range(SUMS))).repartition("node").distinct().groupBy("node").agg(*[F.sum(F.col(a).cast("decimal(20,0)")).cast("decimal(38,0)").alias(a) for a in _ACC])
 
 
 def canonical(triples: DataFrame) -> DataFrame:
@@ -36,19 +36,20 @@ def canonical(triples: DataFrame) -> DataFrame:
     steps = iter(range(1 << 30))
     put = lambda df: staged(df, f"{work}/{next(steps)}")
     c = F.col
-    t = put(triples.distinct())
+    t = put(triples.repartition("s").distinct())  # a subject's triples stay together, so tasks add up what is asked of it
 
     # owners: a node with several is named
-    edges = t.filter("o_kind = 'bnode' AND o IS NOT NULL").select(c("o").alias("node"), c("s").alias("owner"), c("s_kind").alias("owner_kind"), "p").distinct()
-    owners = edges.groupBy("node").agg(F.count("*").alias("n_owners"), F.min(F.struct("owner", "owner_kind", "p")).alias("by"))
-    every = t.filter("s_kind = 'bnode' AND s IS NOT NULL").select(c("s").alias("node")).unionByName(edges.select("node")).distinct()
-    own = every.join(owners, "node", "left").filter("n_owners IS NULL OR n_owners = 1").select("node", "by.owner", "by.owner_kind", "by.p")
+    by = F.struct(c("s").alias("owner"), c("s_kind").alias("owner_kind"), "p")
+    owned = t.filter("o_kind = 'bnode' AND o IS NOT NULL").select(c("o").alias("node"), by.alias("by"))
+    every = t.filter("s_kind = 'bnode' AND s IS NOT NULL").select(c("s").alias("node"), F.lit(None).cast(owned.schema["by"].dataType).alias("by")).unionByName(owned)
+    own = every.groupBy("node").agg(F.min("by").alias("by"), F.max("by").alias("last")).filter("by <=> last").select("node", "by.owner", "by.owner_kind", "by.p")
     own = put(own)
     inner = own.filter("owner_kind = 'bnode'").join(own.select(c("node").alias("owner")), "owner", "left_semi")  # owner has content, too
 
     # content: first of lines without own nodes, then upwards
     said = t.filter("s_kind = 'bnode'").select(c("s").alias("node"), "p", "o", "o_kind", "o_lang", "o_dt")
-    plain = said.join(inner.select(c("owner").alias("node"), c("node").alias("o"), F.lit("bnode").alias("o_kind")), ["node", "o", "o_kind"], "left_anti")
+    to_blank = F.coalesce(c("o_kind") == "bnode", F.lit(False))
+    plain = said.filter(to_blank).join(inner.select(c("owner").alias("node"), c("node").alias("o"), F.lit("bnode").alias("o_kind")), ["node", "o", "o_kind"], "left_anti").unionByName(said.filter(~to_blank))
     base = _summed(plain.select("node", _digest(c("p"), c("o"), c("o_kind"), c("o_lang"), c("o_dt")).alias("line")))
     children = inner.groupBy(c("owner").alias("node")).agg(F.count("*").alias("pending"))
     zero = F.lit(0).cast("decimal(38,0)")
@@ -84,10 +85,13 @@ def canonical(triples: DataFrame) -> DataFrame:
             named.append(fresh)
         names = reduce(DataFrame.unionByName, named)
 
-    out = t
-    for end in ("s", "o"):
-        to = names.select(c("node").alias(end), F.lit("bnode").alias(f"{end}_kind"), c("name").alias(f"{end}_name"))
-        out = out.join(to, [end, f"{end}_kind"], "left").withColumn(end, F.coalesce(f"{end}_name", end)).drop(f"{end}_name")
+    def renamed(df: DataFrame, end: str) -> DataFrame:
+        """df with the names of blank nodes at this end; other rows don't move."""
+        blank = F.coalesce(c(f"{end}_kind") == "bnode", F.lit(False))
+        to = names.select(c("node").alias(end), c("name").alias("__name"))
+        return df.filter(blank).join(to, end, "left").withColumn(end, F.coalesce("__name", end)).select(*triples.columns).unionByName(df.filter(~blank).select(*triples.columns))
+
+    out = renamed(renamed(t, "s"), "o")
     out = staged(out.select(*triples.columns).distinct())
     dropped(spark, work)
     return out

@@ -76,3 +76,13 @@ def test_nulls_and_nothing(spark):
 def test_one_node_with_many_statements(spark):
     rows = [(f"_:{f}", "type", f"t{i}") for f in "ab" for i in range(3000)] + [("l", "target", "_:a"), ("l", "target", "_:b")]
     assert canonical(graph(spark, rows)).count() == 3001
+
+
+def test_owners_and_lines_are_found_by_one_shuffle_each(spark, monkeypatch):
+    """Owners of nodes by one aggregation, without a join; what isn't blank doesn't move to be renamed."""
+    from pactum.plans import blank
+
+    plans, staged = [], blank.staged
+    monkeypatch.setattr(blank, "staged", lambda df, path=None: plans.append(df._jdf.queryExecution().executedPlan().toString()) or staged(df, path))
+    assert shape(canonical(graph(spark, licence("l", "a", [("modify", ["notice"])]) + licence("l", "b", [("modify", ["notice"])]))))
+    assert plans[0].count("Exchange hashpartitioning") == 1 and plans[1].count("Exchange hashpartitioning") == 1
