@@ -86,3 +86,39 @@ def test_owners_and_lines_are_found_by_one_shuffle_each(spark, monkeypatch):
     monkeypatch.setattr(blank, "staged", lambda df, path=None: plans.append(df._jdf.queryExecution().executedPlan().toString()) or staged(df, path))
     assert shape(canonical(graph(spark, licence("l", "a", [("modify", ["notice"])]) + licence("l", "b", [("modify", ["notice"])]))))
     assert plans[0].count("Exchange hashpartitioning") == 1 and plans[1].count("Exchange hashpartitioning") == 1
+
+
+def test_trees_are_named_where_they_meet_as_in_rounds(spark):
+    """Names of shallow and deep trees, circles, shared and ownerless nodes, nulls and odd characters, in two graphs, are those of rounds over nodes."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from pactum.plans import blank
+
+    r, rows = random.Random(7), []
+    for tree in range(24):
+        owner = r.choice(["l", 'm"\\\n', "_x", None]) if tree % 6 else None
+        nodes = [f"_:{tree}n{i}" for i in range(r.randint(1, 9))]
+        rows += [(owner, "p", nodes[0])] if tree % 6 else []
+        for i, n in enumerate(nodes):
+            rows += [(n, r.choice("pq"), r.choice(["x", '"y', None, '"\t"'])) for _ in range(r.randint(0, 3))]
+            if i:  # mostly below a node before it; a chain in every fourth tree
+                rows.append((nodes[i - 1 if tree % 4 == 0 else r.randrange(i)], r.choice("pq"), n))
+        if tree % 5 == 0:
+            rows.append((r.choice(nodes), "again", r.choice(nodes)))
+    t = graph(spark, rows + rows[::3])
+    t = t.unionByName(t.filter(F.col("s").startswith("_:1")).withColumn("g", F.lit("h"))).unionByName(t.filter("o_kind IS NULL").withColumn("o_lang", F.lit("en")))
+    said = lambda df: sorted(map(str, df.collect()))
+    got = said(blank.canonical(t))
+    assert got == said(blank._in_rounds(t)) and len(set(got)) == len(got)
+
+
+def test_two_levels_are_written_three_times(spark, monkeypatch):
+    """What meets at the leaves, what meets at the roots, and the result, each after one shuffle."""
+    from pactum.plans import blank
+
+    plans, staged = [], blank.staged
+    monkeypatch.setattr(blank, "staged", lambda df, path=None: plans.append(df._jdf.queryExecution().executedPlan().toString()) or staged(df, path))
+    canonical(graph(spark, licence("l", "a", [("modify", ["notice"]), ("derive", [])]) + licence("l", "b", [("modify", ["notice"])])))
+    assert [p.count("Exchange hashpartitioning") for p in plans] == [1, 1, 1]
